@@ -185,7 +185,7 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", within=(), parti
     return joined.withColumn(name, F.col("_base") + F.col("_at") - F.col("_first")).select(*df.columns, name)
 
 
-def out_of_order(df: DataFrame, keys=("source_id",), order=("line_num",)) -> DataFrame:
+def out_of_order(df: DataFrame, keys=("source_id",), order=("line_num",), block_lines: int = BLOCK_LINES) -> DataFrame:
     """Rows whose time is earlier than an earlier row of the same key (should be none for bursts)."""
-    seen = scan(df, keys=keys, order=order, peak={"_max_ts": F.col("ts_ns")})
+    seen = scan(df, keys=keys, order=order, peak={"_max_ts": F.col("ts_ns")}, block_lines=block_lines)
     return seen.filter(F.col("ts_ns") < F.col("_max_ts")).drop("_max_ts")

@@ -351,7 +351,7 @@ TRACKERS = [
              "failure_reason": "none"}),
     Tracker("radio-airplane-mode-state", airplane_mode,
             {"airplane_mode": False, "data_connected": False, "emergency_only": False, "sim_card_state": "UNKNOWN"}, (SYSTEM,)),
-    Tracker("samsung-auto-blocker", auto_blocker, _none("enabled", "source"), needs_section=True),
+    Tracker("samsung-auto-blocker", auto_blocker, _none("enabled", "source"), (SYSTEM,), needs_section=True),
     Tracker("thermal-state", thermal_state, {"thermal_status": None, **{f"temp_{k}": "unknown" for k in (
         "ap", "skin", "bat", "pa", "usb", "pathm")}, "num_cpus": None, "num_gpus": None}, (SYSTEM, NORMAL), needs_section=True,
             mode="snapshot"),

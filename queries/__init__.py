@@ -1,0 +1,4 @@
+"""Every registered query; importing the modules fills the registry."""
+
+from . import lines, ordered, counts, texts, live  # noqa: F401
+from .registry import QUERIES, SQL
