@@ -5,9 +5,9 @@ source into one task.  Every operator here works on *blocks* instead: a block is
 ``line_num div block_lines``, and because ``line_num`` is unique inside a source a
 block never holds more than ``block_lines`` rows per key, whatever the skew.
 
-* :func:`scan` - running values.  One small partial aggregate per block is turned
-  into the value carried into each block (a window over one row per block), then a
-  window inside each block finishes the row.  The rows are shuffled once.
+* :func:`scan` - running values.  The rows are shuffled once by key and block. One aggregate
+  per block gives the value carried into each block (a window over one row per block),
+  then a window inside each block finishes the row.
 * :func:`halo` - look-back or look-ahead of bounded reach.  Rows near a block edge are
   also given to the neighbour block, so any bounded frame can be computed there.
 * :func:`global_rank` - dense positions under an arbitrary order, from a
@@ -40,7 +40,8 @@ def scan(df: DataFrame, *, keys=("source_id",), order=("line_num",), block_lines
     ``peak``   running maximum strictly before the row
 
     ``order[0]`` must be a non-negative integer position, few rows per key and
-    position; further entries break ties. Keys must not be NULL.
+    position; further entries break ties. Rows whose key or position is NULL have no place in the order
+    and are left out.
     """
     prev, last, next, before, peak = (d or {} for d in (prev, last, next, before, peak))
     keys, order = list(keys), list(order)
@@ -49,21 +50,30 @@ def scan(df: DataFrame, *, keys=("source_id",), order=("line_num",), block_lines
         for name, c in d.items():
             value[f"_{kind}_{name}"] = c
     staged = df.withColumns({**value, "_block": _block(order[0], block_lines)})
-    pos = F.struct(*order)
+    # The rest of the row travels as one opaque value. Both uses below then need the same columns, so Spark
+    # computes and shuffles the rows once and reuses that exchange instead of running the input twice.
+    rest = [c for c in staged.columns if c not in keys and c != "_block"]
+    placed = staged
+    for c in (*keys, "_block"):
+        placed = placed.filter(F.col(c).isNotNull())
+    packed = placed.select(*keys, "_block", F.array(F.struct(*rest)).alias("_row")).repartition(*keys, "_block")
+    item = F.element_at("_row", 1)
+    at = lambda c: F.col(c) if c in keys else item.getField(c)
+    pos = F.struct(*[at(o).alias(o) for o in order])
 
     aggs = []
     for v in value:
-        kind = v[1]
-        seen = F.when(F.col(v).isNotNull(), pos)
+        kind, x = v[1], at(v)
+        seen = F.when(x.isNotNull(), pos)
         if kind in "pl":
-            aggs.append(F.max_by(v, seen).alias(v))
+            aggs.append(F.max_by(x, seen).alias(v))
         elif kind == "n":
-            aggs.append(F.min_by(v, seen).alias(v))
+            aggs.append(F.min_by(x, seen).alias(v))
         elif kind == "b":
-            aggs.append(F.sum(v).alias(v))
+            aggs.append(F.sum(x).alias(v))
         else:
-            aggs.append(F.max(v).alias(v))
-    blocks = staged.groupBy(*keys, "_block").agg(*aggs)
+            aggs.append(F.max(x).alias(v))
+    blocks = packed.groupBy(*keys, "_block").agg(*aggs)
 
     by_block = W.partitionBy(*keys).orderBy("_block")
     earlier = by_block.rowsBetween(W.unboundedPreceding, -1)
@@ -97,7 +107,8 @@ def scan(df: DataFrame, *, keys=("source_id",), order=("line_num",), block_lines
             result[name] = F.coalesce(F.sum(v).over(up_to_prev), zero) + F.coalesce(c_in, zero)
         else:
             result[name] = F.greatest(F.max(v).over(up_to_prev), c_in)
-    out = staged.join(carry, [*keys, "_block"], "left").withColumns(result)
+    joined = packed.join(carry, [*keys, "_block"])
+    out = joined.select(*keys, "_block", *[f"_in{v}" for v in value], F.inline_outer("_row")).withColumns(result)
     helpers = {*value, *(f"_in{v}" for v in value), "_block"} - set(result)
     kept = [c for c in df.columns if c not in result]
     return out.drop(*helpers).select(*kept, *result)

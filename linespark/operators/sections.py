@@ -39,11 +39,11 @@ def build_sections(lines: DataFrame) -> DataFrame:
     head_name = F.when(inner.contains(" ("), F.trim(F.regexp_extract(inner, r"^(.*) \(", 1))).otherwise(inner)
     service = F.trim(F.regexp_replace(F.substring(raw, len("DUMP OF SERVICE ") + 1, 1 << 20), r":+$", ""))
     service = F.regexp_replace(service, r"^(?:CRITICAL|HIGH) ", "")
-    marks = marks.select(
-        "source_id", "line_num",
-        F.when(raw.startswith("DUMP OF"), "D").when(is_footer, "F").otherwise("H").alias("kind"),
-        F.when(raw.startswith("DUMP OF"), service).when(is_footer, F.regexp_extract(raw, r"'([^']+)'", 1))
-        .otherwise(head_name).alias("name")).filter((F.col("name") != "") & (F.col("name") != "dumpstate"))
+    kind = F.when(raw.startswith("DUMP OF"), "D").when(is_footer, "F").otherwise("H")
+    name = F.when(raw.startswith("DUMP OF"), service).when(is_footer, F.regexp_extract(raw, r"'([^']+)'", 1)).otherwise(head_name)
+    # Generated columns are computed once; plain aliases would be repeated in every later filter.
+    marks = marks.select("source_id", "line_num", F.inline(F.array(F.struct(kind.alias("kind"), name.alias("name")))))
+    marks = marks.filter((F.col("name") != "") & (F.col("name") != "dumpstate"))
 
     # Bracket matching per name: ``open`` is the number of open headers, never below zero, so a
     # stray footer changes nothing. A footer closes the latest header opened at its depth.

@@ -52,7 +52,8 @@ def track_state(lines: DataFrame, rules: list[Rule], defaults: dict, tracker: st
     for i, r in enumerate(rules):
         cond = F.coalesce(r.when, F.lit(False))
         pick = F.when(cond, F.lit(i)) if pick is None else pick.when(cond, F.lit(i))
-    hit = lines.withColumn("_rule", pick).filter(F.col("_rule").isNotNull())
+    # Generated, so that the rules are tested once per line and not again for the filter.
+    hit = lines.select("*", F.inline(F.array(F.struct(pick.alias("_rule"))))).filter(F.col("_rule").isNotNull())
 
     def delta(f: str) -> Column:
         out = None

@@ -1,9 +1,13 @@
-"""Raw lines (``source_id, line_num, raw``) to LINE rows. All parsing is one projection: no shuffle, no UDF."""
+"""Raw lines (``source_id, line_num, raw``) to LINE rows. All parsing is one projection: no shuffle, no UDF.
+
+Each line shape is matched once per line; all its groups come out of that one pass.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.extract import all_groups, matched
 from ..functions.levels import level_name, level_ord
 from ..functions.scalars import NS_PER_SEC, civil_ns
 from ..operators.joins import device_facts as first_matches
@@ -11,10 +15,10 @@ from ..operators.sections import with_section
 from ..schemas import LINE_COLUMNS
 
 # Line shapes.
-THREADTIME = (r"^(\d{2})-(\d{2}) (\d{2}):(\d{2}):(\d{2})\.(\d{3})\s+(\S+)\s+(\d+)(?:\s+(\d+))?\s+"
+THREADTIME = (r"(?s)^(\d{2})-(\d{2}) (\d{2}):(\d{2}):(\d{2})\.(\d{3})\s+(\S+)\s+(\d+)(?:\s+(\d+))?\s+"
               r"([VDIWEFSvdiwefs])\s+(.*?):\s*(.*)$")
-BRIEF = r"^([VDIWEFSvdiwefs])/(.+?)\(\s*(\d+)\):\s*(.*)$"
-KERNEL = r"^(?:<(\d+)>)?\[\s*(\d+)\.(\d+)\]\s+(?:\((\S+)\)\s+)?(.*)$"
+BRIEF = r"(?s)^([VDIWEFSvdiwefs])/(.+?)\(\s*(\d+)\):\s*(.*)$"
+KERNEL = r"(?s)^(?:<(\d+)>)?\[\s*(\d+)\.(\d+)\]\s+(?:\((\S+)\)\s+)?(.*)$"
 CAPTURE_HEADER = r"^== dumpstate: (\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2}):(\d{2})"
 SEPARATOR = "-----"
 GRACE_NS = 300 * NS_PER_SEC
@@ -26,35 +30,39 @@ def _line(df: DataFrame, source_type: str, **cols: Column) -> DataFrame:
     return df.withColumns(given).select(*LINE_COLUMNS)
 
 
-def _threadtime(raw: Column, year: Column) -> dict[str, Column]:
-    g = lambda i: F.regexp_extract(raw, THREADTIME, i)
+def _staged(df: DataFrame) -> DataFrame:
+    """Add the groups of the two log shapes; the second is tried only where the first fails."""
+    df = df.withColumn("_t", all_groups("raw", THREADTIME))
+    return df.withColumn("_b", F.when(~matched("_t"), all_groups("raw", BRIEF)))
+
+
+def _threadtime(year: Column) -> dict[str, Column]:
+    g = lambda i: F.get(F.col("_t"), F.lit(i))
     third = g(9) != ""
-    ts = civil_ns(year, g(1).try_cast("int"), g(2).try_cast("int"), g(3).try_cast("int"), g(4).try_cast("int"),
-                  g(5).try_cast("int"), F.rpad(g(6), 9, "0").try_cast("bigint"))
+    num = lambda i: g(i).try_cast("int")
     return {
-        "ts_ns": ts, "level_ord": level_ord(g(10)), "tag": F.trim(g(11)), "message": g(12),
-        "pid": F.coalesce(F.when(third, g(8)).otherwise(g(7)).try_cast("int"), F.lit(0)),
-        "tid": F.when(third, g(9)).otherwise(g(8)).try_cast("int"),
+        "ts_ns": civil_ns(year, num(1), num(2), num(3), num(4), num(5), F.rpad(g(6), 9, "0").try_cast("bigint")),
+        "level_ord": level_ord(g(10)), "tag": F.trim(g(11)), "message": g(12),
+        "pid": F.coalesce(F.when(third, num(8)).otherwise(num(7)), F.lit(0)),
+        "tid": F.when(third, num(9)).otherwise(num(8)),
     }
 
 
 def parse_threadtime(df: DataFrame, capture_year: int) -> DataFrame:
     """Only the lines in threadtime form: ``MM-DD HH:MM:SS.mmm [uid] pid tid L tag: message``."""
-    hit = df.filter(F.col("raw").rlike(THREADTIME))
-    return _line(hit, "Logcat", **_threadtime(F.col("raw"), F.lit(capture_year)))
-
-
-def _logcat(raw: Column, year: Column) -> dict[str, Column]:
-    is_tt, is_brief = raw.rlike(THREADTIME), raw.rlike(BRIEF)
-    tt = _threadtime(raw, year)
-    b = lambda i: F.regexp_extract(raw, BRIEF, i)
-    zero = F.lit(0)
-    brief = {"ts_ns": F.lit(None).cast("bigint"), "level_ord": level_ord(b(1)), "tag": F.trim(b(2)), "message": b(4),
-             "pid": b(3).try_cast("int"), "tid": zero}
-    other = {"ts_ns": F.lit(None).cast("bigint"), "level_ord": F.lit(2), "tag": F.lit(""), "message": raw,
-             "pid": zero, "tid": zero}
+    hit = df.withColumn("_t", all_groups("raw", THREADTIME)).filter(matched("_t"))
+    return _line(hit, "Logcat", **_threadtime(F.lit(capture_year)))
+
+
+def _logcat(year: Column) -> dict[str, Column]:
+    """Columns of a staged line: threadtime, else brief, else an Info line holding the text."""
+    tt = _threadtime(year)
+    b = lambda i: F.get(F.col("_b"), F.lit(i))
+    none, zero = F.lit(None).cast("bigint"), F.lit(0)
+    brief = {"ts_ns": none, "level_ord": level_ord(b(1)), "tag": F.trim(b(2)), "message": b(4), "pid": b(3).try_cast("int"), "tid": zero}
+    other = {"ts_ns": none, "level_ord": F.lit(2), "tag": F.lit(""), "message": F.col("raw"), "pid": zero, "tid": zero}
     types = {"level_ord": "tinyint", "pid": "int", "tid": "int", "ts_ns": "bigint"}
-    out = {k: F.when(is_tt, tt[k]).when(is_brief, brief[k]).otherwise(other[k]) for k in tt}
+    out = {k: F.when(matched("_t"), tt[k]).when(matched("_b"), brief[k]).otherwise(other[k]) for k in tt}
     return {k: c.cast(types[k]) if k in types else c for k, c in out.items()}
 
 
@@ -62,21 +70,19 @@ def parse_logcat(df: DataFrame, capture_year: int, keep_separators: bool = False
     """Threadtime or brief lines; other text becomes an Info line; ``-----`` separators are left out."""
     if not keep_separators:
         df = df.filter(~F.col("raw").startswith(SEPARATOR))
-    return _line(df, source_type, **_logcat(F.col("raw"), F.lit(capture_year)))
+    return _line(_staged(df), source_type, **_logcat(F.lit(capture_year)))
 
 
 def parse_kernel(df: DataFrame, boot_ts_ns: int = 0) -> DataFrame:
     """``<n>[sec.frac] (function) message``; other lines are left out. Times count from ``boot_ts_ns``."""
-    raw = F.col("raw")
-    g = lambda i: F.regexp_extract(raw, KERNEL, i)
+    df = df.withColumn("_k", all_groups("raw", KERNEL)).filter(matched("_k"))
+    g = lambda i: F.get(F.col("_k"), F.lit(i))
     prio = g(1).try_cast("bigint").bitwiseAND(F.lit(7))
     # Kernel priorities 0..7 to level ranks.
     rank = F.element_at(F.array(*[F.lit(x) for x in (5, 5, 4, 4, 3, 2, 2, 1)]), (prio + 1).cast("int"))
     ts = F.lit(boot_ts_ns) + g(2).try_cast("bigint") * NS_PER_SEC + F.rpad(g(3), 9, "0").try_cast("bigint")
-    return _line(df.filter(raw.rlike(KERNEL)), "Kernel", ts_ns=ts,
-                 level_ord=F.when(g(1) == "", F.lit(2)).otherwise(rank).cast("tinyint"),
-                 tag=F.when(g(4) == "", F.lit("kernel")).otherwise(g(4)), message=g(5),
-                 pid=F.lit(0), tid=F.lit(0))
+    return _line(df, "Kernel", ts_ns=ts, level_ord=F.when(g(1) == "", F.lit(2)).otherwise(rank).cast("tinyint"),
+                 tag=F.when(g(4) == "", F.lit("kernel")).otherwise(g(4)), message=g(5), pid=F.lit(0), tid=F.lit(0))
 
 
 def _capture_ts(raw: Column) -> Column:
@@ -100,12 +106,12 @@ def parse_bugreport(df: DataFrame, capture_year: int, source_type: str = "Bugrep
     section = F.when(inner.contains(" ("), F.trim(F.regexp_extract(inner, r"^(.*) \(", 1))).otherwise(inner)
     capture, rule = raw.rlike(CAPTURE_HEADER), raw.startswith("====")
     special = head | capture | rule
-    log = _logcat(raw, F.lit(capture_year))
+    log = _logcat(F.lit(capture_year))
     rank = (F.when(rule | footer, F.lit(0)).when(special, F.lit(2)).otherwise(log["level_ord"])).cast("tinyint")
     tag = (F.when(rule, "").when(capture, "dumpstate").when(footer, F.regexp_extract(raw, "'([^']+)'", 1))
            .when(head, section).otherwise(log["tag"]))
     plain = lambda k, v: F.when(special, v).otherwise(log[k])
-    out = _line(df, source_type, ts_ns=plain("ts_ns", F.lit(None).cast("bigint")), level_ord=rank, tag=tag,
+    out = _line(_staged(df), source_type, ts_ns=plain("ts_ns", F.lit(None).cast("bigint")), level_ord=rank, tag=tag,
                 message=plain("message", raw), pid=plain("pid", F.lit(0)), tid=plain("tid", F.lit(0)))
     return correct_year(out, capture_times(df), capture_year)
 

@@ -109,7 +109,7 @@ def stream_correlate(df: DataFrame, trigger: Source, sources: list[Source], with
     """
     declared = [trigger, *sources] if trigger_first else [*sources, trigger]
     t_ord = declared.index(trigger)
-    ids = [s.id for s in sources]
+    trigger_id, ids = trigger.id, [s.id for s in sources]
     recs = _records(df, declared).select("source_id", "line_num", "ts_ns", "_ord", "cause", F.to_json("fields").alias("fields"))
     width = None if within_ms is None else within_ms * NS_PER_MS
 
@@ -127,7 +127,7 @@ def stream_correlate(df: DataFrame, trigger: Source, sources: list[Source], with
             by_cause = {c: [r for r in held if r[0] == c] for c in ids}
             if ids and all(by_cause.values()):
                 last = {c: rs[-1] for c, rs in by_cause.items()}
-                slots = {f"{trigger.id}.{n}": v for n, v in json.loads(fields).items()}
+                slots = {f"{trigger_id}.{n}": v for n, v in json.loads(fields).items()}
                 slots.update({f"{c}.{n}": v for c, r in last.items() for n, v in json.loads(r[3]).items()})
                 out.append((k[0], line, ts, len(held), json.dumps(slots), json.dumps({c: len(v) for c, v in by_cause.items()})))
                 held = []

@@ -20,7 +20,7 @@ from .registry import query
 
 def stream_of_events(spark, sf):
     batch = table(spark, sf, "events")
-    return lines_of(with_event_parts(spark.readStream.schema(batch.schema).parquet(f"{sf}/events.parquet")))
+    return lines_of(with_event_parts(spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)))
 
 
 def places(spark) -> tuple[str, str]:

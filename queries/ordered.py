@@ -94,7 +94,7 @@ def state_intervals(spark, sf):
 
 
 @query("state_at", f"""WITH {LINES}, {TRACK}, pt AS (SELECT source_id, line_num FROM lines WHERE line_num % 7 = 0),
-latest AS (SELECT pt.source_id, pt.line_num, field, arg_max(to_value, tr.line_num) AS v, max(tr.line_num) AS seen_at FROM pt JOIN tr
+latest AS (SELECT pt.source_id, pt.line_num, field, arg_max_null(to_value, tr.line_num) AS v, max(tr.line_num) AS seen_at FROM pt JOIN tr
   ON pt.source_id = tr.source_id AND tr.line_num <= pt.line_num GROUP BY 1, 2, 3),
 wide AS (SELECT pt.source_id, pt.line_num, max(v) FILTER (field = 'status') AS s, max(v) FILTER (field = 'who') AS who,
   max(v) FILTER (field = 'flagged') AS f, count(field) AS n, coalesce(max(seen_at), 0) AS seen_at

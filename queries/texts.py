@@ -79,7 +79,8 @@ def clock(ns: Column) -> Column:
 
 
 def raw_lines(spark, sf, raw: Column) -> DataFrame:
-    return event_lines(spark, sf).withColumn("_raw", raw).select("source_id", "line_num", F.col("_raw").alias("raw"))
+    # A generated column is computed once, however often the parser mentions it.
+    return event_lines(spark, sf).select("source_id", "line_num", F.explode(F.array(raw)).alias("raw"))
 
 
 def _logcat_text() -> Column:
@@ -142,11 +143,11 @@ SECTIONS = """n AS (SELECT count(*) AS n FROM events), j AS (SELECT CAST(i AS BI
 tops AS (SELECT CASE WHEN j % 5 = 0 THEN 'DUMPSYS NORMAL' ELSE 'SEC' || (j % 5) END AS name, j * 97 AS s, j * 97 + 60 AS e, NULL AS parent FROM j),
 kids AS (SELECT 'svc10' AS name, j * 97 + 10 AS s, j * 97 + 29 AS e, j * 97 AS parent FROM j WHERE j % 5 = 0
   UNION ALL SELECT 'svc30', j * 97 + 30, j * 97 + 60, j * 97 FROM j WHERE j % 5 = 0),
-both AS (SELECT *, row_number() OVER (ORDER BY s, e DESC) - 1 AS idx FROM (SELECT * FROM tops UNION ALL SELECT * FROM kids))"""
+nested AS (SELECT *, row_number() OVER (ORDER BY s, e DESC) - 1 AS idx FROM (SELECT * FROM tops UNION ALL SELECT * FROM kids))"""
 
 
 @query("build_sections", f"""WITH {SECTIONS}
-SELECT b.idx AS section_idx, b.name, b.s AS start_line, b.e AS end_line, p.idx AS parent_index FROM both b LEFT JOIN both p ON b.parent = p.s AND p.parent IS NULL""")
+SELECT b.idx AS section_idx, b.name, b.s AS start_line, b.e AS end_line, p.idx AS parent_index FROM nested b LEFT JOIN nested p ON b.parent = p.s AND p.parent IS NULL""")
 def build_sections_q(spark, sf):
     return build_sections(bugreport_lines(spark, sf)).drop("source_id")
 
@@ -160,7 +161,7 @@ def parse_bugreport(spark, sf):
 
 
 @query("sections_of_capture", f"""WITH {LINES}, {SECTIONS}
-SELECT l.line_num, (SELECT b.name FROM both b WHERE l.line_num BETWEEN b.s AND b.e ORDER BY b.s DESC LIMIT 1) AS section FROM lines l""")
+SELECT l.line_num, (SELECT b.name FROM nested b WHERE l.line_num BETWEEN b.s AND b.e ORDER BY b.s DESC LIMIT 1) AS section FROM lines l""")
 def sections_of_capture(spark, sf):
     raw = bugreport_lines(spark, sf)
     return with_section(raw, build_sections(raw)).select("line_num", "section")
