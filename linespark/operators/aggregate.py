@@ -95,10 +95,12 @@ def source_metadata(lines: DataFrame, sections: DataFrame | None = None) -> Data
 
 
 def search_summary(matches: DataFrame) -> DataFrame:
-    """Total, per-level and per-tag counts in one pass: ``kind`` is total, level or tag."""
-    sets = matches.select("level", F.nullif("tag", F.lit("")).alias("tag")).groupingSets(
-        [[], ["level"], ["tag"]], "level", "tag").agg(
-        F.count("*").alias("n"), F.grouping_id().alias("gid"))
+    """Total, per-level and per-tag counts in one pass: ``kind`` is total, level or tag.
+
+    Rows are counted per (level, tag) first; only those counts are expanded into the three groupings.
+    """
+    pairs = matches.groupBy("level", F.nullif("tag", F.lit("")).alias("tag")).agg(F.count("*").alias("_n"))
+    sets = pairs.groupingSets([[], ["level"], ["tag"]], "level", "tag").agg(F.sum("_n").alias("n"), F.grouping_id().alias("gid"))
     kind = F.when(F.col("gid") == 3, "total").when(F.col("gid") == 1, "level").otherwise("tag")
     key = F.when(F.col("gid") == 3, "").when(F.col("gid") == 1, F.col("level")).otherwise(F.col("tag"))
     return sets.select(kind.alias("kind"), key.alias("key"), "n").filter("key IS NOT NULL")

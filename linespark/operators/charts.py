@@ -7,10 +7,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import bucket_floor
-from .ordered import BLOCK_LINES, rank_lines
+from .ordered import BLOCK_LINES, global_rank, rank_lines
 
 AGGS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
@@ -25,10 +25,9 @@ def bar_chart(df: DataFrame, x: str, agg: str = "count", y: str | None = None) -
     """One bar per value, most frequent first; ``x`` is the rank."""
     bars = (df.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("string").alias("label"))
             .agg(F.count("*").alias("_n"), _measure(agg, y).alias("y")))
-    # Rank among distinct values only.
-    rank = F.row_number().over(W.orderBy(F.desc("y" if agg != "count" else "_n"), "label")) - 1
-    return bars.select(F.lit("count" if agg == "count" else f"{agg}({y})").alias("series"),
-                       rank.cast("double").alias("x"), "y", "label")
+    ranked = global_rank(bars, [F.desc("y" if agg != "count" else "_n"), "label"], "x")
+    return ranked.select(F.lit("count" if agg == "count" else f"{agg}({y})").alias("series"),
+                         F.col("x").cast("double").alias("x"), "y", "label")
 
 
 pie_chart = bar_chart
@@ -66,12 +65,13 @@ def histogram(df: DataFrame, field: str, bins: int = 20, range: tuple[float, flo
         lo, hi = F.lit(float(range[0])), F.lit(float(range[1]))
     else:
         lo, hi = vals.select(F.min("v")).scalar(), vals.select(F.max("v")).scalar()
+    # Without values there are no bins; with a derived range the width is NULL then anyway.
+    any_value = vals.select(F.lit(True)).limit(1).scalar() if range is not None else F.lit(True)
     width = (hi - lo) / bins
     idx = F.least(F.greatest(F.floor((F.col("v") - lo) / width), F.lit(0)), F.lit(bins - 1)).cast("int")
     counts = vals.filter(width > 0).groupBy(idx.alias("bin")).agg(F.count("*").alias("n"))
-    any_value = counts.select(F.count("*")).scalar() > 0
     slots = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return slots.join(counts, "bin", "left").filter(any_value).select(
+    return slots.join(counts, "bin", "left").filter(any_value & (width > 0)).select(
         F.lit(field).alias("series"), (lo + width * (F.col("bin") + 0.5)).alias("x"),
         F.coalesce("n", F.lit(0)).cast("double").alias("y"), F.lit(None).cast("string").alias("label"))
 

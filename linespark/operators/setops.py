@@ -30,8 +30,11 @@ def timeline_range(tl: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def timeline_index(tl: DataFrame) -> DataFrame:
-    """0-based ``position`` of every line in the timeline."""
-    return global_rank(tl, ORDER, "position")
+    """0-based ``position`` of every line in the timeline, as (ts_ns, source_id, line_num, position).
+
+    Only the three order columns are sorted and checkpointed; join the texts back where they are needed.
+    """
+    return global_rank(tl.select(*ORDER), ORDER, "position")
 
 
 def cross_query(tl: DataFrame, start: int | None = None, end: int | None = None, tags: list[str] | None = None,

@@ -137,7 +137,7 @@ def device_facts(lines: DataFrame, sections: DataFrame) -> DataFrame:
     Header facts stand before the first section; the kernel version is the first text line of its section;
     the properties are in theirs.
     """
-    placed = with_section(lines, sections)
+    placed = with_section(lines, sections.filter(F.col("name").isin("SYSTEM PROPERTIES", "KERNEL VERSION")))
     starts = sections.groupBy("source_id").agg(F.min("start_line").alias("_first_section"))
     placed = placed.join(starts, "source_id", "left")
     top = F.col("_first_section").isNull() | (F.col("line_num") < F.col("_first_section"))
