@@ -166,17 +166,18 @@ def lttb(df: DataFrame, x: str = "line_num", y: str = "y", n: int = 500, by=("so
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pts.select(*by).schema)
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        if len(pdf) <= 2:
-            return pdf
-        return pdf.iloc[_hull(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))]
+        """Corners of every bucket in one group of rows."""
+        kept = []
+        for _, g in pdf.sort_values("i").groupby("b", sort=False):
+            kept.append(g if len(g) <= 2 else g.iloc[_hull(g["x"].to_numpy(float), g["y"].to_numpy(float))])
+        return pd.concat(kept)[[*by, "b", "i", "x", "y"]]
 
     schema = f"{names}, b long, i long, x long, y double"
     body = rest.select(*by, "b", "i", "x", "y")
-    piece = body.withColumn("_p", F.expr(f"i div {int(block_lines)}L"))
-    reduced = piece.groupBy(*by, "b", "_p").applyInPandas(
-        lambda pdf: corners(pdf.drop(columns="_p")), schema)
-    reduced = reduced.groupBy(*by, "b").applyInPandas(corners, schema).join(sums, [*by, "b"])
+    # A piece holds at most block_lines points of one series, whatever the buckets; then the pieces' corners are merged.
+    pieces = body.withColumn("_p", F.expr(f"i div {int(block_lines)}L")).groupBy(*by, "_p").applyInPandas(corners, schema)
+    merged = pieces.withColumn("_p", F.expr("b div 64L")).groupBy(*by, "_p").applyInPandas(corners, schema)
+    reduced = merged.join(sums, [*by, "b"])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", kind="stable")

@@ -173,6 +173,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a result that several later steps need once and keep it in the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def global_rank(df: DataFrame, order: list, name: str = "rank", within=(), partitions: int | None = None) -> DataFrame:
     """0-based dense rank of every row under ``order``, optionally within groups.
 

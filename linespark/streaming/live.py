@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import interval_ns
+from ..operators.ordered import settle
 from ..operators.pii import assign_tokens, detect_pii, mask_text
 from ..operators.project import emit
 from ..schemas import PII_MAP
@@ -70,7 +71,7 @@ def mask_batch(batch: DataFrame, batch_id: int, map_path: str, text: str = "mess
     batch gives the same tokens. The returned lines read the map as written.
     """
     spark = batch.sparkSession
-    spans = detect_pii(batch, text, **options)
+    spans = settle(detect_pii(batch, text, **options))
     if batch_id == 0:
         seed = spark.createDataFrame([], PII_MAP)
     else:

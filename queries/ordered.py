@@ -319,7 +319,7 @@ def group_traces_summary(spark, sf):
 @query("lttb")
 def lttb(spark, sf):
     x = extract_fields(event_lines(spark, sf), {"y": (r"cents=(\d+)", "int")})
-    return charts.lttb(x, "line_num", "y", 100, block_lines=BLOCK)
+    return charts.lttb(x, "line_num", "y", 100, block_lines=8 * BLOCK)
 
 
 @query("minmax_downsample", with_lines("""
