@@ -77,13 +77,14 @@ def scan(df: DataFrame, *, keys=("source_id",), order=("line_num",), block_lines
 
     by_block = W.partitionBy(*keys).orderBy("_block")
     earlier = by_block.rowsBetween(W.unboundedPreceding, -1)
-    later = by_block.rowsBetween(1, W.unboundedFollowing)
+    # Looking ahead is looking back in the reverse order: frames open at the far end cost quadratic time.
+    later = W.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
     carried = []
     for v in value:
         kind = v[1]
         c = {"p": lambda: F.last(v, ignorenulls=True).over(earlier),
              "l": lambda: F.last(v, ignorenulls=True).over(earlier),
-             "n": lambda: F.first(v, ignorenulls=True).over(later),
+             "n": lambda: F.last(v, ignorenulls=True).over(later),
              "b": lambda: F.sum(v).over(earlier),
              "k": lambda: F.max(v).over(earlier)}[kind]()
         carried.append(c.alias(f"_in{v}"))
@@ -92,7 +93,7 @@ def scan(df: DataFrame, *, keys=("source_id",), order=("line_num",), block_lines
     inside = W.partitionBy(*keys, "_block").orderBy(*order)
     up_to_prev = inside.rowsBetween(W.unboundedPreceding, -1)
     up_to_here = inside.rowsBetween(W.unboundedPreceding, 0)
-    after = inside.rowsBetween(1, W.unboundedFollowing)
+    after = W.partitionBy(*keys, "_block").orderBy(*[F.desc(o) for o in order]).rowsBetween(W.unboundedPreceding, -1)
     result = {}
     for v in value:
         kind, name, c_in = v[1], v[3:], F.col(f"_in{v}")
@@ -101,7 +102,7 @@ def scan(df: DataFrame, *, keys=("source_id",), order=("line_num",), block_lines
         elif kind == "l":
             result[name] = F.coalesce(F.last(v, ignorenulls=True).over(up_to_here), c_in)
         elif kind == "n":
-            result[name] = F.coalesce(F.first(v, ignorenulls=True).over(after), c_in)
+            result[name] = F.coalesce(F.last(v, ignorenulls=True).over(after), c_in)
         elif kind == "b":
             zero = F.lit(0)
             result[name] = F.coalesce(F.sum(v).over(up_to_prev), zero) + F.coalesce(c_in, zero)
