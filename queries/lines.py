@@ -63,9 +63,9 @@ def emit_rows(spark, sf):
     return both.filter("what = 'cents' OR amount > 50")
 
 
-@query("table_view", with_lines("SELECT line_num, level, tag FROM lines WHERE pid = 7 ORDER BY line_num DESC"))
+@query("table_view", with_lines("SELECT line_num, level, tag FROM lines ORDER BY line_num DESC"))
 def table_view(spark, sf):
-    return project.table_view(event_lines(spark, sf).filter(P.pid_eq(7)), ["line_num", "level", "tag"], "line_num", True)
+    return project.table_view(event_lines(spark, sf), ["line_num", "level", "tag"], "line_num", True)
 
 
 @query("highlight_spans", with_lines("""

@@ -93,7 +93,7 @@ def state_intervals(spark, sf):
         "source_id", "field", "value", "start_line", "end_line", "duration_ns")
 
 
-@query("state_at", f"""WITH {LINES}, {TRACK}, pt AS (SELECT source_id, line_num FROM lines WHERE line_num % 7 = 0),
+@query("state_at", f"""WITH {LINES}, {TRACK}, pt AS (SELECT source_id, line_num FROM lines),
 latest AS (SELECT pt.source_id, pt.line_num, field, arg_max_null(to_value, tr.line_num) AS v, max(tr.line_num) AS seen_at FROM pt JOIN tr
   ON pt.source_id = tr.source_id AND tr.line_num <= pt.line_num GROUP BY 1, 2, 3),
 wide AS (SELECT pt.source_id, pt.line_num, max(v) FILTER (field = 'status') AS s, max(v) FILTER (field = 'who') AS who,
@@ -101,7 +101,7 @@ wide AS (SELECT pt.source_id, pt.line_num, max(v) FILTER (field = 'status') AS s
   FROM pt LEFT JOIN latest ON pt.source_id = latest.source_id AND pt.line_num = latest.line_num GROUP BY 1, 2)
 SELECT source_id, line_num, coalesce(s, 'new') AS status, who, coalesce(f, 'false') AS flagged, n AS known, seen_at AS state_line FROM wide""")
 def state_at(spark, sf):
-    points = event_lines(spark, sf).filter("line_num % 7 = 0").select("source_id", "line_num")
+    points = event_lines(spark, sf).select("source_id", "line_num")
     got = tracker.state_at(transitions(spark, sf), points, DEFAULTS, block_lines=BLOCK)
     return got.select("source_id", "line_num", "status", "who", "flagged", F.size("initialized_fields").cast("bigint").alias("known"), "state_line")
 
