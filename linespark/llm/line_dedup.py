@@ -161,7 +161,7 @@ def _shard(shards: int):
 
 def build_filters(blocked: DataFrame, shards: int) -> DataFrame:
     """``shard, filter``: a cuckoo filter of each shard's keys. A shard's keys come together, so choose enough shards."""
-    def build(key, t: pa.Table) -> pa.Table:
+    def build(key, t):
         f = CuckooFilter.of(t.column("key").to_pylist())
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([f.to_bytes()], pa.binary())})
     return blocked.select(_shard(shards), "key").groupBy("shard").applyInArrow(build, "shard int, filter binary")
@@ -169,7 +169,7 @@ def build_filters(blocked: DataFrame, shards: int) -> DataFrame:
 
 def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, shards: int) -> DataFrame:
     """Filters after keys became blocked (``added``) or stopped being so (``removed``); a shard that outgrew its filter is doubled by rebuilding it."""
-    def update(key, f: pa.Table, changes: pa.Table) -> pa.Table:
+    def update(key, f, changes):
         new = [k for k, on in zip(changes.column("key").to_pylist(), changes.column("on").to_pylist()) if on]
         cuckoo = CuckooFilter.from_bytes(f.column("filter")[0].as_py()) if f.num_rows else CuckooFilter(len(new) // 3 + 1)
         for k, on in zip(changes.column("key").to_pylist(), changes.column("on").to_pylist()):
@@ -181,7 +181,7 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, sha
 
 def screen(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     """The distinct ``keys`` that a filter lets pass: all blocked ones and a few others."""
-    def ask(key, asked: pa.Table, f: pa.Table) -> pa.Table:
+    def ask(key, asked, f):
         if not f.num_rows:
             return pa.table({"key": pa.array([], pa.binary())})
         cuckoo = CuckooFilter.from_bytes(f.column("filter")[0].as_py())
