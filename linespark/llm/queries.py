@@ -51,13 +51,13 @@ def op8(spark, sf):
 
 
 @query("op9_line_dedup", f"""
-WITH lines AS (SELECT doc_id, at, parts[at] AS line FROM (
-    SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS at FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+WITH lines AS (SELECT doc_id, i, parts[i] AS line FROM (
+    SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
 keyed AS (SELECT *, {LOWER.format(f"trim(line, {BLANKS})")} AS key FROM lines),
 blocked AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 judged AS (SELECT k.*, b.key IS NOT NULL AND k.doc_id <> b.keeper AS gone FROM keyed k LEFT JOIN blocked b USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""")
 def op9(spark, sf):
     out = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
