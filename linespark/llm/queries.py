@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, packing, parity_join, quality_rules
+from . import language_id, line_dedup, multiprobe_lsh, packing, parity_join, quality_rules
 from .common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component, d.doc_id)
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id) c USING (doc_id)""")
 def op10(spark, sf):
     return parity_join.near_duplicates(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_multiprobe_lsh")
+def op7(spark, sf):
+    return multiprobe_lsh.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
