@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, multiprobe_lsh, packing, parity_join, quality_rules
+from . import language_id, line_dedup, multiprobe_lsh, packing, parity_join, quality_rules, sentence_pieces, url_lists, word_piece_counts
 from .common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,48 @@ def op10(spark, sf):
 @query("op7_multiprobe_lsh")
 def op7(spark, sf):
     return multiprobe_lsh.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_word_piece_counts")
+def op6(spark, sf):
+    return word_piece_counts.count_pieces(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op2_sentence_pieces")
+def op2(spark, sf):
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return sentence_pieces.decode(encoded, path).select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """List entries made from the pages' own URLs: every seventh page lists its domain, host or path, and every second of these is taken off again."""
+    place = url_lists.normal_url(F.col("url"))
+    host = F.element_at(F.split(place, "/"), 1)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 11 % 300).cast("int"))
+    listed = pages.filter("page_id % 7 = 0").select(
+        F.concat(F.lit("list"), (F.col("page_id") % 3).cast("string")).alias("list_id"), "page_id", day.alias("day"),
+        F.when(F.col("page_id") % 4 == 0, F.regexp_extract(host, "([^.]+\\.[^.]+\\.[^.]+)$", 1)).when(F.col("page_id") % 4 == 1, host).otherwise(place).alias("pattern"))
+    listed = listed.filter("pattern <> ''")
+    return listed.select("list_id", "pattern", "day", F.lit("add").alias("action")).unionByName(
+        listed.filter("page_id % 2 = 0").select("list_id", "pattern", F.date_add("day", 45).alias("day"), F.lit("remove").alias("action")))
+
+
+@query("op3_url_lists", r"""
+WITH places AS (SELECT page_id, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS rest FROM pages),
+parts AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(rest, '^([^/]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS host,
+  regexp_replace(regexp_extract(rest, '^[^/]*(/.*)$', 1), '/+$', '') AS path FROM places),
+p AS (SELECT page_id, host, host || path AS place, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS fetched FROM parts),
+listed AS (SELECT 'list' || (page_id % 3) AS list_id, page_id, DATE '2024-01-01' + CAST(page_id * 11 % 300 AS INTEGER) AS day,
+  lower(CASE page_id % 4 WHEN 0 THEN regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) WHEN 1 THEN host ELSE place END) AS pattern FROM p WHERE page_id % 7 = 0),
+entries AS (SELECT list_id, pattern, day, 'add' AS action FROM listed WHERE pattern <> '' UNION ALL
+  SELECT list_id, pattern, day + 45, 'remove' FROM listed WHERE pattern <> '' AND page_id % 2 = 0),
+hits AS (SELECT p.page_id, e.list_id, e.pattern, max(struct_pack(day := e.day, action := e.action)) AS newest
+  FROM p JOIN entries e ON e.day <= p.fetched AND (p.host = e.pattern OR ends_with(p.host, '.' || e.pattern) OR (contains(e.pattern, '/') AND (p.place = e.pattern OR starts_with(p.place, e.pattern || '/'))))
+  GROUP BY ALL),
+found AS (SELECT page_id, count(*) AS n_entries, min(pattern) AS pattern FROM hits WHERE newest.action = 'add' GROUP BY page_id)
+SELECT p.page_id AS capture_id, p.fetched, f.page_id IS NOT NULL AS blocked, coalesce(n_entries, 0) AS n_entries, pattern FROM p LEFT JOIN found f USING (page_id)""")
+def op3(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 365).cast("int")).alias("fetched"))
+    return url_lists.filter_urls(captures, dated_entries(pages)).select("capture_id", "fetched", "blocked", "n_entries", "pattern")
