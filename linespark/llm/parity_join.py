@@ -13,10 +13,10 @@ a larger partner across the edge also enters the next band.
 that are not empty.  One that has not enters another cut of the sketch too, with another seed; after ``LEVELS`` cuts it
 enters with all its parts.
 
-*Large groups.* Equal sets are one class before anything else.  In a group of equal parts every document is verified
+*Large groups.*  Equal sets are one class before anything else.  In a group of equal parts every document is verified
 against the first and the one before it, never against all.  Links found make clusters, and only documents of
-different clusters in the same group are still open.  A large group that still is cut again by its members' parts under
-another seed, which pairs that are linked must share as well, so accidental meetings scatter and copies stay clustered.
+different clusters in the same group are still open.  A large group that still is compares the whole sketches of its open
+pairs block by block and lets only those pass that the distance bound allows.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ WORDS = 4
 PERCENT = 85
 LEVELS = 3
 GROWTH = 1.5
-SMALL_GROUP = 12
-REFINEMENTS = 3
+SMALL_GROUP = 16
+BLOCK = 256
+BITS = 1024
 _U = np.uint64
 
 
@@ -88,20 +89,19 @@ class Bands:
         return [own] if self.band(widest) == own else [own, own + 1]
 
 
-def sketch_keys(shingles: np.ndarray, bands: Bands, seed: int = 0) -> np.ndarray:
+def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """Keys of the sketch parts with which a set enters the join."""
     out = []
     for band in bands.of(len(shingles)):
         m, need = bands.parts(band), bands.differing(band) + 1
-        for level in range(LEVELS):
-            cut = seed * LEVELS + level
+        for cut in range(LEVELS):
             bits = shingles if not cut else np.sort(mix(shingles ^ mix(np.array([cut], _U))))
             part = ((bits >> _U(32)) * _U(m)) >> _U(32)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             content = np.bitwise_xor.reduceat(mix(bits), first)
             place = part[first]
             enough = len(first) >= need
-            if not enough and level == LEVELS - 1:
+            if not enough and cut == LEVELS - 1:
                 empty = np.setdiff1d(np.arange(m, dtype=_U), place)
                 place, content = np.concatenate([place, empty]), np.concatenate([content, np.zeros(len(empty), _U)])
             out.append(mix(content ^ mix(place + (_U(band * 64 + cut) << _U(40)))))
@@ -186,45 +186,54 @@ def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different clusters in a group."""
+    """Pairs of different clusters in a small group."""
     x, y = (rows.select("key", F.col("id").alias(i), F.col("cluster").alias(c)) for i, c in (("a", "_ca"), ("b", "_cb")))
-    return x.join(y, "key").filter("a < b and _ca <> _cb").select("a", "b").distinct()
+    return x.join(y, "key").filter("a < b and _ca <> _cb").select("a", "b")
 
 
-def _refine(docs: DataFrame, rows: DataFrame, words: int, bands: Bands, seed: int) -> DataFrame:
-    """``key, id``: the members of large groups under keys made of the group and of their parts in another cut."""
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys = [], []
-        for doc, text, groups in zip(b.column(0).to_pylist(), each_text(b.column(1)), b.column(2)):
-            parts = sketch_keys(shingle_set(text, words), bands, seed)
-            made = mix((np.asarray(groups.values).view(np.uint64)[:, None] + mix(parts)[None, :]).ravel())
-            ids.append(np.full(len(made), doc, np.int64))
-            keys.append(made.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(ids), pa.int64())], ["key", "id"])
-    held = rows.groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("key").alias("_groups"))  # bounded by the keys of one document
-    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text").join(held, "doc_id"), run, "key bigint, id bigint")
+def _block_pairs(docs: DataFrame, rows: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs of different clusters in a large group whose whole sketches are near enough.
+
+    A group is dealt over pairs of blocks, so a task never holds more than two blocks of it; only pairs that the Hamming distance of
+    ``BITS``-bit parity sketches does not rule out leave the task.
+    """
+    def sketch(b: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, sketches_ = [], []
+        for text in each_text(b.column(1)):
+            s = shingle_set(text, words)
+            sizes.append(len(s))
+            sketches_.append(np.packbits(np.bincount(s % _U(BITS), minlength=BITS).astype(np.uint8) & 1).tobytes())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(sketches_, pa.binary())], ["id", "size", "sketch"])
+
+    def near(t):
+        ids, cluster, size = (t.column(c).to_numpy() for c in ("id", "cluster", "size"))
+        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        out_a, out_b = [], []
+        for i in range(len(ids)):
+            other = np.flatnonzero((ids > ids[i]) & (cluster != cluster[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            far = np.bitwise_count(bits[other] ^ bits[i]).sum(1, dtype=np.int64)
+            other = other[far <= (100 - percent) * (size[other].astype(np.int64) + size[i]) // (100 + percent)]
+            out_a.append(np.full(len(other), ids[i])), out_b.append(ids[other])
+        return pa.table({"a": np.concatenate(out_a).astype(np.int64), "b": np.concatenate(out_b).astype(np.int64)})
+
+    ids = rows.select(F.col("id").alias("doc_id")).distinct()
+    held = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text").join(ids, "doc_id", "left_semi"), sketch, "id bigint, size int, sketch binary")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    dealt = rows.withColumn("_blocks", blocks).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("key", "id", "cluster", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
+    return dealt.join(held, "id").groupBy("key", "x", "y").applyInArrow(near, "a bigint, b bigint")
 
 
 def class_links(docs: DataFrame, found: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Verified links ``a, b`` between class representatives that connect all that similarity connects."""
-    bands = Bands(percent)
     firsts = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     rows = found.join(firsts, "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     groups = keep(_groups(rows))
     links = keep(verify(docs, keep(_star_pairs(groups)), words, percent))
-    labels = components(links)
-    for round_ in range(1, REFINEMENTS + 1):
-        still = keep(_open(groups, labels))
-        if not still.limit(1).count():
-            break
-        last = round_ == REFINEMENTS
-        pairs = keep(_cross_pairs(still if last else still.filter(F.col("n") <= SMALL_GROUP)))
-        links = keep(links.unionByName(verify(docs, pairs, words, percent)))
-        labels = components(links)
-        if last or not (large := still.filter(F.col("n") > SMALL_GROUP).select("key", "id")).limit(1).count():
-            break
-        groups = keep(_groups(_refine(docs, large, words, bands, round_)))
-    return links
+    still = keep(_open(groups, components(links)))
+    pairs = _cross_pairs(still.filter(F.col("n") <= SMALL_GROUP)).unionByName(_block_pairs(docs, still.filter(F.col("n") > SMALL_GROUP), words, percent))
+    return links.unionByName(verify(docs, keep(pairs.distinct()), words, percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
