@@ -27,7 +27,7 @@ HASHES = 12
 WIDTH = 3.0
 PROBES = 72
 K = 20
-GROUP_ROWS = 20_000
+GROUP_ROWS = 60_000
 
 
 def probe_sets(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -113,7 +113,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, hash
     equal = W.partitionBy("embedding").orderBy("vec_id")
     indexed = all_rows.withColumn("_nth", F.row_number().over(equal)).filter(F.col("_nth") <= k + 1).drop("_nth")
     asking = all_rows.filter(is_query)
-    questions = keep(asking.groupBy("embedding", "dim").agg(F.min("vec_id").alias("qid")))
+    spread_over = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work for each
+    questions = keep(asking.groupBy("embedding", "dim").agg(F.min("vec_id").alias("qid")).repartition(spread_over, "qid"))
 
     def dims(b: pa.RecordBatch):
         d = b.column(b.schema.get_field_index("dim")).to_numpy()
