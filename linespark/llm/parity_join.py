@@ -34,7 +34,7 @@ PERCENT = 85
 LEVELS = 3
 GROWTH = 1.5
 SMALL_GROUP = 16
-BLOCK = 256
+BLOCK = 2048
 BITS = 1024
 _U = np.uint64
 
@@ -110,27 +110,44 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """``BITS`` bits, each flipped by every shingle that falls on it: their Hamming distance is at most the number of differing shingles."""
+    return np.packbits(np.bincount(shingles % _U(BITS), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _may_link(far: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes, whose sketches differ in ``far`` bits, can reach the similarity."""
+    return (far <= (100 - percent) * (x + y) // (100 + percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+
+
 def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, digest, keys``: size, digest of the set and join keys; no digest without words."""
+    """``doc_id, n_shingles, digest, sketch, keys``: size, digest and ``BITS``-bit parity sketch of the set, and join keys; no digest without words."""
     bands = Bands(percent)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ns, digests, keys = [], [], []
+        ns, digests, small, keys = [], [], [], []
         for text in each_text(b.column(1)):
             s = shingle_set(text, words)
             ns.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            small.append(parity_sketch(s))
             keys.append(sketch_keys(s, bands).view(np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         values = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()))],
-                                          ["doc_id", "n_shingles", "digest", "keys"])
-    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(small, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()))],
+                                          ["doc_id", "n_shingles", "digest", "sketch", "keys"])
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary, keys array<bigint>")
+
 
+def verify(docs: DataFrame, found: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a, b`` of documents whose sets reach the similarity: ``100 * shared >= percent * union``.
 
-def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a, b`` of documents whose sets reach the similarity: ``100 * shared >= percent * union``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    Sizes and sketches rule most pairs out before the sets of the others are fetched.
+    """
+    def possible(b: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = b.column(2).to_numpy(), b.column(3).to_numpy()
+        u, v = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(len(x), -1) for i in (4, 5))
+        return b.select([0, 1]).filter(pa.array(_may_link(np.bitwise_count(u ^ v).sum(1, dtype=np.int64), x, y, percent)))
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in each_text(b.column(1))], pa.binary())], ["doc_id", "s"])
@@ -142,8 +159,13 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int =
             shared = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * shared >= percent * (len(x) + len(y) - shared))
         return b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda i, n, k: found.select(F.col("doc_id").alias(i), F.col("n_shingles").alias(n), F.col("sketch").alias(k))
+    sketched = pairs.join(side("a", "_m", "_u"), "a").join(side("b", "_n", "_v"), "b").select("a", "b", "_m", "_n", "_u", "_v")
+    near = keep(map_batches(sketched, possible, "a bigint, b bigint"))
+    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     held = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text").join(ids, "doc_id", "left_semi"), sets, "doc_id bigint, s binary")
-    both = (pairs.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("_x")), "a")
+    both = (near.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("_x")), "a")
             .join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("_y")), "b").select("a", "b", "_x", "_y"))
     return map_batches(both, same, "a bigint, b bigint")
 
@@ -191,33 +213,24 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return x.join(y, "key").filter("a < b and _ca <> _cb").select("a", "b")
 
 
-def _block_pairs(docs: DataFrame, rows: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs of different clusters in a large group whose whole sketches are near enough.
+def _block_pairs(found: DataFrame, rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs of different clusters in a large group whose sketches are near enough.
 
-    A group is dealt over pairs of blocks, so a task never holds more than two blocks of it; only pairs that the Hamming distance of
-    ``BITS``-bit parity sketches does not rule out leave the task.
+    A group is dealt over pairs of blocks, so a task never holds more than two blocks of it, and only pairs that the Hamming distance
+    does not rule out leave the task.
     """
-    def sketch(b: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, sketches_ = [], []
-        for text in each_text(b.column(1)):
-            s = shingle_set(text, words)
-            sizes.append(len(s))
-            sketches_.append(np.packbits(np.bincount(s % _U(BITS), minlength=BITS).astype(np.uint8) & 1).tobytes())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(sketches_, pa.binary())], ["id", "size", "sketch"])
-
     def near(t):
         ids, cluster, size = (t.column(c).to_numpy() for c in ("id", "cluster", "size"))
         bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
         out_a, out_b = [], []
         for i in range(len(ids)):
-            other = np.flatnonzero((ids > ids[i]) & (cluster != cluster[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            other = np.flatnonzero((ids > ids[i]) & (cluster != cluster[i]))
             far = np.bitwise_count(bits[other] ^ bits[i]).sum(1, dtype=np.int64)
-            other = other[far <= (100 - percent) * (size[other].astype(np.int64) + size[i]) // (100 + percent)]
+            other = other[_may_link(far, size[other], size[i], percent)]
             out_a.append(np.full(len(other), ids[i])), out_b.append(ids[other])
         return pa.table({"a": np.concatenate(out_a).astype(np.int64), "b": np.concatenate(out_b).astype(np.int64)})
 
-    ids = rows.select(F.col("id").alias("doc_id")).distinct()
-    held = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text").join(ids, "doc_id", "left_semi"), sketch, "id bigint, size int, sketch binary")
+    held = found.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     dealt = rows.withColumn("_blocks", blocks).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -230,10 +243,10 @@ def class_links(docs: DataFrame, found: DataFrame, words: int = WORDS, percent:
     firsts = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     rows = found.join(firsts, "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     groups = keep(_groups(rows))
-    links = keep(verify(docs, keep(_star_pairs(groups)), words, percent))
+    links = keep(verify(docs, found, keep(_star_pairs(groups)), words, percent))
     still = keep(_open(groups, components(links)))
-    pairs = _cross_pairs(still.filter(F.col("n") <= SMALL_GROUP)).unionByName(_block_pairs(docs, still.filter(F.col("n") > SMALL_GROUP), words, percent))
-    return links.unionByName(verify(docs, keep(pairs.distinct()), words, percent))
+    pairs = _cross_pairs(still.filter(F.col("n") <= SMALL_GROUP)).unionByName(_block_pairs(found, still.filter(F.col("n") > SMALL_GROUP), percent))
+    return links.unionByName(verify(docs, found, keep(pairs.distinct()), words, percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
