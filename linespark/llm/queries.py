@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, multiprobe_lsh, packing, parity_join, quality_rules, sentence_pieces, url_lists, word_piece_counts
+from . import language_id, line_dedup, lm_scoring, multiprobe_lsh, packing, parity_join, quality_rules, sentence_pieces, url_lists, word_piece_counts
 from .common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,21 @@ def op3(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     captures = pages.select(F.col("page_id").alias("capture_id"), "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 365).cast("int")).alias("fetched"))
     return url_lists.filter_urls(captures, dated_entries(pages)).select("capture_id", "fetched", "blocked", "n_entries", "pattern")
+
+
+@query("op1_lm_scoring", f"""
+WITH words AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, list_prepend(chr(0), w) AS w, unnest(range(1, len(w) + 1)) AS i FROM words),
+pairs AS (SELECT doc_id, w[i] AS v, w[i + 1] AS w, count(*) AS n FROM places GROUP BY ALL),
+uses AS (SELECT doc_id, unnest(list_prepend(chr(0), w)) AS word FROM words WHERE len(w) > 0),
+own AS (SELECT doc_id, word, count(*) AS o FROM uses GROUP BY ALL),
+counts AS (SELECT word, sum(o) AS c FROM own GROUP BY word),
+total AS (SELECT sum(c) AS t FROM counts WHERE word <> chr(0)),
+outside AS (SELECT *, sum(n) OVER (PARTITION BY v, w) - n AS c FROM pairs),
+scored AS (SELECT x.doc_id, x.n, CASE WHEN x.c > 0 THEN ln(CAST(x.c AS DOUBLE) / (cv.c - o.o)) ELSE ln(0.4 * cw.c / t) END AS s
+  FROM outside x JOIN own o ON o.doc_id = x.doc_id AND o.word = x.v JOIN counts cv ON cv.word = x.v JOIN counts cw ON cw.word = x.w, total),
+sums AS (SELECT doc_id, sum(n) AS n_words, sum(n * s) AS log_score FROM scored GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(log_score, 4) AS log_score, round(log_score / n_words, 6) AS mean_score FROM documents LEFT JOIN sums USING (doc_id)""")
+def op1(spark, sf):
+    return lm_scoring.score_documents(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_score", 6).alias("mean_score"))
