@@ -47,7 +47,7 @@ def int_div(a: Column, b: Column | int) -> Column:
     """Integer division that yields NULL on a zero divisor."""
     b = F.lit(b) if not isinstance(b, Column) else b
     a, b = a.cast("bigint"), b.cast("bigint")
-    return F.when(b != 0, ((a - a % b) / b).cast("bigint"))
+    return F.when(b != 0, F.call_function("div", a, b))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -64,6 +64,9 @@ def aggregate(df: DataFrame, specs: list[tuple], by: list[str] | str = (), inter
         if kind == "count_by":
             out.append(F.count(f).alias(f"count_{f}"))
         elif kind == "percentile":
+            p = float(args[1]) if len(args) > 1 else 0.5
+            out.append(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY try_cast(`{f}` AS DOUBLE))").alias(f"p{round(p * 100):d}_{f}"))
+        elif kind == "percentile_approx":  # a bounded sketch, for groups with very many distinct values
             p = args[1] if len(args) > 1 else 0.5
             acc = args[2] if len(args) > 2 else 10_000
             out.append(F.percentile_approx(x, p, acc).alias(f"p{round(p * 100):d}_{f}"))

@@ -16,8 +16,8 @@ def pid_in_package(lines: DataFrame, pids: DataFrame, package: str) -> DataFrame
     return lines.join(own, ["source_id", "pid"], "left_semi").select(*lines.columns)
 
 
-def attach_text(df: DataFrame, lines: DataFrame, max_chars: int | None = 500, name: str = "text") -> DataFrame:
-    """Raw text of each row's line, shortened to ``max_chars``."""
+def attach_text(df: DataFrame, lines: DataFrame, max_chars: int | None = None, name: str = "text") -> DataFrame:
+    """Raw text of each row's line, whole or shortened to ``max_chars``."""
     raw = F.col("raw") if max_chars is None else truncate_text("raw", max_chars)
     return df.join(lines.select("source_id", "line_num", raw.alias(name)), ["source_id", "line_num"], "left")
 
@@ -36,7 +36,7 @@ def with_context(matches: DataFrame, lines: DataFrame, n: int) -> DataFrame:
 
 
 def lines_around(lines: DataFrame, center: int, before: int = 25, after: int = 25, source_id: str | None = None,
-                 floor: int = 25) -> DataFrame:
+                 floor: int = 0) -> DataFrame:
     """Lines around one line, at least ``floor`` on each side, flagged ``is_center``."""
     out = lines if source_id is None else lines.filter(F.col("source_id") == source_id)
     lo, hi = center - max(before, floor), center + max(after, floor)

@@ -57,43 +57,41 @@ def sample_uniform(lines: DataFrame, n: int, contiguous: bool = True) -> DataFra
     return base.join(picks, ["source_id", "_pos"]).select(*lines.columns)
 
 
-def sample_recent(lines: DataFrame, n: int, where: Column | None = None, scan_lines: int = 100_000) -> DataFrame:
-    """Newest ``n`` lines per source; with a filter, newest ``n`` matches of the newest ``scan_lines`` lines."""
-    last = lines.groupBy("source_id").agg(F.max("line_num").alias("_last"))
-    reach = n if where is None else scan_lines
-    out = lines.join(last, "source_id").filter(F.col("line_num") > F.col("_last") - reach)
-    if where is not None:
-        out = out.filter(where)
-    # At most scan_lines rows per source are left, so the ranking group is bounded.
-    w = W.partitionBy("source_id").orderBy(F.desc("line_num"))
-    return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select(*lines.columns)
-
-
-def sample_around(lines: DataFrame, center: int, n: int, where: Column | None = None,
-                  scan_lines: int = 100_000) -> DataFrame:
-    """``n`` lines centred on a line; with a filter, the ``n`` matches nearest to it (earlier first on a tie)."""
+def sample_recent(lines: DataFrame, n: int, where: Column | None = None) -> DataFrame:
+    """Newest ``n`` lines per source; with a filter, its newest ``n`` matches, however old they are."""
+    return latest(lines if where is None else lines.filter(where), n)
+
+
+def sample_around(lines: DataFrame, center: int, n: int, where: Column | None = None) -> DataFrame:
+    """``n`` lines centred on a line; with a filter, the ``n`` matches nearest to it (earlier first on a tie).
+
+    Lines are counted, not line numbers, so gaps in the numbers do not shorten the sample. In the filtered form each block first keeps
+    its own nearest ``n``, so a hot source is cut down before it is ranked.
+    """
     if where is None:
-        start = max(center - n // 2, 0)
-        return lines.filter((F.col("line_num") >= start) & (F.col("line_num") < start + n))
-    half = scan_lines // 2
-    out = lines.filter(F.col("line_num").between(center - half, center + half - 1) & where)
-    w = W.partitionBy("source_id").orderBy(F.abs(F.col("line_num") - center), "line_num")
-    return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select(*lines.columns)
+        first = lines.groupBy("source_id").agg(F.count(F.when(F.col("line_num") < center, 1)).alias("_at"))
+        start = F.greatest(F.col("_at") - n // 2, F.lit(0))
+        placed = rank_lines(lines, "_pos").join(first, "source_id")
+        return placed.filter((F.col("_pos") >= start) & (F.col("_pos") < start + n)).select(*lines.columns)
+    order = [F.abs(F.col("line_num") - center), "line_num"]
+    near = lines.filter(where).withColumn("_block", F.expr(f"line_num div {BLOCK_LINES}L"))
+    for group in (["source_id", "_block"], ["source_id"]):
+        near = near.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_r") <= n)
+    return near.select(*lines.columns)
 
 
 def digest(lines: DataFrame, k: int = 40) -> DataFrame:
-    """First, middle and last ``k`` lines of each source, each once."""
-    size = lines.groupBy("source_id").agg((F.max("line_num") + 1).alias("_total"))
+    """First, middle and last ``k`` lines of each source, each once; lines are counted, not line numbers."""
+    size = lines.groupBy("source_id").agg(F.count("*").alias("_total"))
     mid = F.expr("_total div 2") - k // 2
-    n = F.col("line_num")
-    return lines.join(size, "source_id").filter(
+    n = F.col("_pos")
+    return rank_lines(lines, "_pos").join(size, "source_id").filter(
         (n < k) | ((n >= mid) & (n < mid + k)) | (n >= F.col("_total") - k)).select(*lines.columns)
 
 
 def search_with_context(lines: DataFrame, regex: str, limit: int = 20, context: int = 3, offset: int = 0,
                         where: Column | None = None) -> DataFrame:
-    """A page of regex matches per source with up to ten lines of context and the full match count."""
-    context = min(context, 10)
+    """A page of regex matches per source with ``context`` lines around each and the full match count."""
     hits = lines.filter(F.col("raw").rlike(regex) if where is None else F.col("raw").rlike(regex) & where)
     paged = page(hits.select("source_id", "line_num"), offset, limit)
     totals = hits.groupBy("source_id").agg(F.count("*").alias("total_matches"))

@@ -37,7 +37,7 @@ def build_sections(lines: DataFrame) -> DataFrame:
     is_footer = raw.startswith("------") & raw.contains("was the duration of")
     inner = F.trim(F.regexp_replace(F.regexp_replace(raw, r"^-+", ""), r"-+$", ""))
     head_name = F.when(inner.contains(" ("), F.trim(F.regexp_extract(inner, r"^(.*) \(", 1))).otherwise(inner)
-    service = F.trim(F.regexp_replace(F.substring(raw, len("DUMP OF SERVICE ") + 1, 1 << 20), r":+$", ""))
+    service = F.trim(F.regexp_replace(F.substr(raw, F.lit(len("DUMP OF SERVICE ") + 1)), r":+$", ""))
     service = F.regexp_replace(service, r"^(?:CRITICAL|HIGH) ", "")
     kind = F.when(raw.startswith("DUMP OF"), "D").when(is_footer, "F").otherwise("H")
     name = F.when(raw.startswith("DUMP OF"), service).when(is_footer, F.regexp_extract(raw, r"'([^']+)'", 1)).otherwise(head_name)

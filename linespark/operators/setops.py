@@ -38,8 +38,8 @@ def timeline_index(tl: DataFrame) -> DataFrame:
 
 
 def cross_query(tl: DataFrame, start: int | None = None, end: int | None = None, tags: list[str] | None = None,
-                sources: list[str] | None = None, min_level: str | None = None, max_results: int = 1000) -> DataFrame:
-    """First ``max_results`` lines of the timeline that pass time, exact tag, source and level tests."""
+                sources: list[str] | None = None, min_level: str | None = None, max_results: int | None = None) -> DataFrame:
+    """Lines of the timeline that pass time, exact tag, source and level tests, in its order; only the first ``max_results`` when that is given."""
     out = tl.filter(ts_between(start, end))
     if tags:
         out = out.filter(F.col("tag").isin(list(tags)))
@@ -47,7 +47,8 @@ def cross_query(tl: DataFrame, start: int | None = None, end: int | None = None,
         out = out.filter(F.col("source_id").isin(list(sources)))
     if min_level:
         out = out.filter(F.col("level_ord") >= level_rank(min_level))
-    return out.orderBy(*ORDER).limit(max_results)
+    out = out.orderBy(*ORDER)
+    return out if max_results is None else out.limit(max_results)
 
 
 def union_matches(*dfs: DataFrame) -> DataFrame:
@@ -55,8 +56,8 @@ def union_matches(*dfs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.select("source_id", "line_num") for d in dfs]).distinct()
 
 
-def matched_lines(result: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Lines behind a job result of any kind, with text when ``lines`` is given."""
+def matched_lines(result: DataFrame, lines: DataFrame | None = None, max_chars: int | None = None) -> DataFrame:
+    """Lines behind a job result of any kind, with their text (whole, or shortened to ``max_chars``) when ``lines`` is given."""
     column = "line_num" if "line_num" in result.columns else "trigger_line"
     out = result.select("source_id", F.col(column).alias("line_num")).distinct()
-    return out if lines is None else attach_text(out, lines)
+    return out if lines is None else attach_text(out, lines, max_chars)

@@ -35,7 +35,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str | None
     starts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     num = F.col("_base") + F.col("_at") - F.col("_first")
     raw = F.regexp_replace("value", "\r$", "")
-    raw = F.when((num == 0) & raw.startswith("﻿"), F.substring(raw, 2, 1 << 30)).otherwise(raw)
+    raw = F.when((num == 0) & raw.startswith("﻿"), F.substr(raw, F.lit(2))).otherwise(raw)
     return rows.join(starts, ["_path", "_split"]).select(
         source_of(F.col("_path")).alias("source_id"), num.alias("line_num"), raw.alias("raw"))
 

@@ -10,7 +10,7 @@ from linespark.operators import aggregate as A
 from linespark.operators import charts, project, sample
 from linespark.operators.insights import Signal, insights
 
-from .adapters import EVENT_SECTIONS, LINES, event_lines, event_sections, with_lines
+from .adapters import EVENT_SECTIONS, LINES, event_lines, event_sections, table, with_lines
 from .registry import query
 
 
@@ -54,7 +54,7 @@ SELECT tag, ts_ns - ts_ns % 86400000000000 AS bucket, count(*) AS count, CAST(mi
 FROM lines GROUP BY 1, 2"""))
 def aggregate(spark, sf):
     out = A.aggregate(amounts(spark, sf), [("count",), ("min", "cents"), ("max", "cents"), ("avg", "cents"), ("sum", "cents"),
-                                           ("percentile", "cents", 0.9, 100_000)], "tag", "1d")
+                                           ("percentile", "cents", 0.9)], "tag", "1d")
     return out.withColumn("avg_cents", F.round("avg_cents", 6))
 
 
@@ -213,9 +213,31 @@ def sample_around(spark, sf):
     return sample.sample_around(event_lines(spark, sf), 450, 12, F.col("tag") == "error").select("source_id", "line_num")
 
 
+@query("sample_recent_unfiltered", with_lines("""
+SELECT source_id, line_num FROM lines QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY line_num DESC) <= 10"""))
+def sample_recent_unfiltered(spark, sf):
+    return sample.sample_recent(event_lines(spark, sf), 10).select("source_id", "line_num")
+
+
+@query("sample_around_unfiltered", with_lines("""
+, r AS (SELECT source_id, line_num, row_number() OVER (PARTITION BY source_id ORDER BY line_num) - 1 AS p,
+  count(*) FILTER (WHERE line_num < 450) OVER (PARTITION BY source_id) AS c FROM lines)
+SELECT source_id, line_num FROM r WHERE p >= greatest(c - 5, 0) AND p < greatest(c - 5, 0) + 10"""))
+def sample_around_unfiltered(spark, sf):
+    return sample.sample_around(event_lines(spark, sf), 450, 10).select("source_id", "line_num")
+
+
+@query("sample_recent_rare_matches", """
+SELECT CAST(l_suppkey % 2 AS VARCHAR) AS source_id, l_orderkey * 8 + l_linenumber AS line_num FROM lineitem WHERE l_quantity = 50
+QUALIFY row_number() OVER (PARTITION BY l_suppkey % 2 ORDER BY l_orderkey * 8 + l_linenumber DESC) <= 2000""")
+def sample_recent_rare_matches(spark, sf):
+    items = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 2).cast("string").alias("source_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_num"), "l_quantity")
+    return sample.sample_recent(items, 2000, F.col("l_quantity") == 50).select("source_id", "line_num")
+
+
 @query("digest", with_lines("""
-SELECT source_id, line_num FROM (SELECT *, max(line_num) OVER (PARTITION BY source_id) + 1 AS total FROM lines)
-WHERE line_num < 40 OR (line_num >= total // 2 - 20 AND line_num < total // 2 + 20) OR line_num >= total - 40"""))
+SELECT source_id, line_num FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY line_num) - 1 AS p, count(*) OVER (PARTITION BY source_id) AS total FROM lines)
+WHERE p < 40 OR (p >= total // 2 - 20 AND p < total // 2 + 20) OR p >= total - 40"""))
 def digest(spark, sf):
     return sample.digest(event_lines(spark, sf)).select("source_id", "line_num")
 

@@ -256,7 +256,7 @@ def with_context(spark, sf):
 @query("lines_around", with_lines("""
 SELECT source_id, line_num, line_num = 500 AS is_center FROM lines WHERE line_num BETWEEN 500 - 25 AND 500 + 60"""))
 def lines_around(spark, sf):
-    return joins.lines_around(event_lines(spark, sf), 500, 5, 60).select("source_id", "line_num", "is_center")
+    return joins.lines_around(event_lines(spark, sf), 500, 5, 60, floor=25).select("source_id", "line_num", "is_center")
 
 
 @query("with_annotations", f"""WITH {LINES}, a AS (SELECT source_id, 'note ' || line_num AS label, line_num AS start_line,
