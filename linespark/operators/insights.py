@@ -15,7 +15,10 @@ SEVERITIES = ("critical", "warning", "info")
 
 @dataclass(frozen=True)
 class Signal:
-    """Raised per result row (``kind="emission"``) or once per source from the summary (``"aggregate"``)."""
+    """Raised per result row (``kind="emission"``) or once per source from the summary (``"aggregate"``).
+
+    Without a ``message`` template the text is the signal's name and its fields with their values.
+    """
 
     name: str
     severity: str
@@ -25,8 +28,13 @@ class Signal:
     message: str | None = None
 
 
+def told(fields) -> Column:
+    """``a=1, b=2`` for the columns that have a value."""
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in fields])
+
+
 def insights(emissions: DataFrame, summary: DataFrame | None, signals: list[Signal], processor: str = "job",
-             max_signals: int = 20, per_source: bool = True) -> DataFrame:
+             max_signals: int = 20) -> DataFrame:
     """Signals of one job, most severe first, at most ``max_signals`` per source.
 
     ``signal_count`` counts each signal before the cut; ``truncated`` tells that rows were left out.
@@ -42,7 +50,7 @@ def insights(emissions: DataFrame, summary: DataFrame | None, signals: list[Sign
         picked = [F.struct(F.lit(f).alias("k"), F.col(f).cast("string").alias("v")) for f in s.fields]
         fields = (F.map_from_entries(F.filter(F.array(*picked), lambda p: p.v.isNotNull())) if picked
                   else F.create_map().cast("map<string,string>"))
-        msg = render_template(s.message, cols) if s.message else F.lit(None).cast("string")
+        msg = render_template(s.message, cols) if s.message else F.concat_ws(": ", F.lit(s.name), told(s.fields)) if s.fields else F.lit(s.name)
         line = F.col("line_num") if s.kind == "emission" else F.col("_first")
         last = F.lit(None).cast("bigint") if s.kind == "emission" else F.col("_last")
         parts.append(hit.select("source_id", F.lit(processor).alias("processor"), F.lit(s.name).alias("name"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -70,9 +68,8 @@ def highlight_spans(df: DataFrame, text: str, is_regex: bool = False, case_sensi
                     column: str = "raw", name: str = "spans") -> DataFrame:
     """Character offsets ``[start, end)`` of every non-overlapping hit of a search term.
 
-    Plain terms are split natively: the pieces between hits give the offsets. A regex needs
-    match positions, which the built-ins do not report, so only rows that match reach an
-    Arrow UDF.
+    The text is split at the hits: the lengths of the pieces between them and of the hits add up to the
+    offsets. Empty hits of a regex are left out.
     """
     c = F.col(column)
     empty = F.array().cast(SPAN)
@@ -92,18 +89,17 @@ def highlight_spans(df: DataFrame, text: str, is_regex: bool = False, case_sensi
                            lambda a: a.out)
         return df.withColumn(name, F.when(c.isNotNull(), ends).otherwise(empty))
 
-    flags = "" if case_sensitive else "(?i)"
-    pattern = flags + text
-
-    @F.pandas_udf(SPAN)
-    def spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
-        rx = re.compile(pattern)
-        for s in texts:
-            yield s.map(lambda t: [{"start": m.start(), "end": m.end()} for m in rx.finditer(t) if m.end() > m.start()]
-                        if t is not None else [])
-
-    return df.withColumn(name, F.when(c.rlike(pattern), spans(c)).otherwise(empty))
+    pattern = ("" if case_sensitive else "(?i)") + text
+    gaps = F.transform(F.split(c, pattern, -1), F.length)
+    hits = F.transform(F.regexp_extract_all(c, F.lit(pattern), 0), F.length)
+    # An empty hit at the start of the text makes no piece.
+    hits = F.slice(hits, 1 + F.size(hits) - (F.size(gaps) - 1), F.size(gaps) - 1)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")),
+                        lambda a, s: F.struct((a.at + s.gap + s.hit).alias("at"), F.concat(a.out, F.array(F.struct(
+                            (a.at + s.gap).alias("start"), (a.at + s.gap + s.hit).alias("end")))).alias("out")),
+                        lambda a: F.filter(a.out, lambda s: s.end > s.start))
+    return df.withColumn(name, F.when(c.rlike(pattern), found).otherwise(empty))
 
 
 def row_errors(df: DataFrame, exprs: dict[str, Column], keys=("source_id",)) -> DataFrame:

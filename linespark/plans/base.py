@@ -7,9 +7,8 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import render_template
 from ..operators.charts import Chart, build_charts
-from ..operators.insights import Signal, insights
+from ..operators.insights import Signal, insights, told
 from ..operators.sections import in_sections, with_section
 from ..operators.tracker import Rule, final_state, track_state
 
@@ -19,7 +18,8 @@ class Job:
     """A reporter: ``analyse`` turns the kept lines into named tables.
 
     ``emissions`` are typed rows per line and ``summary`` one row per source; counters by value are
-    long tables under their own names.
+    long tables under their own names. Signals per row are raised from the table ``raised_from``. Running
+    a job only declares its tables: charts, whose ranks need a pass of their own, are drawn on demand.
     """
 
     id: str
@@ -29,7 +29,7 @@ class Job:
     source_types: tuple[str, ...] = ("logcat", "bugreport")
     charts: tuple[Chart, ...] = ()
     signals: Callable[[], list[Signal]] = list
-    template: str = ""
+    raised_from: str = "emissions"
 
     def select(self, lines: DataFrame, sections: DataFrame | None = None) -> DataFrame:
         """The job's own lines: rules first, then the section gate on what is left."""
@@ -39,17 +39,21 @@ class Job:
         return kept
 
     def run(self, lines: DataFrame, sections: DataFrame | None = None) -> dict[str, DataFrame]:
-        out = self.analyse(self.select(lines, sections))
-        if self.charts and "emissions" in out:
-            out["charts"] = build_charts(out["emissions"], list(self.charts))
-        return out
+        return self.analyse(self.select(lines, sections))
+
+    def draw(self, result: dict[str, DataFrame]) -> DataFrame:
+        """The job's charts as one table."""
+        if not self.charts:
+            raise ValueError(f"{self.id} has no charts")
+        return build_charts(result["emissions"], list(self.charts))
 
     def insights(self, result: dict[str, DataFrame], max_signals: int = 20) -> DataFrame:
-        return insights(result["emissions"], result.get("summary"), self.signals(), self.id, max_signals)
+        return insights(result[self.raised_from], result.get("summary"), self.signals(), self.id, max_signals)
 
     def summary_text(self, result: dict[str, DataFrame]) -> DataFrame:
+        """One line of text per source: the summary's columns with their values, missing ones left out."""
         s = result["summary"]
-        return s.select("source_id", render_template(self.template, {c: F.col(c) for c in s.columns}).alias("summary"))
+        return s.select("source_id", told([c for c in s.columns if c != "source_id"]).alias("summary"))
 
 
 @dataclass(frozen=True)

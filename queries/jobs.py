@@ -125,29 +125,61 @@ register("crash_storm", "crash-storm-detector", CRASH, ["source_id", "line_num",
 SELECT source_id, line_num, 'com.app' || pid AS process_name, k AS pid FROM lines WHERE k % 3 = 0""", level="Error")
 
 
-@query("crash_storm_bursts", with_lines("""
+CRASH_BURSTS = """
 , x AS (SELECT source_id, line_num, line_num // 2 * 1000000000 AS t, CASE WHEN k % 3 = 0 THEN 'com.app' || pid % 4 ELSE '_default' END AS key FROM lines WHERE k % 3 < 2),
 y AS (SELECT *, row_number() OVER (PARTITION BY source_id, key ORDER BY line_num) AS rn, lag(line_num) OVER (PARTITION BY source_id ORDER BY line_num) AS prev FROM x),
 z AS (SELECT *, rn - min(rn) OVER (PARTITION BY source_id, key ORDER BY t RANGE BETWEEN 10000000000 PRECEDING AND CURRENT ROW) + 1 >= 3 AS hot FROM y),
 w AS (SELECT *, coalesce(lag(hot) OVER (PARTITION BY source_id, key ORDER BY rn), false) AS was FROM z)
-SELECT source_id, key AS burst_key, coalesce(prev, 0) AS line_num, t AS ts_ns FROM w WHERE hot AND NOT was"""))
-def crash_storm_bursts(spark, sf):
+SELECT source_id, key AS burst_key, coalesce(prev, 0) AS line_num, t AS ts_ns FROM w WHERE hot AND NOT was"""
+
+
+def crash_lines(spark, sf):
     x = tell(spark, sf, CRASH, "Error").withColumn("ts_ns", F.expr("line_num div 2") * 10**9)
     x = x.withColumn("message", F.when(F.col("message").startswith("Process: com"), F.concat(F.lit("Process: com.app"), F.col("pid") % 4, F.lit(", PID: 1")))
                      .otherwise(F.col("message")))
-    return JOBS["crash-storm-detector"].run(x)["bursts"].select("source_id", "burst_key", "line_num", "ts_ns")
+    return x
+
+
+@query("crash_storm_bursts", with_lines(CRASH_BURSTS))
+def crash_storm_bursts(spark, sf):
+    return JOBS["crash-storm-detector"].run(crash_lines(spark, sf))["bursts"].select("source_id", "burst_key", "line_num", "ts_ns")
+
+
+@query("crash_storm_signals", with_lines(CRASH_BURSTS.replace("SELECT source_id, key AS burst_key", ", b AS (SELECT source_id, key AS burst_key") + """),
+r AS (SELECT *, 'burst_key=' || burst_key || ', count_in_window=3, window_ms=10000' AS told, count(*) OVER (PARTITION BY source_id) AS total,
+  row_number() OVER (PARTITION BY source_id ORDER BY line_num, burst_key) AS place FROM b)
+SELECT source_id, 'crash_storm' AS name, 'critical' AS severity, line_num AS line, 'crash_storm: ' || told AS message, total AS signal_count, total > 20 AS truncated FROM r WHERE place <= 20"""))
+def crash_storm_signals(spark, sf):
+    j = JOBS["crash-storm-detector"]
+    return j.insights(j.run(crash_lines(spark, sf))).select("source_id", "name", "severity", "line", "message", "signal_count", "truncated")
 
 
-@query("exception_storm_bursts", with_lines("""
+EXCEPTION_BURSTS = """
 , x AS (SELECT source_id, line_num, line_num // 50 * 1000000000 AS t, CASE k % 3 WHEN 0 THEN 'ServiceNotFound:svc' WHEN 1 THEN 'BadStateException' ELSE 'Tag' END AS key FROM lines),
 y AS (SELECT *, row_number() OVER (PARTITION BY source_id, key ORDER BY line_num) AS rn, lag(line_num) OVER (PARTITION BY source_id ORDER BY line_num) AS prev FROM x),
 z AS (SELECT *, t - lag(t, 19) OVER (PARTITION BY source_id, key ORDER BY rn) <= 2000000000 AS hot FROM y),
 w AS (SELECT *, coalesce(lag(hot) OVER (PARTITION BY source_id, key ORDER BY rn), false) AS was FROM z)
-SELECT source_id, key AS burst_key, coalesce(prev, 0) AS line_num, t AS ts_ns FROM w WHERE hot AND NOT was"""))
-def exception_storm_bursts(spark, sf):
+SELECT source_id, key AS burst_key, coalesce(prev, 0) AS line_num, t AS ts_ns FROM w WHERE hot AND NOT was"""
+
+
+def exception_lines(spark, sf):
     texts = [("A", "No service published for: svc"), ("B", "java.lang.BadStateException: {k}"), ("Tag", "failed {k}")]
     x = tell(spark, sf, texts, "Error").withColumn("ts_ns", F.expr("line_num div 50") * 10**9)
-    return JOBS["exception-storm-detector"].run(x)["bursts"].select("source_id", "burst_key", "line_num", "ts_ns")
+    return x
+
+
+@query("exception_storm_bursts", with_lines(EXCEPTION_BURSTS))
+def exception_storm_bursts(spark, sf):
+    return JOBS["exception-storm-detector"].run(exception_lines(spark, sf))["bursts"].select("source_id", "burst_key", "line_num", "ts_ns")
+
+
+@query("exception_storm_signals", with_lines(EXCEPTION_BURSTS.replace("SELECT source_id, key AS burst_key", ", b AS (SELECT source_id, key AS burst_key") + """),
+r AS (SELECT *, 'burst_key=' || burst_key || ', count_in_window=20, window_ms=2000' AS told, count(*) OVER (PARTITION BY source_id) AS total,
+  row_number() OVER (PARTITION BY source_id ORDER BY line_num, burst_key) AS place FROM b)
+SELECT source_id, 'exception_storm' AS name, 'critical' AS severity, line_num AS line, 'exception_storm: ' || told AS message, total AS signal_count, total > 20 AS truncated FROM r WHERE place <= 20"""))
+def exception_storm_signals(spark, sf):
+    j = JOBS["exception-storm-detector"]
+    return j.insights(j.run(exception_lines(spark, sf))).select("source_id", "name", "severity", "line", "message", "signal_count", "truncated")
 
 
 @query("exception_traces", with_lines("""
@@ -415,9 +447,9 @@ for _t in STORIES:
 
 
 @query("job_insights", with_lines("""
-, s AS (SELECT source_id, 'large_kill' AS name, 'warning' AS severity, line_num AS line, 'Large process killed: com.app' || k || ' (PID ' || pid || ') freed ' || cents || '00 KB' AS message
+, s AS (SELECT source_id, 'large_kill' AS name, 'warning' AS severity, line_num AS line, 'large_kill: process_name=com.app' || k || ', pid=' || pid || ', rss_kb=' || cents || '00, reason=idle' AS message
   FROM lines WHERE k % 2 = 0 AND cents * 100 > 100000
-UNION ALL SELECT source_id, 'kill_storm', 'critical', min(line_num), 'Kill storm: ' || count(*) || ' processes killed, ' || sum(cents) * 100 || ' KB freed' FROM lines WHERE k % 2 = 0
+UNION ALL SELECT source_id, 'kill_storm', 'critical', min(line_num), 'kill_storm: total_kills=' || count(*) || ', total_rss_freed_kb=' || sum(cents) * 100 FROM lines WHERE k % 2 = 0
   GROUP BY 1 HAVING count(*) > 50)
 SELECT source_id, name, severity, line, message FROM s QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY severity, line) <= 20"""))
 def job_insights(spark, sf):
@@ -431,11 +463,12 @@ SELECT 'kill_timeline' AS chart_id, ts_ns - ts_ns % 60000000000 AS x, CAST(sum(c
 UNION ALL SELECT 'top_killed_by_rss', row_number() OVER (ORDER BY sum(cents) DESC, 'com.app' || k) - 1, sum(cents), 'com.app' || k FROM lines WHERE k % 2 = 0 GROUP BY k"""))
 def job_charts(spark, sf):
     texts = [("ActivityManager", "Killing {u}:com.app{k}/u0 #{k} idle adj=9 rss={c}kb"), ("ActivityManager", "other")]
-    return JOBS["process-kill-storm"].run(tell(spark, sf, texts))["charts"].select("chart_id", "x", "y", "label")
+    j = JOBS["process-kill-storm"]
+    return j.draw(j.run(tell(spark, sf, texts))).select("chart_id", "x", "y", "label")
 
 
 @query("job_summary_text", with_lines("""
-SELECT source_id, count(*) || ' total crashes seen.' AS summary FROM lines WHERE k % 3 = 0 GROUP BY 1"""))
+SELECT source_id, 'total_crashes=' || count(*) AS summary FROM lines WHERE k % 3 = 0 GROUP BY 1"""))
 def job_summary_text(spark, sf):
     j = JOBS["crash-storm-detector"]
     return j.summary_text(j.run(tell(spark, sf, CRASH, "Error")))

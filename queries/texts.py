@@ -21,7 +21,7 @@ OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_RE = rf"\b(?:{OCTET}\.){{3}}{OCTET}\b"
 
 SPANS = f"""{DOC_LINES}, found AS (
-  SELECT source_id, line_num, message, 'EMAIL' AS category, unnest(regexp_extract_all(message, '{EMAIL_RE}')) AS raw FROM doc_lines WHERE regexp_matches(message, '@[a-z]')
+  SELECT source_id, line_num, message, 'EMAIL' AS category, unnest(list_filter(regexp_extract_all(message, '{EMAIL_RE}'), lambda x: regexp_matches(x, '@[a-z]'))) AS raw FROM doc_lines
   UNION ALL SELECT source_id, line_num, message, 'IPv4', unnest(regexp_extract_all(message, '{IPV4_RE}')) FROM doc_lines)"""
 
 

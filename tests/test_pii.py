@@ -73,3 +73,27 @@ def test_mask_transitions(spark):
     m = spark.createDataFrame([("1.2.3.4", "IPv4", 1, "<IPv4-1>")], PII_MAP)
     got = {r.field: (r.from_value, r.to_value) for r in flat_changes(mask_transitions(tr, m)).collect()}
     assert got == {"ip": ("", "<IPv4-1>"), "on": (None, "true")}
+
+
+HELD = {**{c: [x] for c, x in OTHERS.items()}, "EMAIL": EMAIL, "IPv4": IP, "AID": ID, "IPv6": ["fe80::1", "1:2:3:4:5:6:7:8", "at a::1"],
+        "MAC": ["AA:BB:CC:DD:EE:FF", "aa-bb-cc-dd-ee-ff"], "SESSION": ["JSESSIONID=" + "ab12" * 6, "SESSION_ID: " + "ab12" * 6, "PhpSessId=" + "z9" * 12],
+        "SERIAL": ["Serial: R52X10EJCFA", "sn ABC123XYZ", "sErIaL=ABC123XYZ"], "TOKEN": ["bEARER " + "a1" * 20], "GAID": ["Advertising_ID: 38400000-8cf0-11bd-b23e-10b96e40000d"],
+        "PHONE": ["+1 555 123 4567", "555 123 4567", "(030) 123-456.78"], "CRED": ["HTTPS://me:pw@host/db"]}
+
+
+def test_screens_lose_nothing(spark):
+    rows = [(c, t) for c, texts in HELD.items() for t in texts]
+    df = spark.createDataFrame(rows, "category string, t string")
+    assert set(HELD) == set(pii.DETECTORS)
+    for c, d in pii.DETECTORS.items():
+        got = df.select("category", "t", F.col("t").rlike(d.pattern).alias("hit"), d.may_match(F.col("t")).alias("may")).collect()
+        assert all(r.may or not r.hit for r in got), c
+        assert all(r.hit for r in got if r.category == c), c
+
+
+def test_custom_patterns_mark_the_whole_match(spark):
+    df = folds.lines(spark, [("s", 0, 0, "", "zabcz id-7")])
+    got = [(r.start, r.end, r.raw) for r in pii.detect_pii(df, categories=(), custom={"X": "a(b)c", "ID": r"id-\d+"}).orderBy("start").collect()]
+    assert got == [(1, 4, "abc"), (6, 10, "id-7")]
+    masked, tokens = pii.mask_lines(df, categories=(), custom={"X": "a(b)c", "ID": r"id-\d+"})
+    assert masked.first().message == "z<X-1>z <ID-1>" and pii.unmask(masked, tokens).first().message == "zabcz id-7"
