@@ -97,5 +97,5 @@ def stream_mask(spark, sf):
     """User numbers masked as a custom kind of value; the token numbers are taken out for comparison."""
     out, state = places(spark)
     live.stream_mask(stream_of_events(spark, sf), f"{state}-map", out, state, available_now=True, categories=(),
-                     custom={"PII": r"user=(\d+)"}).awaitTermination()
+                     custom={"PII": r"(?<=user=)\d+"}).awaitTermination()
     return spark.read.parquet(out).select("source_id", "line_num", F.regexp_replace("message", r"<PII-\d+>", "<PII>").alias("message"))
