@@ -1,76 +1,167 @@
-"""Stupid-backoff scores, computed relationally.
+"""Stupid-backoff scores over count tables partitioned by hash.
 
-Documents become rows of distinct word pairs with their number; pairs and words are counted over the whole corpus in
-tables partitioned by hash, and the rows are joined to those counts and summed per document.  A document's own pairs do not speak
-for it: its own counts are taken off before a pair is looked up (leave-one-out), so a text that only repeats itself scores low.
+Documents are gathered into *chunks* of about ``chunk_words`` words.  Each chunk sends its distinct n-grams (words and word
+pairs) with their number to the parts of the count table, one part for each range of 64-bit hashes; a part adds up what all
+chunks sent and answers each of them; a chunk joins the answers to the n-grams of its documents and sums them per document.
+So an n-gram crosses the network once for each chunk that has it, not once for each document, and a pair that every
+document holds weighs no more than one that a document of every chunk holds.
 
-For a word ``w`` after ``v`` (or after the start of the text), with counts outside the document for the pair and for ``v``::
+A document's own pairs do not speak for it: its own counts are taken off before a pair is looked up (leave-one-out), so a
+text that only repeats itself scores low.  For a word ``w`` after ``v`` (or after the start of the text), with counts
+outside the document for the pair and for ``v``::
 
     S(w | v) = c(v w) / c(v)            if the pair occurs in another document
                backoff * c(w) / N       otherwise, over all documents
-
-Pairs are counted by partial sums before the shuffle; a pair, however common, has one row for each document in the join,
-which Spark splits where a key is hot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import each_text, keep, map_batches, mix, safe_columns, word_hashes
+from .common import each_text, keep, mix, map_batches, safe_columns, word_hashes
 
 BACKOFF = 0.4
+CHUNK_WORDS = 1_000_000
+PART_GRAMS = 2_000_000
 START = np.uint64(0x53544152545F5F5F)
+_U = np.uint64
+
+
+class Grams:
+    """The distinct n-grams of a chunk; the start of a text is a word that comes last in the vocabulary."""
+
+    def __init__(self, n_words: np.ndarray, vocabulary: np.ndarray, codes: np.ndarray):
+        self.n_words, self.w = n_words, codes.astype(np.int64)
+        self.size = len(vocabulary) + 1
+        self.doc = np.repeat(np.arange(len(n_words)), n_words)
+        self.v = np.concatenate([[0], self.w[:-1]])
+        self.v[np.cumsum(n_words) - n_words] = self.size - 1
+        pairs, self.pair = np.unique(self.v * self.size + self.w, return_inverse=True)
+        self.pair_v, self.pair_w = pairs // self.size, pairs % self.size
+        words = np.concatenate([vocabulary, [START]])
+        hashes = np.concatenate([mix(words ^ _U(1)), mix(mix(words)[self.pair_v] * _U(3) + words[self.pair_w])])
+        number = np.concatenate([np.bincount(self.w, minlength=self.size), np.bincount(self.pair)])
+        number[self.size - 1] = len(n_words)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes, self.number = hashes[self.order], number[self.order]
+
+    def log_scores(self, counts: np.ndarray, total: int, backoff: float) -> np.ndarray:
+        """Sum of log S of each document, from the corpus counts of ``hashes``."""
+        c = np.empty(len(counts), np.int64)
+        c[self.order] = counts
+        of_word, of_pair = c[:self.size], c[self.size:]
+        n_docs, n_pairs = len(self.n_words), len(of_pair)
+        held, n = np.unique(self.doc * n_pairs + self.pair, return_counts=True)
+        doc, pair = held // n_pairs, held % n_pairs
+        v, w = self.pair_v[pair], self.pair_w[pair]
+        uses, times = np.unique(np.concatenate([self.doc * self.size + self.w, np.arange(n_docs) * self.size + self.size - 1]), return_counts=True)
+        outside = of_pair[pair] - n
+        seen = outside > 0
+        of_v = of_word[v] - times[np.searchsorted(uses, doc * self.size + v)]
+        share = np.where(seen, outside / np.where(seen, of_v, 1), backoff * of_word[w] / total)
+        return np.bincount(doc, weights=n * np.log(share), minlength=n_docs)
+
+
+def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """``chunk, doc_ids, n_words, vocabulary, codes, n_grams``: documents with words, about ``chunk_words`` words together (a longer one alone closes its chunk).
+
+    ``codes`` are the words as places in the vocabulary, the commonest word first, compressed. Chunk numbers hold for one run only: store the table before use.
+    """
+    def pack(ids: list[int], words: list[np.ndarray], number: int) -> pa.RecordBatch:
+        vocabulary, codes, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        common = np.argsort(-times, kind="stable")
+        place = np.empty(len(common), np.int32)
+        place[common] = np.arange(len(common), dtype=np.int32)
+        codes, n_words = place[codes], np.array([len(w) for w in words])
+        n_grams = len(Grams(n_words, vocabulary[common], codes).hashes)
+        row = {"chunk": number, "doc_ids": ids, "n_words": n_words.tolist(), "vocabulary": vocabulary[common].view(np.int64).tolist(),
+               "codes": pa.compress(codes.tobytes(), "zstd", asbytes=True), "n_grams": n_grams}
+        return pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())),
+                                                            ("vocabulary", pa.list_(pa.int64())), ("codes", pa.binary()), ("n_grams", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, size, number = [], [], 0, TaskContext.get().partitionId() << 32
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), each_text(b.column(1))):
+                found = word_hashes(text.lower())
+                if doc is None or not len(found):
+                    continue
+                ids.append(doc), words.append(found)
+                size += len(found)
+                if size >= chunk_words:
+                    yield pack(ids, words, number)
+                    ids, words, size, number = [], [], 0, number + 1
+        if ids:
+            yield pack(ids, words, number)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "chunk bigint, doc_ids array<bigint>, n_words array<int>, vocabulary array<bigint>, codes binary, n_grams bigint")
+
 
+def _numbers(column, kind) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
 
-def word_pairs(docs: DataFrame) -> DataFrame:
-    """``doc_id, v, w, n, own_v``: a document's distinct pairs of 64-bit word hashes, how often, and how often ``v`` is in the document."""
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for doc, text in zip(b.column(0).to_pylist(), each_text(b.column(1))):
-            words = word_hashes(text.lower())
-            if doc is None or not len(words):
-                continue
-            all_ = np.concatenate([[START], words])
-            _, at, times = np.unique(all_, return_inverse=True, return_counts=True)
-            _, first, n = np.unique(mix(all_[:-1]) * np.uint64(3) + words, return_index=True, return_counts=True)
-            for column, x in zip(out, (np.full(len(first), doc, np.int64), all_[:-1][first].view(np.int64), words[first].view(np.int64), n, times[at[first]])):
-                column.append(x)
-        if not out[0]:
-            return None
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, kinds)], ["doc_id", "v", "w", "n", "own_v"])
-    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, v bigint, w bigint, n int, own_v int")
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, c``: occurrences of each word hash; the start of a text counts once for each text with words."""
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [np.concatenate([[START], w]) for t in each_text(b.column(1)) if len(w := word_hashes(t.lower()))]
-        if not found:
-            return None
-        words, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], ["word", "c"])
-    return map_batches(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()), run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def score_documents(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
+
+def _each(t, column: str, kind):
+    for row in t.column(column):
+        yield row.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+
+
+def _grams(t) -> Iterator[Grams]:
+    for n_words, vocabulary, codes in zip(_each(t, "n_words", np.int64), _each(t, "vocabulary", np.int64), t.column("codes")):
+        raw = pa.decompress(codes.as_py(), int(n_words.sum()) * 4, "zstd", asbytes=True)
+        yield Grams(n_words, vocabulary.view(np.uint64), np.frombuffer(raw, np.int32))
+
+
+def requests(stored: DataFrame, parts: int) -> DataFrame:
+    """``part, chunk, grams, number``: the sorted distinct n-gram hashes of each chunk, cut by the part of the count table that holds them."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = {"part": [], "chunk": [], "grams": [], "number": []}
+        for chunk, g in zip(b.column("chunk").to_pylist(), _grams(b)):
+            part = ((g.hashes >> _U(32)) * _U(parts)) >> _U(32)
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            out["part"].append(part[first].astype(np.int64)), out["chunk"].append(np.full(len(first), chunk))
+            out["grams"] += np.split(g.hashes.view(np.int64), first[1:])
+            out["number"] += np.split(g.number.astype(np.int32), first[1:])
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out["grams"]])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out[c]))) for c in ("grams", "number")]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out["part"])), pa.array(np.concatenate(out["chunk"])), *lists], list(out))
+    return map_batches(stored, run, "part bigint, chunk bigint, grams array<bigint>, number array<int>")
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """``part, chunk, counts``: the corpus counts of the n-grams of each request, in its order."""
+    def count(t: pa.Table) -> pa.Table:
+        _, at = np.unique(_numbers(t.column("grams"), np.int64), return_inverse=True)
+        c = np.bincount(at, weights=_numbers(t.column("number"), np.int64)).astype(np.int64)[at]
+        sizes = [len(x) for x in t.column("grams")]
+        return pa.table({"part": t.column("part"), "chunk": t.column("chunk"), "counts": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(c))})
+    return asked.groupBy("part").applyInArrow(count, "part bigint, chunk bigint, counts array<bigint>")
+
+
+def score_documents(docs: DataFrame, backoff: float = BACKOFF, chunk_words: int = CHUNK_WORDS, part_grams: int = PART_GRAMS) -> DataFrame:
     """Add ``n_words``, ``log_score`` (sum of log S) and ``mean_score`` (per word) to every document.
 
     Words are runs of anything but white space, A-Z lower-cased. Null and empty texts, texts of white space and rows with a null ``doc_id`` have 0 words and null
-    scores. Ids are distinct (rows that share one are counted as one document's). Extra columns are carried along; raises if a result column is already there.
+    scores. Ids are distinct (rows that share one are scored one by one and added up). Extra columns are carried along; raises if a result column is already there.
+    ``chunk_words`` and ``part_grams`` (n-grams that come together in one part) bound a task's memory and do not change results.
     """
     safe_columns(docs, ["n_words", "log_score", "mean_score"])
-    counts = keep(word_counts(docs))
-    total = counts.filter(F.col("word") != int(START.view(np.int64))).agg(F.sum("c").alias("_total"))  # one row
-    pairs = word_pairs(docs)
-    pair_counts = pairs.groupBy("v", "w").agg(F.sum("n").alias("_c"))
-    seen = pairs.join(pair_counts, ["v", "w"]).withColumn("_c", F.col("_c") - F.col("n"))
-    looked = seen.select("doc_id", "n", "own_v", "_c", F.when(F.col("_c") > 0, F.col("v")).otherwise(F.col("w")).alias("word"))
-    known = looked.join(counts, "word").join(F.broadcast(total))
-    log = F.when(F.col("_c") > 0, F.log(F.col("_c") / (F.col("c") - F.col("own_v")))).otherwise(F.log(F.lit(backoff) * F.col("c") / F.col("_total")))
-    scores = known.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * log).alias("log_score"))
+    stored = keep(chunks(docs, chunk_words))
+    size = stored.agg(F.sum("n_grams").alias("grams"), F.sum(F.aggregate("n_words", F.lit(0).cast("bigint"), lambda a, n: a + n)).alias("words")).first()  # one row
+    total = int(size["words"] or 0)
+
+    def score(asker: pa.Table, answered: pa.Table) -> pa.Table:
+        counts = _numbers(answered.sort_by("part").column("counts"), np.int64)
+        found = [(ids, n, g.log_scores(counts, total, backoff)) for ids, n, g in zip(_each(asker, "doc_ids", np.int64), _each(asker, "n_words", np.int64), _grams(asker))]
+        return pa.table({"_id": np.concatenate([f[0] for f in found]), "n_words": np.concatenate([f[1] for f in found]), "log_score": np.concatenate([f[2] for f in found])})
+
+    told = answers(requests(stored, max(1, -(-int(size["grams"] or 0) // part_grams))))
+    scored = stored.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "_id bigint, n_words bigint, log_score double")
+    scores = scored.groupBy("_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
     out = docs.join(scores, F.col("doc_id").cast("bigint") == F.col("_id"), "left").drop("_id")
     return out.select(*docs.columns, F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_score"))

@@ -83,6 +83,13 @@ def test_lm_scores_leave_the_document_out(spark):
     assert got[3]["mean_score"] == pytest.approx(np.log(0.4 * 4 / 8))
 
 
+def test_lm_scores_do_not_depend_on_chunks_and_parts(odd):
+    texts = odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10))
+    rows = lambda **sizes: {r["doc_id"]: (r["n_words"], r["log_score"]) for r in lm_scoring.score_documents(texts, **sizes).collect()}
+    whole, cut = rows(), rows(chunk_words=5, part_grams=3)
+    assert whole.keys() == cut.keys() and all(whole[k][0] == cut[k][0] and whole[k][1] == pytest.approx(cut[k][1]) for k in whole)
+
+
 def best_score(text: str, scores: dict[str, float], unknown: float) -> float:
     best = [0.0] + [-np.inf] * len(text)
     for i in range(len(text)):
