@@ -32,6 +32,15 @@ START = np.uint64(0x53544152545F5F5F)
 _U = np.uint64
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """64-bit numbers as compressed bytes, all first bytes before all second ones: small numbers and near neighbours take little room on the way."""
+    return pa.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 class Grams:
     """The distinct n-grams of a chunk; the start of a text is a word that comes last in the vocabulary."""
 
@@ -70,7 +79,7 @@ class Grams:
 def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``chunk, doc_ids, n_words, vocabulary, codes, n_grams``: documents with words, about ``chunk_words`` words together (a longer one alone closes its chunk).
 
-    ``codes`` are the words as places in the vocabulary, the commonest word first, compressed. Chunk numbers hold for one run only: store the table before use.
+    ``codes`` are the words as places in the vocabulary, the commonest word first, squeezed. Chunk numbers hold for one run only: store the table before use.
     """
     def pack(ids: list[int], words: list[np.ndarray], number: int) -> pa.RecordBatch:
         vocabulary, codes, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
@@ -80,7 +89,7 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
         codes, n_words = place[codes], np.array([len(w) for w in words])
         n_grams = len(Grams(n_words, vocabulary[common], codes).hashes)
         row = {"chunk": number, "doc_ids": ids, "n_words": n_words.tolist(), "vocabulary": vocabulary[common].view(np.int64).tolist(),
-               "codes": pa.compress(codes.tobytes(), "zstd", asbytes=True), "n_grams": n_grams}
+               "codes": squeeze(codes), "n_grams": n_grams}
         return pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())),
                                                             ("vocabulary", pa.list_(pa.int64())), ("codes", pa.binary()), ("n_grams", pa.int64())]))
 
@@ -101,11 +110,6 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "chunk bigint, doc_ids array<bigint>, n_words array<int>, vocabulary array<bigint>, codes binary, n_grams bigint")
 
 
-def _numbers(column, kind) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
-
-
 def _each(t, column: str, kind):
     for row in t.column(column):
         yield row.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
@@ -113,34 +117,31 @@ def _each(t, column: str, kind):
 
 def _grams(t) -> Iterator[Grams]:
     for n_words, vocabulary, codes in zip(_each(t, "n_words", np.int64), _each(t, "vocabulary", np.int64), t.column("codes")):
-        raw = pa.decompress(codes.as_py(), int(n_words.sum()) * 4, "zstd", asbytes=True)
-        yield Grams(n_words, vocabulary.view(np.uint64), np.frombuffer(raw, np.int32))
+        yield Grams(n_words, vocabulary.view(np.uint64), unsqueeze(codes.as_py(), int(n_words.sum())))
 
 
 def requests(stored: DataFrame, parts: int) -> DataFrame:
-    """``part, chunk, grams, number``: the sorted distinct n-gram hashes of each chunk, cut by the part of the count table that holds them."""
+    """``part, chunk, n, grams, number``: the sorted distinct n-gram hashes of each chunk (as differences) and how often, squeezed, by the part of the count table that holds them."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = {"part": [], "chunk": [], "grams": [], "number": []}
+        rows = []
         for chunk, g in zip(b.column("chunk").to_pylist(), _grams(b)):
             part = ((g.hashes >> _U(32)) * _U(parts)) >> _U(32)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            out["part"].append(part[first].astype(np.int64)), out["chunk"].append(np.full(len(first), chunk))
-            out["grams"] += np.split(g.hashes.view(np.int64), first[1:])
-            out["number"] += np.split(g.number.astype(np.int32), first[1:])
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out["grams"]])]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out[c]))) for c in ("grams", "number")]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out["part"])), pa.array(np.concatenate(out["chunk"])), *lists], list(out))
-    return map_batches(stored, run, "part bigint, chunk bigint, grams array<bigint>, number array<int>")
+            for p, grams, number in zip(part[first].tolist(), np.split(g.hashes.view(np.int64), first[1:]), np.split(g.number, first[1:])):
+                rows.append((p, chunk, len(grams), squeeze(np.diff(grams, prepend=0)), squeeze(number)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "chunk", "n", "grams", "number"])
+    return map_batches(stored, run, "part bigint, chunk bigint, n bigint, grams binary, number binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """``part, chunk, counts``: the corpus counts of the n-grams of each request, in its order."""
+    """``part, chunk, n, counts``: the corpus counts of the n-grams of each request, in its order, squeezed."""
     def count(t: pa.Table) -> pa.Table:
-        _, at = np.unique(_numbers(t.column("grams"), np.int64), return_inverse=True)
-        c = np.bincount(at, weights=_numbers(t.column("number"), np.int64)).astype(np.int64)[at]
-        sizes = [len(x) for x in t.column("grams")]
-        return pa.table({"part": t.column("part"), "chunk": t.column("chunk"), "counts": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(c))})
-    return asked.groupBy("part").applyInArrow(count, "part bigint, chunk bigint, counts array<bigint>")
+        n = t.column("n").to_pylist()
+        _, at = np.unique(np.concatenate([np.cumsum(unsqueeze(x.as_py(), k)) for x, k in zip(t.column("grams"), n)]), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([unsqueeze(x.as_py(), k) for x, k in zip(t.column("number"), n)])).astype(np.int64)[at]
+        told = pa.array([squeeze(x) for x in np.split(c, np.cumsum(n)[:-1])], pa.binary())
+        return pa.table({"part": t.column("part"), "chunk": t.column("chunk"), "n": t.column("n"), "counts": told})
+    return asked.groupBy("part").applyInArrow(count, "part bigint, chunk bigint, n bigint, counts binary")
 
 
 def score_documents(docs: DataFrame, backoff: float = BACKOFF, chunk_words: int = CHUNK_WORDS, part_grams: int = PART_GRAMS) -> DataFrame:
@@ -156,7 +157,8 @@ def score_documents(docs: DataFrame, backoff: float = BACKOFF, chunk_words: int
     total = int(size["words"] or 0)
 
     def score(asker: pa.Table, answered: pa.Table) -> pa.Table:
-        counts = _numbers(answered.sort_by("part").column("counts"), np.int64)
+        answered = answered.sort_by("part")
+        counts = np.concatenate([unsqueeze(x.as_py(), n) for x, n in zip(answered.column("counts"), answered.column("n").to_pylist())])
         found = [(ids, n, g.log_scores(counts, total, backoff)) for ids, n, g in zip(_each(asker, "doc_ids", np.int64), _each(asker, "n_words", np.int64), _grams(asker))]
         return pa.table({"_id": np.concatenate([f[0] for f in found]), "n_words": np.concatenate([f[1] for f in found]), "log_score": np.concatenate([f[2] for f in found])})
 
