@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -64,6 +65,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = []
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+PIECE = 1 << 18
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a UTF-8 text: equal words have equal hashes wherever they stand."""
+    """A 64-bit hash of each word of a UTF-8 text: equal words have equal hashes wherever they stand.
+
+    A long text is hashed piece by piece, cut at blanks, so that memory grows with its longest word only.
+    """
+    if len(text) <= 2 * PIECE:
+        return _piece_hashes(text)
+    out, start = [], 0
+    while start < len(text):
+        blank = _BLANK.search(text, start + PIECE)
+        end = blank.end() if blank else len(text)
+        out.append(_piece_hashes(text[start:end]))
+        start = end
+    return np.concatenate(out)
+
+
+def _piece_hashes(text: bytes) -> np.ndarray:
     b = np.frombuffer(text, np.uint8)
     if not len(b):
         return np.empty(0, np.uint64)

@@ -14,8 +14,8 @@ that are not empty.  One that has not enters another cut of the sketch too, with
 enters with all its parts.
 
 *Large groups.*  Equal sets are one class before anything else.  In a group of equal parts every document is verified
-against the first and the one before it, never against all.  Links found make clusters, and only documents of
-different clusters in the same group are still open.  A large group that still is compares the whole sketches of its open
+against the first, then against the one before it if their clusters differ, never against all.  Links found make clusters,
+and only documents of different clusters in the same group are still open.  A large group that still is compares the whole sketches of its open
 pairs block by block and lets only those pass that the distance bound allows.
 """
 
@@ -196,8 +196,16 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def _star_pairs(groups: DataFrame) -> DataFrame:
-    """Each document of a group with the first of the group and with the one before it."""
-    return groups.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("id").alias("b")).filter("a < b").distinct()
+    """Each document of a group with the first of the group."""
+    return groups.select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a < b").distinct()
+
+
+def _chain_pairs(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each document of a group with the one before it, where their clusters differ."""
+    pairs = groups.select(F.col("before").alias("a"), F.col("id").alias("b")).filter("a < b").distinct()
+    side = lambda i: labels.select(F.col("id").alias(i), F.col("component").alias(f"_c{i}"))
+    known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return known.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
 def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
@@ -244,6 +252,8 @@ def class_links(docs: DataFrame, found: DataFrame, words: int = WORDS, percent:
     rows = found.join(firsts, "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     groups = keep(_groups(rows))
     links = keep(verify(docs, found, keep(_star_pairs(groups)), words, percent))
+    chains = keep(_chain_pairs(groups, components(links)))
+    links = keep(links.unionByName(verify(docs, found, chains, words, percent)))
     still = keep(_open(groups, components(links)))
     pairs = _cross_pairs(still.filter(F.col("n") <= SMALL_GROUP)).unionByName(_block_pairs(found, still.filter(F.col("n") > SMALL_GROUP), percent))
     return links.unionByName(verify(docs, found, keep(pairs.distinct()), words, percent))

@@ -74,6 +74,8 @@ def test_word_hashes():
     a, b = word_hashes(b" the cat\n the\tdog "), word_hashes(b"dog the")
     assert len(a) == 4 and a[0] == a[2] == b[1] and a[3] == b[0] and len(set(a.tolist())) == 3
     assert len(word_hashes(b" \n")) == 0
+    words = [b"w" * (i % 50 + 1) + b"%d" % i for i in range(40_000)] + [b"x" * 700_000]
+    assert word_hashes(b" ".join(words)).tolist() == [word_hashes(w)[0] for w in words]
 
 
 def test_lm_scores_leave_the_document_out(spark):
