@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .ordered import rank_lines, scan
+
 RANGE_BLOCK = 1 << 14
 
 
@@ -67,9 +69,8 @@ def build_sections(lines: DataFrame) -> DataFrame:
     kids = kids.withColumn("_next", F.lead("at").over(after)).select(
         "source_id", F.col("child").alias("name"), F.col("at").alias("start_line"),
         F.coalesce(F.col("_next") - 1, F.col("end_line")).alias("end_line"), F.col("start_line").alias("_parent"))
-    both = tops.withColumn("_parent", F.lit(None).cast("bigint")).unionByName(kids)
-    in_order = W.partitionBy("source_id").orderBy("start_line", F.desc("end_line"))
-    numbered = both.withColumn("section_idx", F.row_number().over(in_order) - 1)
+    both = tops.withColumn("_parent", F.lit(None).cast("bigint")).unionByName(kids).withColumn("_end", -F.col("end_line"))
+    numbered = rank_lines(both, "section_idx", order=("start_line", "_end")).withColumn("section_idx", F.col("section_idx").cast("int"))
     # Top-level starts are unique per source, so the parent index is a lookup on the start line.
     idx = numbered.filter("_parent IS NULL").select("source_id", F.col("start_line").alias("_parent"),
                                                      F.col("section_idx").alias("parent_index"))
@@ -79,9 +80,8 @@ def build_sections(lines: DataFrame) -> DataFrame:
 
 def innermost_ranges(sections: DataFrame) -> DataFrame:
     """Disjoint ranges in which each section is the last one started and not yet over."""
-    w = W.partitionBy("source_id").orderBy("start_line", "section_idx")
-    nxt = F.lead("start_line").over(w)
-    return sections.withColumn("_stop", F.least("end_line", F.coalesce(nxt - 1, F.col("end_line")))).select(
+    ahead = scan(sections, order=("start_line", "section_idx"), next={"_next": F.col("start_line")})
+    return ahead.withColumn("_stop", F.least("end_line", F.coalesce(F.col("_next") - 1, F.col("end_line")))).select(
         "source_id", F.col("start_line").alias("_start"), "_stop", F.col("name").alias("section"),
         F.col("section_idx")).filter("_start <= _stop")
 
@@ -104,12 +104,16 @@ def containing_sections(lines: DataFrame, sections: DataFrame) -> DataFrame:
     return out.withColumn("depth", F.row_number().over(w) - 1)
 
 
+def _runs(rows: DataFrame, order) -> DataFrame:
+    """Add ``_run``, the number of rows up to here that start a run (``_new`` is 1)."""
+    return scan(rows, order=order, before={"_run": F.col("_new")}).withColumn("_run", F.col("_run") + F.col("_new"))
+
+
 def merged_ranges(ranges: DataFrame, start: str = "start_line", end: str = "end_line") -> DataFrame:
     """Union of overlapping or touching ranges per source, as ``_start``/``_stop``."""
-    w = W.partitionBy("source_id").orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(start) > reach + 1), 1).otherwise(0)
-    runs = ranges.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    reached = scan(ranges.select("source_id", start, end), order=(start, end), peak={"_reach": F.col(end)})
+    new = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + 1), 1).otherwise(0)
+    runs = _runs(reached.withColumn("_new", new), (start, end, "_new"))
     return runs.groupBy("source_id", "_run").agg(F.min(start).alias("_start"), F.max(end).alias("_stop")).drop("_run")
 
 
@@ -157,9 +161,10 @@ def section_groups(sections: DataFrame, min_run: int = 5) -> DataFrame:
         "source_id", F.col("parent_index").alias("section_idx")).distinct()
     top = sections.filter("parent_index IS NULL").join(parents, ["source_id", "section_idx"], "left_anti")
     top = top.withColumn("prefix", F.regexp_extract("name", r"^([A-Z][A-Z0-9_]+(?: [A-Z][A-Z0-9_]+)* )", 1))
-    w = W.partitionBy("source_id").orderBy("start_line", "section_idx")
-    change = F.when(F.col("prefix").eqNullSafe(F.lag("prefix").over(w)), 0).otherwise(1)
-    runs = top.withColumn("_c", change).withColumn("_run", F.sum("_c").over(w)).filter("prefix != ''")
+    in_order = ("start_line", "section_idx")
+    top = scan(top, order=in_order, prev={"_before": F.struct("prefix")})
+    change = F.when(F.col("_before").isNotNull() & F.col("prefix").eqNullSafe(F.col("_before.prefix")), 0).otherwise(1)
+    runs = _runs(top.withColumn("_new", change), in_order).filter("prefix != ''")
     return runs.groupBy("source_id", "_run", "prefix").agg(
         F.count("*").alias("sections"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"),
         F.sum(F.col("end_line") - F.col("start_line") + 1).alias("total_lines")).filter(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..schemas import ANNOTATION
@@ -82,17 +84,36 @@ def read_zipped_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Append-only stream of raw lines from a folder; parse it like a batch.
+    """``source_id, line_num, raw`` as an append-only stream from a folder; parse it like a batch.
 
-    ``line_num`` is the row's place in the micro-batch task and orders lines of one file only;
-    sources that carry their own sequence number should be read with ``readStream`` directly.
+    ``line_num`` is a place in the file in bytes: unique and rising inside a file, with gaps. Counting lines would need
+    the splits before, which a stream does not have.
     """
     reader = spark.readStream.option("lineSep", "\n")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path).select(
-        source_of(F.col("_metadata.file_path")).alias("source_id"),
-        F.regexp_replace("value", "\r$", "").alias("raw"))
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"), "value")
+    raw = F.regexp_replace("value", "\r$", "")
+    raw = F.when((F.col("line_num") == 0) & raw.startswith("﻿"), F.substr(raw, F.lit(2))).otherwise(raw)
+    return rows.mapInArrow(_place_in_file, "_path string, line_num bigint, value string").select(
+        source_of(F.col("_path")).alias("source_id"), "line_num", raw.alias("raw"))
+
+
+def _place_in_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of a split's earlier lines after the split's start.
+
+    A later split leaves out the rest of a line it starts in, so its places are too small by at least one byte; one is
+    added so that they stay above those of the split before.
+    """
+    split, used = None, 0
+    for b in batches:
+        places = []
+        for path, start, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.binary_length(b.column(2)).to_pylist()):
+            if (path, start) != split:
+                split, used = (path, start), start + (start > 0)
+            places.append(used)
+            used += size + 1
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.int64()), b.column(2)], ["_path", "line_num", "value"])
 
 
 def source_key(spark: SparkSession, paths: str | list[str], prefix_bytes: int = 4096) -> DataFrame:

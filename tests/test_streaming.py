@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from linespark.operators import stateful as batch
 from linespark.operators import tracker
 from linespark.operators.correlate import correlation_matches
+from linespark.sources.parse import parse_logcat
+from linespark.sources.text import stream_lines
 from linespark.streaming import live, stateful
+from linespark.streaming.live import run_available
 from tests import folds
 from tests.test_ordered import random_lines, spark_rules, spark_sources
 
@@ -70,3 +73,18 @@ def test_watch_totals(fed):
 
 def test_rule_name_changes_with_rules():
     assert live.rule_name("q", ("a",)) != live.rule_name("q", ("b",)) and live.rule_name("q", ("a",)) == live.rule_name("q", ("a",))
+
+
+def test_streamed_text_lines_parse_in_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [f"03-01 10:00:{i % 60:02d}.{i // 60:03d}  100  200 I Tag: message {i}" for i in range(500)]
+    (tmp_path / "in" / "a.txt").write_text("\ufeff" + "\r\n".join(lines) + "\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        parsed = parse_logcat(stream_lines(spark, str(tmp_path / "in")), capture_year=2024)
+        rows = run_available(parsed, str(tmp_path / "out"), str(tmp_path / "state")).orderBy("line_num").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["message"] for r in rows] == [f"message {i}" for i in range(500)]
+    assert rows[0]["line_num"] == 0 and len({r["line_num"] for r in rows}) == 500
