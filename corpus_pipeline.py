@@ -12,14 +12,14 @@ from linespark.llm import language_id, line_dedup, packing, parity_join, quality
 from linespark.llm.common import keep, table
 from linespark.llm.queries import tokenizer_path
 
-#: Below this score a prediction counts as no language.
+#: Below this score a prediction counts as no language; texts that are like no learned language are below it (``language_id.REJECT``).
 MIN_SCORE = 0.25
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language."""
+    """Drop documents without a recognised language: no text, no letter, or like none of the labelled languages."""
     model = language_id.fit(docs)
     return language_id.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 

@@ -5,6 +5,10 @@ roots of the shares of the whole text, so its length does not matter.  Both leve
 vector machines (squared hinge loss): between the mean-balanced samples of families, and between the languages of one
 family.  The winner of a level has the most pair votes, ties by the larger sum of margins.
 
+A vote always has a winner, also for a text in a language that was never learned, for code and for random letters.  So
+every text is also held against what each learned language is like (:class:`Typical`); one that is like none of them gets
+a score below ``REJECT``, whatever the votes say.
+
 Fitting uses a bounded sample: at most ``sample_rows`` labelled documents, shared out equally among the languages and chosen
 by a hash of the id.  Every document is predicted from its whole text.
 """
@@ -26,6 +30,11 @@ FAMILIES = {"romance": "fr es it pt ro ca gl oc", "germanic": "en de nl sv da no
             "uralic": "fi et hu", "turkic": "tr az kk uz", "indic": "hi bn mr ur pa gu ne", "semitic": "ar he am mt"}
 DIM = 4096
 SAMPLE_ROWS = 2400
+#: A text that is like no learned language scores less than this; two levels of one pair each never do on their own.
+REJECT = 0.25
+#: Mean log likelihood (nats per n-gram) that a text may fall short of its language's usual level, more by ``SLACK`` over its
+#: bytes when it is short, and by ``TRUST`` times the lead over the next language; ``ALONE`` is the lead where there is no other.
+SHORTFALL, SLACK, TRUST, ALONE = 0.8, 50.0, 2.0, 0.5
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 _BLANK = bytes(b if _LETTER[b] else 0x20 for b in range(256))
@@ -100,19 +109,52 @@ class Vote:
         return self.classes[best], float(1 / (1 + np.exp(-3 * least[best])))
 
 
+@dataclass
+class Typical:
+    """What each language is like: log shares of its n-grams, and the usual mean log likelihood of a text of it.
+
+    The level is the median over sample texts, each judged by shares of the other half of the sample, so it is as low as
+    unseen texts' when the sample is small. A language with a single text has none and turns nothing away.
+    """
+
+    shares: np.ndarray
+    levels: np.ndarray
+
+    @classmethod
+    def fit(cls, x: np.ndarray, labels: np.ndarray) -> Typical:
+        def logs(v: np.ndarray) -> np.ndarray:
+            return np.log((np.square(v, dtype=float).mean(0) + 1e-6) / (1 + 1e-6 * v.shape[1]))
+        shares, levels = [], []
+        for lang in sorted(set(labels.tolist())):
+            own = x[labels == lang]
+            halves = [own[::2], own[1::2]]
+            shares.append(logs(own))
+            levels.append(np.median(np.concatenate([np.square(a, dtype=float) @ logs(b) for a, b in (halves, halves[::-1])])) if len(own) > 1 else -np.inf)
+        return cls(np.array(shares), np.array(levels))
+
+    def excess(self, v: np.ndarray, n_bytes: int) -> float:
+        """By how much a text is less like its likeliest language than allowed; up to 0 for one that is like it."""
+        likely = self.shares @ np.square(v, dtype=float)
+        best = int(likely.argmax())
+        lead = likely[best] - np.delete(likely, best).max() if len(likely) > 1 else ALONE
+        return float(self.levels[best] - likely[best] - TRUST * lead - SHORTFALL - SLACK / max(1, n_bytes))
+
+
 @dataclass
 class Model:
     families: Vote
     languages: dict[str, Vote]
+    typical: Typical
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """``und`` and 0 for a null text or one without a letter."""
+        """``und`` and 0 for a null text or one without a letter; a score below ``REJECT`` for one that is like no learned language."""
         if not text or not has_letter(text):
             return "und", 0.0
         v = features(text)
         family, a = self.families.predict(v)
         lang, b = self.languages[family].predict(v)
-        return lang, a * b
+        excess = self.typical.excess(v, len(text.encode()))
+        return lang, a * b if excess <= 0 else a * b * REJECT * float(np.exp(-excess))
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
@@ -133,7 +175,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     x = np.array([np.frombuffer(r["v"], np.float32) for r in sample])
     langs = np.array([r["lang"] for r in sample], object)
     families = np.array([family_of(x) for x in langs], object)
-    return Model(Vote.fit(x, families), {f: Vote.fit(x[families == f], langs[families == f]) for f in sorted(set(families))})
+    return Model(Vote.fit(x, families), {f: Vote.fit(x[families == f], langs[families == f]) for f in sorted(set(families))}, Typical.fit(x, langs))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

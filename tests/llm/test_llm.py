@@ -274,6 +274,22 @@ def test_language_of_texts_without_letters(odd):
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[9][0] in ("en", "fr")
 
 
+STRANGE = ["Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Quanto a dir qual era è cosa dura questa selva selvaggia e aspra e forte",
+           "Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność twą w całej ozdobie widzę i opisuję bo tęsknię po tobie",
+           "Мой дядя самых честных правил, когда не в шутку занемог, он уважать себя заставил и лучше выдумать не мог.", "国境の長いトンネルを抜けると雪国であった。夜の底が白くなった。信号所に汽車が止まった。",
+           "for (int i = 0; i < n; ++i) { if (arr[i] == nullptr) continue; size_t len = strlen(arr[i]); memcpy(buf + off, arr[i], len); off += len; } return std::make_pair(buf, off);",
+           "qzxv jkwp vvqk xzzj pqkw wjxv kkzq xqvj zpwk jxqz vwkp qjzx kvxw pzqj xkvw qzpj wxkv jzqp kxwv zqjp " * 3]
+
+
+def test_language_stage_turns_strange_texts_away(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(STRANGE)], DOCS).select(docs.columns)
+    left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(odd), "").select("doc_id").collect()}
+    assert not {-1 - i for i in range(len(STRANGE))} & left
+    clean = {r["doc_id"] for r in docs.filter("lang is not null and n_chars >= 200").collect()}
+    assert len(clean - left) <= 0.002 * len(clean)
+
+
 def test_nearest_recall(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op7(spark, sf).collect()
