@@ -3,13 +3,16 @@
 All of it is DataFrame functions.  Text statistics come from one pass over the texts; everything after that works on one
 small row of numbers for each document.  For each language and source the MCD is sought by concentration steps from two
 fixed starts: take the ``coverage`` share of documents nearest to the present centre, take their mean and covariance,
-repeat, and keep the start with the smaller determinant.  A step is two aggregations that combine before the shuffle, so
-a source with a third of all rows costs no more than any other.  Groups with too few documents use the estimate of their
-language, and languages with too few that of the whole table.
+repeat, and keep the start with the smaller determinant.  With half of the documents as coverage a group may be junk up to
+almost a half.  The covariance of the nearer half is scaled to that of a whole normal population, so the limit is a fixed
+chi-square quantile and no quantile of the documents' own distances, which junk could raise.  A step is two aggregations that
+combine before the shuffle; its joins put a group's rows into one task.  Groups of under ``min_group`` documents use the estimate of their language, languages with fewer that of
+the whole table.
 """
 
 from __future__ import annotations
 
+from math import exp, gamma
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,13 +21,13 @@ from .common import SPACE, keep, safe_columns
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-COVERAGE = 0.75
+COVERAGE = 0.5
 STEPS = 4
 MIN_GROUP = 200
 #: Share of a normal population that the distance limit would reject; texts have heavier tails than that.
 TAIL = 1e-12
 #: Spread, in each transformed statistic, that is never taken for abnormal: the covariance gets its square on the diagonal.
-FLOORS = (1.0, 0.15, 0.5, 0.7, 1.2)
+FLOORS = (0.5, 0.075, 0.25, 0.35, 0.6)
 DIM = len(FLOORS)
 ANY = "\u0000any"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -80,13 +83,21 @@ def chi2_quantile(p: float, dim: int = DIM) -> float:
     return dim * (1 - a + NormalDist().inv_cdf(p) * a ** 0.5) ** 3
 
 
+def consistency(coverage: float, dim: int = DIM) -> float:
+    """Covariance of a normal population over that of its ``coverage`` share nearest to the centre."""
+    if coverage >= 1:
+        return 1.0
+    x = chi2_quantile(coverage, dim)
+    return coverage / (coverage - x ** (dim / 2) * exp(-x / 2) / (2 ** (dim / 2) * gamma(dim / 2 + 1)))
+
+
 X = [f"_x{i}" for i in range(DIM)]
 LOWER = [(i, j) for i in range(DIM) for j in range(i + 1)]
 
 
-def _factor(moments: DataFrame) -> DataFrame:
-    """Mean ``_m*`` and Cholesky factor ``_l*`` of the covariance, from sums of products; ``_det`` is the log determinant."""
-    cov = {f"_c{i}{j}": F.col(f"_q{i}{j}") / F.col("_k") - F.col(f"_m{i}") * F.col(f"_m{j}") + (FLOORS[i] ** 2 if i == j else 0) for i, j in LOWER}
+def _factor(moments: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Mean ``_m*`` and Cholesky factor ``_l*`` of the scaled covariance, from sums of products; ``_det`` is the log determinant."""
+    cov = {f"_c{i}{j}": scale * (F.col(f"_q{i}{j}") / F.col("_k") - F.col(f"_m{i}") * F.col(f"_m{j}")) + (FLOORS[i] ** 2 if i == j else 0) for i, j in LOWER}
     out = moments.withColumns({f"_m{i}": F.col(f"_t{i}") / F.col("_k") for i in range(DIM)}).withColumns(cov)
     for j in range(DIM):  # one column of the factor after the other
         out = out.withColumn(f"_l{j}{j}", F.sqrt(F.greatest(F.col(f"_c{j}{j}") - sum((F.col(f"_l{j}{k}") ** 2 for k in range(j)), F.lit(0.0)), F.lit(1e-9))))
@@ -109,11 +120,12 @@ def _moments() -> list[Column]:
 
 
 def fit_mcd(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """MCD of stored rows ``_key, _x0 ...``: one row per key with mean, factor, ``_limit_unit`` (distance of the coverage quantile) and ``_size``.
+    """MCD of stored rows ``_key, _x0 ...``: one row per key with mean, factor and ``_size``.
 
     The quantile of distances is read off a bounded sketch of all rows (``approx_percentile``, accuracy 10,000).
     """
     quantile = lambda c: F.percentile_approx(c, F.lit(coverage), F.lit(10_000))
+    scale = consistency(coverage)
     centre = vectors.groupBy("_key").agg(*(F.percentile_approx(x, F.lit(0.5), F.lit(10_000)).alias(f"_m{i}") for i, x in enumerate(X)))
     spread = (vectors.join(centre, "_key").groupBy("_key", *(f"_m{i}" for i in range(DIM)))
               .agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"_m{i}")), F.lit(0.5), F.lit(10_000)).alias(f"_a{i}") for i, x in enumerate(X))))
@@ -124,10 +136,9 @@ def fit_mcd(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS)
     for _ in range(steps):
         limits = _with_distance(vectors.join(fitted, "_key")).groupBy("_key", "_start").agg(quantile("_d").alias("_near"))
         near = _with_distance(vectors.join(fitted.join(limits, ["_key", "_start"]), "_key")).filter("_d <= _near")
-        fitted = keep(_factor(near.groupBy("_key", "_start").agg(*_moments())).select("_key", "_start", *FITTED, "_det"))
+        fitted = keep(_factor(near.groupBy("_key", "_start").agg(*_moments()), scale).select("_key", "_start", *FITTED, "_det"))
     best = fitted.groupBy("_key").agg(F.min_by(F.struct(*FITTED), F.struct("_det", "_start")).alias("_f")).select("_key", "_f.*")
-    units = _with_distance(vectors.join(best, "_key")).groupBy("_key").agg(quantile("_d").alias("_limit_unit"), F.count("*").alias("_size"))
-    return keep(best.join(units, "_key"))
+    return keep(best.join(vectors.groupBy("_key").agg(F.count("*").alias("_size")), "_key"))
 
 
 def judge(docs: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
@@ -153,11 +164,8 @@ def verdicts(stats: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, m
     fitted = fit_mcd(vectors, coverage, steps).filter(F.col("_size") >= min_group)
     # Each (language, source) takes the first level that has enough documents; the rows then join once.
     groups = good.groupBy("lang", "source").agg(F.count("*").alias("_n")).select("lang", "source", F.posexplode(levels).alias("_level", "_key"))
-    chosen = (groups.join(fitted, "_key").groupBy("lang", "source").agg(F.min_by(F.struct(*FITTED, "_limit_unit"), "_level").alias("_f")).select("lang", "source", "_f.*"))
+    chosen = (groups.join(fitted, "_key").groupBy("lang", "source").agg(F.min_by(F.struct(*FITTED), "_level").alias("_f")).select("lang", "source", "_f.*"))
     same = stats["lang"].eqNullSafe(chosen["lang"]) & stats["source"].eqNullSafe(chosen["source"])
     joined = stats.join(chosen, same, "left").drop(chosen["lang"]).drop(chosen["source"])
     measured = _with_distance(joined.withColumns({x: F.when(~F.col("base_failed"), v) for v, x in zip(_vector(), X)}))
-    # The limit is a quantile of a normal population, in units that make the coverage quantiles agree.
-    limit = chi2_quantile(1 - tail) / chi2_quantile(coverage)
-    unit = F.greatest(F.col("_limit_unit"), F.lit(1e-9)) * limit
-    return measured.withColumn("distance", F.col("_d") / unit).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= 1))
+    return measured.withColumn("distance", F.col("_d") / chi2_quantile(1 - tail)).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= 1))

@@ -264,6 +264,28 @@ def test_quality_statistics_and_outliers(spark):
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(40))
 
 
+def made_texts(n: int, n_junk: int, at: int = 0, source: str = "s", seed: int = 2) -> list[tuple]:
+    """Plain texts from id ``at``, symbol junk from id ``at`` + 10,000."""
+    rng = np.random.default_rng(seed)
+    plain = [(at + i, " ".join("".join(rng.choice(list("abcdefg"), rng.integers(2, 9))) for _ in range(80)), "en", source) for i in range(n)]
+    return plain + [(at + 10_000 + i, " ".join(f"###{j}$$$%%%" for j in rng.integers(0, 10**6, 80)), "en", source) for i in range(n_junk)]
+
+
+QUALITY = "doc_id bigint, text string, lang string, source string"
+
+
+@pytest.mark.parametrize("n_junk,n", [(105, 195), (135, 165)])
+def test_quality_of_a_group_with_much_junk(spark, n_junk, n):
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(made_texts(n, n_junk), QUALITY)).collect()}
+    assert all(got[i] for i in range(n)) and not any(got[10_000 + i] for i in range(n_junk))
+
+
+def test_quality_of_a_group_of_copies(spark):
+    rows = made_texts(60, 20) + [(20_000 + i, made_texts(1, 0)[0][1], "en", "s") for i in range(120)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, QUALITY)).collect()}
+    assert all(k == (not 10_000 <= i < 20_000) for i, k in got.items())
+
+
 def test_language_held_out(spark):
     rows = queries.op4(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
