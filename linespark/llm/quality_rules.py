@@ -7,7 +7,7 @@ repeat, and keep the start with the smaller determinant.  With half of the docum
 almost a half.  The covariance of the nearer half is scaled to that of a whole normal population, so the limit is a fixed
 chi-square quantile and no quantile of the documents' own distances, which junk could raise.  A step is two aggregations that
 combine before the shuffle; its joins put a group's rows into one task.  Groups of under ``min_group`` documents use the estimate of their language, languages with fewer that of
-the whole table.
+the whole table, which is there however few documents it has.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 COVERAGE = 0.5
 STEPS = 4
-MIN_GROUP = 200
+#: Ten documents for each dimension of the covariance.
+MIN_GROUP = 50
 #: Share of a normal population that the distance limit would reject; texts have heavier tails than that.
 TAIL = 1e-12
 #: Spread, in each transformed statistic, that is never taken for abnormal: the covariance gets its square on the diagonal.
@@ -145,7 +146,7 @@ def judge(docs: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, min_g
     """Add the statistics, ``base_failed``, ``kept`` and ``distance`` (in units of the limit; null for base failures) to every document.
 
     Needs ``text``, ``lang`` and ``source``; null and empty texts fail the base rules, null ``lang`` or ``source`` is a group of its own,
-    repeated rows are judged alike, extra columns are carried along. Without any group of ``min_group`` documents only the base rules judge.
+    repeated rows are judged alike, extra columns are carried along. Without any group of ``min_group`` documents the whole table is the group.
     Raises if a result column is already there.
     """
     safe_columns(docs, [*STATS, "base_failed", "kept", "distance"])
@@ -161,7 +162,7 @@ def verdicts(stats: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, m
     levels = F.array(F.concat_ws("\u0001", lang, source), F.concat_ws("\u0001", lang, F.lit(ANY)), F.concat_ws("\u0001", F.lit(ANY), F.lit(ANY)))
     good = stats.filter(~F.col("base_failed"))
     vectors = good.select(F.explode(levels).alias("_key"), *(v.alias(x) for v, x in zip(_vector(), X)))
-    fitted = fit_mcd(vectors, coverage, steps).filter(F.col("_size") >= min_group)
+    fitted = fit_mcd(vectors, coverage, steps).filter((F.col("_size") >= min_group) | (F.col("_key") == f"{ANY}\u0001{ANY}"))
     # Each (language, source) takes the first level that has enough documents; the rows then join once.
     groups = good.groupBy("lang", "source").agg(F.count("*").alias("_n")).select("lang", "source", F.posexplode(levels).alias("_level", "_key"))
     chosen = (groups.join(fitted, "_key").groupBy("lang", "source").agg(F.min_by(F.struct(*FITTED), "_level").alias("_f")).select("lang", "source", "_f.*"))

@@ -286,6 +286,15 @@ def test_quality_of_a_group_of_copies(spark):
     assert all(k == (not 10_000 <= i < 20_000) for i, k in got.items())
 
 
+def test_quality_of_small_tables_and_groups(spark):
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(made_texts(24, 6), QUALITY)).collect()}
+    assert all(k == (i < 10_000) for i, k in got.items())
+    rows = made_texts(52, 8) + made_texts(300, 0, 30_000, "t")  # the junk of a group of 60 is judged by the group
+    stats = quality_rules.keep(quality_rules.text_stats(spark.createDataFrame(rows, QUALITY)).withColumn("base_failed", quality_rules.base_failed()))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(stats).collect()}
+    assert all(k == (not 10_000 <= i < 20_000) for i, k in got.items()) and len(got) == 360
+
+
 def test_language_held_out(spark):
     rows = queries.op4(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
