@@ -6,7 +6,8 @@ fixed starts: take the ``coverage`` share of documents nearest to the present ce
 repeat, and keep the start with the smaller determinant.  With half of the documents as coverage a group may be junk up to
 almost a half.  The covariance of the nearer half is scaled to that of a whole normal population, so the limit is a fixed
 chi-square quantile and no quantile of the documents' own distances, which junk could raise.  A step is two aggregations that
-combine before the shuffle; its joins put a group's rows into one task.  Groups of under ``min_group`` documents use the estimate of their language, languages with fewer that of
+combine before the shuffle; its joins go by group and salt, as the whole table is a group of its own and a language or source
+may hold most rows.  Groups of under ``min_group`` documents use the estimate of their language, languages with fewer that of
 the whole table, which is there however few documents it has.
 """
 
@@ -31,6 +32,8 @@ TAIL = 1e-12
 FLOORS = (0.5, 0.075, 0.25, 0.35, 0.6)
 DIM = len(FLOORS)
 ANY = "\u0000any"
+#: The rows of a group are dealt over so many join keys, and its estimate is there once for each.
+SALTS = 64
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Documents with more repeated windows than this find their places by sorting instead of by search; the result is the same.
 FEW = 48
@@ -120,23 +123,28 @@ def _moments() -> list[Column]:
     return [F.count("*").alias("_k"), *(F.sum(x).alias(f"_t{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"_q{i}{j}") for i, j in LOWER)]
 
 
+def _salted(estimates: DataFrame) -> DataFrame:
+    """Each estimate once for each salt: groups times ``SALTS`` rows."""
+    return estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def fit_mcd(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """MCD of stored rows ``_key, _x0 ...``: one row per key with mean, factor and ``_size``.
+    """MCD of stored rows ``_key, _salt, _x0 ...``: one row per key with mean, factor and ``_size``; the salt deals a key's rows over tasks.
 
     The quantile of distances is read off a bounded sketch of all rows (``approx_percentile``, accuracy 10,000).
     """
     quantile = lambda c: F.percentile_approx(c, F.lit(coverage), F.lit(10_000))
-    scale = consistency(coverage)
+    on, scale = ["_key", "_salt"], consistency(coverage)
     centre = vectors.groupBy("_key").agg(*(F.percentile_approx(x, F.lit(0.5), F.lit(10_000)).alias(f"_m{i}") for i, x in enumerate(X)))
-    spread = (vectors.join(centre, "_key").groupBy("_key", *(f"_m{i}" for i in range(DIM)))
+    spread = (vectors.join(_salted(centre), on).groupBy("_key", *(f"_m{i}" for i in range(DIM)))
               .agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"_m{i}")), F.lit(0.5), F.lit(10_000)).alias(f"_a{i}") for i, x in enumerate(X))))
     by_median = spread.select("_key", F.lit(0).alias("_start"), *(f"_m{i}" for i in range(DIM)),
                               *(F.sqrt((1.4826 * F.col(f"_a{i}")) ** 2 + FLOORS[i] ** 2).alias(f"_l{i}{j}") if i == j else F.lit(0.0).alias(f"_l{i}{j}") for i, j in LOWER))
     by_mean = _factor(vectors.groupBy("_key").agg(*_moments())).select("_key", F.lit(1).alias("_start"), *FITTED)
     fitted = keep(by_median.unionByName(by_mean))
     for _ in range(steps):
-        limits = _with_distance(vectors.join(fitted, "_key")).groupBy("_key", "_start").agg(quantile("_d").alias("_near"))
-        near = _with_distance(vectors.join(fitted.join(limits, ["_key", "_start"]), "_key")).filter("_d <= _near")
+        limits = _with_distance(vectors.join(_salted(fitted), on)).groupBy("_key", "_start").agg(quantile("_d").alias("_near"))
+        near = _with_distance(vectors.join(_salted(fitted.join(limits, ["_key", "_start"])), on)).filter("_d <= _near")
         fitted = keep(_factor(near.groupBy("_key", "_start").agg(*_moments()), scale).select("_key", "_start", *FITTED, "_det"))
     best = fitted.groupBy("_key").agg(F.min_by(F.struct(*FITTED), F.struct("_det", "_start")).alias("_f")).select("_key", "_f.*")
     return keep(best.join(vectors.groupBy("_key").agg(F.count("*").alias("_size")), "_key"))
@@ -151,22 +159,29 @@ def judge(docs: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, min_g
     """
     safe_columns(docs, [*STATS, "base_failed", "kept", "distance"])
     named = docs.columns
-    stats = keep(text_stats(docs).drop("text").withColumn("base_failed", base_failed()))
+    stats = keep(_with_salt(text_stats(docs).drop("text").withColumn("base_failed", base_failed())))
     judged = verdicts(stats, coverage, steps, min_group, tail)
     return judged.select(*[c for c in named if c != "text"], *STATS, "base_failed", "kept", "distance")
 
 
+def _with_salt(stats: DataFrame) -> DataFrame:
+    """Salts in turn, also for rows that are equal; the row numbers may differ from run to run, so this is stored before use."""
+    return stats.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+
+
 def verdicts(stats: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
     """``kept`` and ``distance`` for a stored table of statistics."""
+    if "_salt" not in stats.columns:
+        stats = keep(_with_salt(stats))
     lang, source = F.coalesce("lang", F.lit("\u0000null")), F.coalesce("source", F.lit("\u0000null"))
     levels = F.array(F.concat_ws("\u0001", lang, source), F.concat_ws("\u0001", lang, F.lit(ANY)), F.concat_ws("\u0001", F.lit(ANY), F.lit(ANY)))
     good = stats.filter(~F.col("base_failed"))
-    vectors = good.select(F.explode(levels).alias("_key"), *(v.alias(x) for v, x in zip(_vector(), X)))
+    vectors = good.select("_salt", F.explode(levels).alias("_key"), *(v.alias(x) for v, x in zip(_vector(), X)))
     fitted = fit_mcd(vectors, coverage, steps).filter((F.col("_size") >= min_group) | (F.col("_key") == f"{ANY}\u0001{ANY}"))
     # Each (language, source) takes the first level that has enough documents; the rows then join once.
     groups = good.groupBy("lang", "source").agg(F.count("*").alias("_n")).select("lang", "source", F.posexplode(levels).alias("_level", "_key"))
-    chosen = (groups.join(fitted, "_key").groupBy("lang", "source").agg(F.min_by(F.struct(*FITTED), "_level").alias("_f")).select("lang", "source", "_f.*"))
-    same = stats["lang"].eqNullSafe(chosen["lang"]) & stats["source"].eqNullSafe(chosen["source"])
-    joined = stats.join(chosen, same, "left").drop(chosen["lang"]).drop(chosen["source"])
+    chosen = _salted(groups.join(fitted, "_key").groupBy("lang", "source").agg(F.min_by(F.struct(*FITTED), "_level").alias("_f")).select("lang", "source", "_f.*"))
+    same = (stats["_salt"] == chosen["_salt"]) & stats["lang"].eqNullSafe(chosen["lang"]) & stats["source"].eqNullSafe(chosen["source"])
+    joined = stats.join(chosen, same, "left").drop(chosen["lang"]).drop(chosen["source"]).drop(chosen["_salt"])
     measured = _with_distance(joined.withColumns({x: F.when(~F.col("base_failed"), v) for v, x in zip(_vector(), X)}))
     return measured.withColumn("distance", F.col("_d") / chi2_quantile(1 - tail)).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= 1))

@@ -295,6 +295,12 @@ def test_quality_of_small_tables_and_groups(spark):
     assert all(k == (not 10_000 <= i < 20_000) for i, k in got.items()) and len(got) == 360
 
 
+def test_quality_joins_deal_a_group_over_salts(spark):
+    stats = quality_rules.keep(quality_rules._with_salt(spark.range(0, 6400, 1, 4)))
+    assert stats.groupBy("_salt").count().agg(F.max("count")).first()[0] <= 100 and quality_rules.SALTS >= 16
+    assert quality_rules._salted(spark.range(3)).groupBy("id").agg(F.countDistinct("_salt").alias("n")).filter(F.col("n") == quality_rules.SALTS).count() == 3
+
+
 def test_language_held_out(spark):
     rows = queries.op4(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
