@@ -24,6 +24,9 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 SLOTS = 4
 KEYS_PER_SHARD = 200_000
+#: Keys that one task asks a filter at most, on average.
+ASKED_PER_PART = 200_000
+SLICE = 10_000
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -179,15 +182,27 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, sha
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(update, "shard int, filter binary")
 
 
+def asking_parts(n_keys: int, shards: int) -> int:
+    """Parts that the asked keys of a shard are cut into, so that a part has about ``ASKED_PER_PART`` however many are asked."""
+    return max(1, -(-n_keys // (shards * ASKED_PER_PART)))
+
+
 def screen(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The distinct ``keys`` that a filter lets pass: all blocked ones and a few others."""
+    """The distinct ``keys`` that a filter lets pass: all blocked ones and a few others.
+
+    ``keys`` are counted first (so store them); each part of a shard's keys gets a copy of the shard's filter.
+    """
+    parts = asking_parts(keys.count(), shards)
+
     def ask(key, asked, f):
         if not f.num_rows:
             return pa.table({"key": pa.array([], pa.binary())})
         cuckoo = CuckooFilter.from_bytes(f.column("filter")[0].as_py())
-        return pa.table({"key": pa.array([k for k in asked.column("key").to_pylist() if k in cuckoo], pa.binary())})
-    asked = keys.select("key").distinct().select(_shard(shards), "key")
-    return asked.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(ask, "key binary")
+        passed = [pa.array([k for k in b.column("key").to_pylist() if k in cuckoo], pa.binary()) for b in asked.select(["key"]).to_batches(SLICE)]
+        return pa.table({"key": pa.chunked_array(passed, pa.binary())})
+    asked = keys.select("key").distinct().select(_shard(shards), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)).cast("int").alias("part"), "key")
+    copies = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "filter")
+    return asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(ask, "key binary")
 
 
 def dedup_lines(docs: DataFrame, state: DataFrame | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,

@@ -188,6 +188,17 @@ def test_line_dedup_is_reversible(spark):
     assert got == {i: f"own line of document number {i}" for i in range(2)}
 
 
+def test_asked_keys_of_a_shard_are_cut_into_parts(spark, monkeypatch):
+    assert line_dedup.asking_parts(100_000_000, 16) == 32 and line_dedup.asking_parts(0, 16) == 1
+    monkeypatch.setattr(line_dedup, "ASKED_PER_PART", 50)
+    monkeypatch.setattr(line_dedup, "SLICE", 7)
+    keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(1000)]
+    table = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
+    passed = line_dedup.screen(table, line_dedup.build_filters(table.limit(300), 2), 2)
+    got = {bytes(r["key"]) for r in passed.collect()}
+    assert {bytes(r["key"]) for r in table.limit(300).collect()} <= got and len(got) < 310
+
+
 def test_cuckoo_filter():
     keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(6000)]
     f = line_dedup.CuckooFilter.of(keys[:3000])
