@@ -91,6 +91,8 @@ class CuckooFilter:
     """
 
     MOVES = 200
+    #: Share of slots in use beyond which inserting gets slow and the overflow grows.
+    FULL = 0.9
 
     def __init__(self, buckets: int):
         self.slots = np.zeros((1 << max(1, int(buckets - 1).bit_length()), SLOTS), np.uint16)
@@ -145,6 +147,9 @@ class CuckooFilter:
         fingerprint, a, b = self._places(key)
         return bool((self.slots[a] == fingerprint).any() or (self.slots[b] == fingerprint).any() or (min(a, b), fingerprint) in self.overflow)
 
+    def outgrown(self) -> bool:
+        return np.count_nonzero(self.slots) + len(self.overflow) > self.FULL * self.slots.size
+
     def to_bytes(self) -> bytes:
         tail = np.array(self.overflow, np.int64).reshape(-1, 2)
         return np.array([len(self.slots), len(tail)], np.int64).tobytes() + tail.tobytes() + self.slots.tobytes()
@@ -170,16 +175,25 @@ def build_filters(blocked: DataFrame, shards: int) -> DataFrame:
     return blocked.select(_shard(shards), "key").groupBy("shard").applyInArrow(build, "shard int, filter binary")
 
 
-def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, shards: int) -> DataFrame:
-    """Filters after keys became blocked (``added``) or stopped being so (``removed``); a shard that outgrew its filter is doubled by rebuilding it."""
+def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, shards: int, blocked: DataFrame | None = None) -> DataFrame:
+    """Filters after keys became blocked (``added``) or stopped being so (``removed``).
+
+    Given ``blocked``, all keys that are blocked after the change, a shard that outgrew its filter gets one of twice the size or more, built from its keys.
+    Without them the filter keeps its size: answers stay right, but keys beyond it go to the overflow list, which is searched from end to end.
+    """
     def update(key, f, changes):
         new = [k for k, on in zip(changes.column("key").to_pylist(), changes.column("on").to_pylist()) if on]
         cuckoo = CuckooFilter.from_bytes(f.column("filter")[0].as_py()) if f.num_rows else CuckooFilter(len(new) // 3 + 1)
         for k, on in zip(changes.column("key").to_pylist(), changes.column("on").to_pylist()):
             cuckoo.add(k) if on else cuckoo.discard(k)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([cuckoo.to_bytes()], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([cuckoo.to_bytes()], pa.binary()), "outgrown": pa.array([cuckoo.outgrown()])})
     changes = added.select("key", F.lit(True).alias("on")).unionByName(removed.select("key", F.lit(False).alias("on"))).select(_shard(shards), "key", "on")
-    return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(update, "shard int, filter binary")
+    updated = filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(update, "shard int, filter binary, outgrown boolean")
+    if blocked is None:
+        return updated.drop("outgrown")
+    updated = keep(updated)
+    again = blocked.select("key").distinct().withColumn("shard", _shard(shards)).join(updated.filter("outgrown").select("shard"), "shard", "left_semi")
+    return updated.filter("not outgrown").drop("outgrown").unionByName(build_filters(again.select("key"), shards))
 
 
 def asking_parts(n_keys: int, shards: int) -> int:

@@ -199,6 +199,16 @@ def test_asked_keys_of_a_shard_are_cut_into_parts(spark, monkeypatch):
     assert {bytes(r["key"]) for r in table.limit(300).collect()} <= got and len(got) < 310
 
 
+def test_filters_grow_with_their_shards(spark):
+    keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(4000)]
+    table = lambda ks: spark.createDataFrame([(bytearray(k),) for k in ks], "key binary")
+    filters = line_dedup.build_filters(table(keys[:400]), 2)
+    for n in (1200, 4000):
+        filters = line_dedup.update_filters(filters, table(keys[n // 3:n] if n == 1200 else keys[1200:]), table([]), 2, table(keys[:n]))
+    found = [line_dedup.CuckooFilter.from_bytes(bytes(r["filter"])) for r in filters.collect()]
+    assert len(found) == 2 and all(f.slots.size >= 1900 and len(f.overflow) < 20 for f in found) and all(any(k in f for f in found) for k in keys)
+
+
 def test_cuckoo_filter():
     keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(6000)]
     f = line_dedup.CuckooFilter.of(keys[:3000])
