@@ -25,13 +25,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or are outliers of their language and source."""
-    gone = quality_rules.judge(docs.select("doc_id", "text", "lang", "source")).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that fail the base rules or are outliers of their language and source; each row by its own text, whatever its id."""
+    return quality_rules.judge(docs, carry_text=True).filter("kept").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that several documents share; the document keeps its other lines."""
+    """Drop lines that several documents share; the document keeps its other lines. Rows with one id are one document, those with a null id none."""
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

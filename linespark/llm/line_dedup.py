@@ -79,9 +79,9 @@ def delete(refs: DataFrame, doc_ids: DataFrame) -> DataFrame:
 def counts(refs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``key, n_docs, keeper``: keys held by at least ``min_docs`` documents and their largest holder.
 
-    ``refs`` has a document's key once (distinct), as :func:`references` and :func:`insert` give it for distinct ids.
+    A document counts once however often its references are given; a null id is no document.
     """
-    return refs.groupBy("key").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    return refs.select("key", "doc_id").distinct().groupBy("key").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
 
 
 class CuckooFilter:
@@ -225,21 +225,23 @@ def dedup_lines(docs: DataFrame, state: DataFrame | None = None, min_chars: int
 
     ``state`` are the references of all documents that count, these included (default: of ``docs`` alone). Adds
     ``n_lines`` and ``n_dropped`` and replaces ``text`` by the kept lines. Null or empty text is one empty line and becomes
-    empty; repeated lines of the keeper stay; ids must be distinct (a repeated ``doc_id`` counts twice). Other columns are kept; an
+    empty; repeated lines of the keeper stay. Rows that share a ``doc_id`` are one document when documents are counted, and each loses the dropped lines
+    of its own text; a row with a null id counts as no document and keeps its lines. Other columns are kept; an
     empty table gives an empty table. Raises if ``docs`` already has ``n_lines`` or ``n_dropped``.
     """
     safe_columns(docs, ["n_lines", "n_dropped"])
-    lines = keep(line_keys(docs, min_chars))
+    lines = keep(references(docs, min_chars))
     blocked = keep(counts(lines if state is None else state, min_docs))
     shards = shards or int(blocked.count() // KEYS_PER_SHARD) * 2 + 16
     passed = screen(lines, build_filters(blocked, shards), shards)
     verdict = blocked.join(passed, "key").select("key", "keeper")
     drops = (lines.join(verdict, "key").filter(F.col("doc_id") != F.col("keeper"))
-             .groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("_drop")))
-    return _without(docs, drops)
+             .groupBy("doc_id").agg(F.collect_set("key").alias("_drop")))
+    return _without(docs, drops, min_chars)
 
 
-def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, drops: DataFrame, min_chars: int) -> DataFrame:
+    """Drop from each row's text the lines whose keys are in its document's ``_drop``."""
     columns = docs.columns
     joined = docs.join(drops.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("bigint") == F.col("_id"), "left").drop("_id")
     fields = [f for f in joined.schema.fields if f.name not in ("text", "_drop")]
@@ -250,10 +252,12 @@ def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
         for text, drop in zip(each_text(b.column("text")), b.column("_drop").to_pylist()):
             parts = text.split(b"\n")
             lines.append(len(parts))
-            dropped.append(len(drop or ()))
+            left = parts
             if drop:
                 gone = set(drop)
-                text = b"\n".join([p for i, p in enumerate(parts) if i not in gone])
+                left = [p for p in parts if len(k := line_key(p)) < min_chars or hashlib.blake2b(k, digest_size=16).digest() not in gone]
+                text = b"\n".join(left)
+            dropped.append(len(parts) - len(left))
             texts.append(text)
         text = pa.array(texts, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays([*(b.column(n) for n in names), text, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],

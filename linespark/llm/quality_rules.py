@@ -150,18 +150,19 @@ def fit_mcd(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS)
     return keep(best.join(vectors.groupBy("_key").agg(F.count("*").alias("_size")), "_key"))
 
 
-def judge(docs: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
+def judge(docs: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL,
+          carry_text: bool = False) -> DataFrame:
     """Add the statistics, ``base_failed``, ``kept`` and ``distance`` (in units of the limit; null for base failures) to every document.
 
     Needs ``text``, ``lang`` and ``source``; null and empty texts fail the base rules, null ``lang`` or ``source`` is a group of its own,
     repeated rows are judged alike, extra columns are carried along. Without any group of ``min_group`` documents the whole table is the group.
-    Raises if a result column is already there.
+    Raises if a result column is already there. ``text`` is carried along only with ``carry_text``, as the table is stored on the way.
     """
     safe_columns(docs, [*STATS, "base_failed", "kept", "distance"])
-    named = docs.columns
-    stats = keep(_with_salt(text_stats(docs).drop("text").withColumn("base_failed", base_failed())))
+    named = [c for c in docs.columns if carry_text or c != "text"]
+    stats = keep(_with_salt(text_stats(docs).select(*named, *STATS).withColumn("base_failed", base_failed())))
     judged = verdicts(stats, coverage, steps, min_group, tail)
-    return judged.select(*[c for c in named if c != "text"], *STATS, "base_failed", "kept", "distance")
+    return judged.select(*named, *STATS, "base_failed", "kept", "distance")
 
 
 def _with_salt(stats: DataFrame) -> DataFrame:
@@ -180,8 +181,8 @@ def verdicts(stats: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, m
     fitted = fit_mcd(vectors, coverage, steps).filter((F.col("_size") >= min_group) | (F.col("_key") == f"{ANY}\u0001{ANY}"))
     # Each (language, source) takes the first level that has enough documents; the rows then join once.
     groups = good.groupBy("lang", "source").agg(F.count("*").alias("_n")).select("lang", "source", F.posexplode(levels).alias("_level", "_key"))
-    chosen = _salted(groups.join(fitted, "_key").groupBy("lang", "source").agg(F.min_by(F.struct(*FITTED), "_level").alias("_f")).select("lang", "source", "_f.*"))
-    same = (stats["_salt"] == chosen["_salt"]) & stats["lang"].eqNullSafe(chosen["lang"]) & stats["source"].eqNullSafe(chosen["source"])
-    joined = stats.join(chosen, same, "left").drop(chosen["lang"]).drop(chosen["source"]).drop(chosen["_salt"])
+    chosen = (groups.join(fitted, "_key").groupBy("lang", "source").agg(F.min_by(F.struct(*FITTED), "_level").alias("_f")).select("lang", "source", "_f.*"))
+    same = stats["lang"].eqNullSafe(chosen["lang"]) & stats["source"].eqNullSafe(chosen["source"])
+    joined = stats.join(chosen, same, "left").drop(chosen["lang"]).drop(chosen["source"])
     measured = _with_distance(joined.withColumns({x: F.when(~F.col("base_failed"), v) for v, x in zip(_vector(), X)}))
     return measured.withColumn("distance", F.col("_d") / chi2_quantile(1 - tail)).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= 1))

@@ -209,6 +209,17 @@ def test_filters_grow_with_their_shards(spark):
     assert len(found) == 2 and all(f.slots.size >= 1900 and len(f.overflow) < 20 for f in found) and all(any(k in f for f in found) for k in keys)
 
 
+def test_repeated_and_null_ids(spark):
+    other = "another line that is long enough to count"
+    rows = [(1, f"{LINE}\nx", "en", "s", 1), (1, f"x\n{LINE}\n{other}", "en", "s", 1), (2, f"{LINE}\n{other}", "en", "s", 1), (None, f"{LINE}\nnull", "en", "s", 1)]
+    texts = lambda rows: sorted(r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, DOCS), "").collect())
+    assert texts(rows) == sorted(r[1] for r in rows)  # two documents hold the line
+    assert texts([*rows, (3, LINE, "en", "s", 1)]) == sorted(["x", f"x\n{other}", other, f"{LINE}\nnull", LINE])
+    good, bad = " ".join(f"word{i}" for i in range(80)), "too short"
+    docs = spark.createDataFrame([(1, good, "en", "s", 1), (1, bad, "en", "s", 1), (None, good, "en", "s", 1), (None, bad, "en", "s", 1)], DOCS)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.apply_quality_rules(spark, docs, "").collect()) == [(0, good), (1, good)]
+
+
 def test_cuckoo_filter():
     keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(6000)]
     f = line_dedup.CuckooFilter.of(keys[:3000])
