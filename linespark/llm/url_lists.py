@@ -37,6 +37,11 @@ def patterns_of(place: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, F.coalesce(prefixes, F.array().cast("array<string>"))))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """The host in lower case, as in :func:`normal_url`; the path as it is."""
+    return F.concat(F.lower(F.regexp_extract(pattern, "^([^/]*)", 1)), F.regexp_extract(pattern, "(?s)^[^/]*(/.*)$", 1))
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """``list_id, pattern, valid_from, valid_to`` (exclusive, null: still valid) from ``list_id, pattern, day, action`` (add or remove).
 
@@ -44,7 +49,7 @@ def validity(entries: DataFrame) -> DataFrame:
     Rows with a null or another action are left out. A pattern has one row a day at most, so its history is bounded by the calendar.
     """
     known = entries.filter(F.col("action").isin("add", "remove") & F.col("pattern").isNotNull() & F.col("day").isNotNull() & F.col("list_id").isNotNull())
-    days = known.groupBy("list_id", F.lower("pattern").alias("pattern"), F.col("day").cast("date").alias("day")).agg(F.max("action").alias("action"))
+    days = known.groupBy("list_id", normal_pattern(F.col("pattern")).alias("pattern"), F.col("day").cast("date").alias("day")).agg(F.max("action").alias("action"))
     w = W.partitionBy("list_id", "pattern").orderBy("day")
     changes = days.withColumn("_before", F.lag("action").over(w)).filter("action <> coalesce(_before, 'remove')")
     return changes.withColumn("valid_to", F.lead("day").over(w)).filter("action = 'add'").select("list_id", "pattern", F.col("day").alias("valid_from"), "valid_to")

@@ -398,6 +398,13 @@ def test_url_lists_as_of(spark):
     assert url_lists.filter_urls(d, entries.limit(0)).filter("blocked").count() == 0 and url_lists.filter_urls(d.limit(0), entries).count() == 0
 
 
+def test_url_lists_with_capitals_in_the_path(spark):
+    entries = spark.createDataFrame([("l", "News.org/A/Story", "2024-01-01", "add")], "list_id string, pattern string, day string, action string")
+    d = spark.createDataFrame([(1, "http://NEWS.org/A/Story/2", "2024-02-01"), (2, "http://news.org/a/story", "2024-02-01")], "capture_id bigint, url string, fetched string")
+    got = {r["capture_id"]: (r["blocked"], r["pattern"]) for r in url_lists.filter_urls(d, entries).collect()}
+    assert got == {1: (True, "news.org/A/Story"), 2: (False, None)}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     n = [docs.count()]
