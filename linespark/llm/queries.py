@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, lm_scoring, multiprobe_lsh, packing, parity_join, quality_rules, sentence_pieces, url_lists, word_piece_counts
+from . import (conversation_repair, importance_resampling, language_id, line_dedup, lm_scoring, multiprobe_lsh, packing, parity_join, quality_rules, sentence_pieces, sharding,
+               url_lists, word_piece_counts)
 from .common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +145,41 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, round(log_score, 4) AS log_score
 def op1(spark, sf):
     return lm_scoring.score_documents(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+@query("op11_bit_sliced_resampling", f"""
+WITH RECURSIVE table_steps AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM table_steps WHERE k < 8),
+steps AS (SELECT i, c FROM table_steps WHERE k = 8),
+words AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+features AS (SELECT doc_id, unnest(w) AS f FROM words),
+target AS (SELECT unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+vocabulary AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM features UNION SELECT f FROM target)),
+crc AS (SELECT f, h, 1 AS pos, 4294967295::BIGINT AS c FROM vocabulary
+  UNION ALL SELECT f, h, pos + 2, xor(x.c >> 8, s.c) FROM crc x JOIN steps s ON s.i = xor(x.c & 255, CAST('0x' || substr(x.h, x.pos, 2) AS BIGINT)) WHERE x.pos < length(x.h)),
+buckets AS (SELECT f, xor(c, 4294967295) % 10000 AS b FROM crc WHERE pos > length(h)),
+corpus AS (SELECT b, count(*) AS s FROM features JOIN buckets USING (f) GROUP BY b),
+aim AS (SELECT b, count(*) AS t FROM target JOIN buckets USING (f) GROUP BY b),
+gains AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT sum(s) FROM corpus) + 10000) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM aim) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+  FROM corpus FULL JOIN aim USING (b)),
+weighed AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce(floor(g / CAST(len(w) AS DOUBLE)), 0) AS BIGINT) AS weight FROM words
+  LEFT JOIN (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS g FROM features JOIN buckets USING (f) JOIN gains USING (b) GROUP BY doc_id) USING (doc_id)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighed),
+placed AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM placed""")
+def op11(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return importance_resampling.resample(docs, table(spark, sf, "benchmark").select("text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf):
+    damaged = conversation_repair.damage(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+    return conversation_repair.repair(damaged).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@query("op13_jump_sharding")
+def op13(spark, sf):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, sf, "documents").select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return sharding.shard_rows(rows).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
