@@ -13,6 +13,9 @@ a larger partner across the edge also enters the next band.
 that are not empty.  One that has not enters another cut of the sketch too, with another seed; after ``LEVELS`` cuts it
 enters with all its parts.
 
+*Keys* are made for the first of equal sets in a task and go straight into the join: they are several times as large as the rest of what is known
+of a document and are never stored. Only rows of a key that another document has too are kept, and these take the name of their class.
+
 *Large groups.*  Equal sets are one class before anything else.  In a group of equal parts every document is verified
 against the first, then against the one before it if their clusters differ, never against all.  Links found make clusters,
 and only documents of different clusters in the same group are still open.  A large group that still is compares the whole sketches of its open
@@ -22,6 +25,7 @@ pairs block by block and lets only those pass that the distance bound allows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,10 @@ LEVELS = 3
 GROWTH = 1.5
 SMALL_GROUP = 16
 BLOCK = 2048
+KEYS_AT_ONCE = 500_000
 BITS = 1024
+#: Up to this size of its smallest sets the parts of a band are chosen by the exact chance that one cut has too few, which is to be below ``RARE``.
+SHORT, RARE = 128, 1e-4
 _U = np.uint64
 
 
@@ -66,8 +73,27 @@ class Bands:
         """The most shingles in which a linked pair with its larger set in the band differs."""
         return 2 * self.edges(band)[1] * (100 - self.percent) // (100 + self.percent)
 
+    def smallest(self, band: int) -> int:
+        """The least size that can have a partner in the band, other than an equal set."""
+        n = max(1, -(-self.edges(band)[0] * self.percent // 100))
+        while not self.of(n):
+            n += 1
+        return n
+
+    @staticmethod
+    def _rarely_short(n: int, m: int, need: int) -> bool:
+        """Whether ``n`` bits in ``m`` parts leave fewer than ``need`` parts that are not empty less often than once in ``1 / RARE`` sets."""
+        full = [1.0] + [0.0] * need  # chance of each number of parts in use; the last entry: enough
+        for _ in range(n):
+            full = [(full[k] * k / m if k < need else full[k]) + (full[k - 1] * (m - k + 1) / m if k else 0.0) for k in range(need + 1)]
+        return sum(full[:need]) <= RARE
+
     def parts(self, band: int) -> int:
         """Parts so many that nearly every document of the band has enough that are not empty."""
+        if band not in self._parts and (n := self.smallest(band)) <= SHORT:
+            need = self.differing(band) + 1
+            # More parts cost a short document no more keys, as it has no more keys than shingles.
+            self._parts[band] = next((m for m in range(need, 64 * need + 64) if self._rarely_short(n, m, need)), 64 * need + 64)
         if band not in self._parts:
             need, n = self.differing(band) + 1, max(1, self.edges(band)[0] * self.percent // 100)
             best, at = None, need
@@ -120,23 +146,45 @@ def _may_link(far: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np
     return (far <= (100 - percent) * (x + y) // (100 + percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
 
 
-def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, digest, sketch, keys``: size, digest and ``BITS``-bit parity sketch of the set, and join keys; no digest without words."""
-    bands = Bands(percent)
-
+def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, n_shingles, digest, sketch``: size, digest and ``BITS``-bit parity sketch of the set; no digest without words."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ns, digests, small, keys = [], [], [], []
+        ns, digests, small = [], [], []
         for text in each_text(b.column(1)):
             s = shingle_set(text, words)
             ns.append(len(s))
-            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            digests.append(_digest(s) if len(s) else None)
             small.append(parity_sketch(s))
-            keys.append(sketch_keys(s, bands).view(np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-        values = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(small, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()))],
-                                          ["doc_id", "n_shingles", "digest", "sketch", "keys"])
-    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary, keys array<bigint>")
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(small, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def join_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``key, id``: the join keys of each document, of equal sets in a task only those of the first; a null ``doc_id`` has none."""
+    bands = Bands(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            keys, ids, held = [], [], 0
+            for doc, text in zip(b.column(0).to_pylist(), each_text(b.column(1))):
+                s = shingle_set(text, words)
+                if not len(s) or (own := _digest(s)) in seen:
+                    continue
+                seen.add(own)
+                k = sketch_keys(s, bands)
+                keys.append(k.view(np.int64)), ids.append(np.full(len(k), doc, np.int64))
+                held += len(k)
+                if held >= KEYS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+                    keys, ids, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "key bigint, id bigint")
 
 
 def verify(docs: DataFrame, found: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -246,20 +294,22 @@ def _block_pairs(found: DataFrame, rows: DataFrame, percent: int, block: int = B
     return dealt.join(held, "id").groupBy("key", "x", "y").applyInArrow(near, "a bigint, b bigint")
 
 
-def class_links(docs: DataFrame, found: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def class_links(docs: DataFrame, found: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Verified links ``a, b`` between class representatives that connect all that similarity connects."""
-    firsts = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = found.join(firsts, "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    groups = keep(_groups(rows))
+    firsts = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("_first"))
+    shared = keep(_groups(join_keys(docs, words, percent)).select("key", "id"))
+    # Of a class only the documents that made keys are named: one for each task at most.
+    named = shared.select("id").distinct().join(found.select(F.col("doc_id").alias("id"), "digest"), "id").join(firsts, "digest").groupBy("id").agg(F.min("_first").alias("_first"))
+    groups = keep(_groups(shared.join(named, "id").select("key", F.col("_first").alias("id")).distinct()))
     links = keep(verify(docs, found, keep(_star_pairs(groups)), words, percent))
     chains = keep(_chain_pairs(groups, components(links)))
     links = keep(links.unionByName(verify(docs, found, chains, words, percent)))
     still = keep(_open(groups, components(links)))
-    pairs = _cross_pairs(still.filter(F.col("n") <= SMALL_GROUP)).unionByName(_block_pairs(found, still.filter(F.col("n") > SMALL_GROUP), percent))
+    pairs = _cross_pairs(still.filter(F.col("n") <= SMALL_GROUP)).unionByName(_block_pairs(found, still.filter(F.col("n") > SMALL_GROUP), percent, block))
     return links.unionByName(verify(docs, found, keep(pairs.distinct()), words, percent))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Add ``n_shingles`` and ``component_id`` (the smallest ``doc_id`` of its near-duplicate group) to every document.
 
     Texts with fewer than ``words`` words are one shingle; null texts and texts without words have none and are linked with nothing. Distinct ``doc_id``s are
@@ -267,8 +317,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Shingles are equal when their 64-bit hashes are.
     """
     safe_columns(docs, ["n_shingles", "component_id"])
-    found = keep(sketches(docs, words, percent))
-    labels = components(class_links(docs, found, words, percent))
+    found = keep(sketches(docs, words))
+    labels = components(class_links(docs, found, words, percent, block))
     classes = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("_class"))
     named = classes.join(labels, classes["_class"] == labels["id"], "left").select("digest", F.coalesce("component", "_class").alias("_component"))
     placed = (found.filter(F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

@@ -30,6 +30,8 @@ MIN_GROUP = 50
 TAIL = 1e-12
 #: Spread, in each transformed statistic, that is never taken for abnormal: the covariance gets its square on the diagonal.
 FLOORS = (0.5, 0.075, 0.25, 0.35, 0.6)
+#: Estimates that are sent to every task when rows with whole texts are judged; more of them are joined by salted shuffle.
+FEW_GROUPS = 10_000
 DIM = len(FLOORS)
 ANY = "\u0000any"
 #: The rows of a group are dealt over so many join keys, and its estimate is there once for each.
@@ -156,13 +158,18 @@ def judge(docs: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, min_g
 
     Needs ``text``, ``lang`` and ``source``; null and empty texts fail the base rules, null ``lang`` or ``source`` is a group of its own,
     repeated rows are judged alike, extra columns are carried along. Without any group of ``min_group`` documents the whole table is the group.
-    Raises if a result column is already there. ``text`` is carried along only with ``carry_text``, as the table is stored on the way.
+    Raises if a result column is already there. ``text`` is carried along only with ``carry_text``, for which the statistics are made twice.
     """
     safe_columns(docs, [*STATS, "base_failed", "kept", "distance"])
-    named = [c for c in docs.columns if carry_text or c != "text"]
+    named = [c for c in docs.columns if c != "text"]
     stats = keep(_with_salt(text_stats(docs).select(*named, *STATS).withColumn("base_failed", base_failed())))
-    judged = verdicts(stats, coverage, steps, min_group, tail)
-    return judged.select(*named, *STATS, "base_failed", "kept", "distance")
+    if not carry_text:
+        return verdicts(stats, coverage, steps, min_group, tail).select(*named, *STATS, "base_failed", "kept", "distance")
+    chosen = keep(estimates(stats, coverage, steps, min_group))
+    # The statistics are made a second time beside the text: whole texts are neither stored nor dealt by language and source.
+    # They are generated, so that a filter on the verdict does not repeat them.
+    again = text_stats(docs).withColumn("base_failed", base_failed()).select(*docs.columns, F.explode(F.array(F.struct(*STATS, "base_failed"))).alias("_s"))
+    return _measured(again.select(*docs.columns, "_s.*"), chosen, tail).select(*docs.columns, *STATS, "base_failed", "kept", "distance")
 
 
 def _with_salt(stats: DataFrame) -> DataFrame:
@@ -174,6 +181,11 @@ def verdicts(stats: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, m
     """``kept`` and ``distance`` for a stored table of statistics."""
     if "_salt" not in stats.columns:
         stats = keep(_with_salt(stats))
+    return _measured(stats, estimates(stats, coverage, steps, min_group), tail)
+
+
+def estimates(stats: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+    """``lang, source`` and the estimate by which its documents are judged, for each language and source that has documents to judge."""
     lang, source = F.coalesce("lang", F.lit("\u0000null")), F.coalesce("source", F.lit("\u0000null"))
     levels = F.array(F.concat_ws("\u0001", lang, source), F.concat_ws("\u0001", lang, F.lit(ANY)), F.concat_ws("\u0001", F.lit(ANY), F.lit(ANY)))
     good = stats.filter(~F.col("base_failed"))
@@ -181,8 +193,23 @@ def verdicts(stats: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, m
     fitted = fit_mcd(vectors, coverage, steps).filter((F.col("_size") >= min_group) | (F.col("_key") == f"{ANY}\u0001{ANY}"))
     # Each (language, source) takes the first level that has enough documents; the rows then join once.
     groups = good.groupBy("lang", "source").agg(F.count("*").alias("_n")).select("lang", "source", F.posexplode(levels).alias("_level", "_key"))
-    chosen = (groups.join(fitted, "_key").groupBy("lang", "source").agg(F.min_by(F.struct(*FITTED), "_level").alias("_f")).select("lang", "source", "_f.*"))
-    same = stats["lang"].eqNullSafe(chosen["lang"]) & stats["source"].eqNullSafe(chosen["source"])
-    joined = stats.join(chosen, same, "left").drop(chosen["lang"]).drop(chosen["source"])
+    return groups.join(fitted, "_key").groupBy("lang", "source").agg(F.min_by(F.struct(*FITTED), "_level").alias("_f")).select("lang", "source", "_f.*")
+
+
+def _measured(rows: DataFrame, chosen: DataFrame, tail: float) -> DataFrame:
+    """Rows with statistics joined to the estimate of their language and source: ``distance`` and ``kept``.
+
+    Rows that hold whole texts stay where they are while there are at most ``FEW_GROUPS`` estimates (counted; some 200 bytes each). More estimates than
+    that are copied once for each salt, and rows go by language, source and salt, so that the texts of a hot source do not meet in one task.
+    """
+    if "text" in rows.columns:
+        if chosen.count() <= FEW_GROUPS:
+            chosen = F.broadcast(chosen)
+        else:
+            rows, chosen = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")), _salted(chosen).withColumnRenamed("_salt", "_of")
+    same = rows["lang"].eqNullSafe(chosen["lang"]) & rows["source"].eqNullSafe(chosen["source"])
+    if "_of" in chosen.columns:
+        same = same & (rows["_salt"] == chosen["_of"])
+    joined = rows.join(chosen, same, "left").drop(chosen["lang"]).drop(chosen["source"])
     measured = _with_distance(joined.withColumns({x: F.when(~F.col("base_failed"), v) for v, x in zip(_vector(), X)}))
     return measured.withColumn("distance", F.col("_d") / chi2_quantile(1 - tail)).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= 1))
