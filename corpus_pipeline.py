@@ -16,10 +16,16 @@ from linespark.llm.queries import tokenizer_path
 MIN_SCORE = 0.25
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
+#: Up to so many ids (16 MB at most) of near duplicates are sent to every task, so that no text moves; more are joined by shuffle.
+FEW_IDS = 500_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language: no text, no letter, or like none of the labelled languages."""
+    """Drop documents without a recognised language: no text, no letter, or like none of the labelled languages.
+
+    Each row is judged by its own text, whatever its id. Without one labelled text no language is known and every document goes.
+    Raises if ``docs`` has a column ``lang_pred`` or ``score``.
+    """
     model = language_id.fit(docs)
     return language_id.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 
@@ -38,13 +44,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest ``doc_id`` of each near-duplicate group."""
+    """Keep the smallest ``doc_id`` of each near-duplicate group.
+
+    Rows that share an id are one document, stay or go together, and are not compared with each other; rows with a null id are compared with nothing and stay.
+    """
     grouped = parity_join.near_duplicates(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
-    return docs.join(grouped.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    extra = keep(grouped.filter("doc_id <> component_id").select("doc_id").distinct())
+    if extra.count() <= FEW_IDS:
+        extra = F.broadcast(extra)
+    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces with their token ids."""
+    """Packed pieces with their token ids; every row is packed, whatever its id, a null text as the end id alone."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
