@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,6 +47,24 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+_remembered: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker remembers from task to task for one operator; what other operators left in the worker is given back first.
+
+    Workers are used again by later operators, so memories would add up over a pipeline.
+    """
+    if owner not in _remembered:
+        _remembered.clear()
+        _remembered[owner] = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    return _remembered[owner]
+
+
 def safe_columns(df: DataFrame, added: list[str]) -> None:
     """Extra columns are carried along; one that has the name of a result column cannot be."""
     clash = sorted(set(df.columns) & set(added))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import each_text, map_batches, safe_columns
+from .common import each_text, map_batches, safe_columns, worker_cache
 
 #: Families of ISO 639-1 codes; a language that is not listed is a family of its own.
 FAMILIES = {"romance": "fr es it pt ro ca gl oc", "germanic": "en de nl sv da no nb nn is af fy lb", "slavic": "ru uk be pl cs sk bg sr hr sl mk",
@@ -187,6 +187,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     safe_columns(docs, ["lang_pred", "score"])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        worker_cache(__name__)
         found = [model.predict(t.decode()) if model else ("und", 0.0) for t in each_text(b.column("text"))]
         return pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                                           [*b.schema.names, "lang_pred", "score"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import each_text, keep
+from .common import each_text, keep, worker_cache
 
 SIZE = 2048
 END_ID = 1
@@ -112,14 +112,12 @@ class _WordIds(dict):
         return b"".join([self[w] for w in text.split()])
 
 
-_worker: dict[str, _WordIds] = {}
-
-
 def _word_ids(path: str) -> _WordIds:
     """One for each Python worker, kept from task to task."""
-    if path not in _worker:
-        _worker[path] = _WordIds(path)
-    return _worker[path]
+    held = worker_cache(__name__)
+    if path not in held:
+        held[path] = _WordIds(path)
+    return held[path]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import each_text, keep, map_batches, mix, safe_columns, shingle_hashes, word_hashes
+from .common import each_text, keep, map_batches, mix, safe_columns, shingle_hashes, word_hashes, worker_cache
 
 WORDS = 4
 PERCENT = 85
@@ -168,6 +168,7 @@ def join_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(__name__)
         seen = set()
         for b in batches:
             keys, ids, held = [], [], 0
