@@ -45,14 +45,14 @@ def aggregate(df: DataFrame, specs: list[tuple], by: list[str] | str = (), inter
               ts: str = "ts_ns") -> DataFrame:
     """Several aggregates at once: ``("count",)``, ``("avg", field)``, ``("percentile", field, 0.95)``…
 
-    Grouped by columns and, with ``interval``, by time bucket.
+    Grouped by columns and, with ``interval``, by time bucket. ``percentile`` is exact: see ``exact_percentiles``.
     """
     by = [by] if isinstance(by, str) else list(by)
     keys = [F.col(b) for b in by]
     if interval is not None:
         keys.append(bucket_floor(ts, interval).alias("bucket"))
         df = df.filter(F.col(ts).isNotNull())
-    out = []
+    out, exact = [], {}
     for kind, *args in specs:
         if kind not in AGGREGATES:
             raise ValueError(f"unknown aggregate: {kind}")
@@ -65,7 +65,7 @@ def aggregate(df: DataFrame, specs: list[tuple], by: list[str] | str = (), inter
             out.append(F.count(f).alias(f"count_{f}"))
         elif kind == "percentile":
             p = float(args[1]) if len(args) > 1 else 0.5
-            out.append(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY try_cast(`{f}` AS DOUBLE))").alias(f"p{round(p * 100):d}_{f}"))
+            exact[f"p{round(p * 100):d}_{f}"] = (x, p)
         elif kind == "percentile_approx":  # a bounded sketch, for groups with very many distinct values
             p = args[1] if len(args) > 1 else 0.5
             acc = args[2] if len(args) > 2 else 10_000
@@ -73,7 +73,48 @@ def aggregate(df: DataFrame, specs: list[tuple], by: list[str] | str = (), inter
         else:
             fn = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}[kind]
             out.append(fn(x).alias(f"{kind}_{f}"))
-    return df.groupBy(*keys).agg(*out)
+    if not exact:
+        return df.groupBy(*keys).agg(*out)
+    rest = df.groupBy(*keys).agg(*out) if out else df.select(*keys).distinct() if keys else df.groupBy().agg(F.count("*").alias("_n")).drop("_n")
+    found = exact_percentiles(df, keys, exact)
+    names = [c for c in found.columns if c not in exact]
+    same = reduce(lambda a, b: a & b, [rest[n].eqNullSafe(found[n]) for n in names], F.lit(True))
+    return rest.join(found, same, "left").select(*[rest[c] for c in rest.columns], *exact)
+
+
+def exact_percentiles(df: DataFrame, keys: list[Column], wanted: dict[str, tuple[Column, float]], accuracy: int = 10_000) -> DataFrame:
+    """``{name: (number, p)}``: for each group the smallest value that a share ``p`` of its values does not exceed, as ``percentile_disc`` gives.
+
+    Selection by narrowing: a bounded sketch gives two values around the percentile, one pass counts what lies below and between
+    them, and only the distinct values between them (about ``4 / accuracy`` of the group) are put in order, with their counts. Nothing
+    rests on the sketch: where the counts show that the percentile is not between the two, the group's own limits take their place.
+    All passes combine before the shuffle, and no task holds a group's values. Groups without a number are left out.
+    """
+    specs = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(p)).alias("_p"), x.alias("_x")) for n, (x, p) in wanted.items()])
+    values = df.select(*keys, F.inline(specs)).filter(F.col("_x").isNotNull())
+    by = [c for c in values.columns if c not in ("_p", "_x")]
+    on = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in by])
+    beside = lambda a, b: a.join(b, on(a, b)).select(*[a[c] for c in a.columns], *[b[c] for c in b.columns if c not in by])
+
+    slack = 2.0 / accuracy
+    near = reduce(lambda a, b: a.unionByName(b), [values.filter(F.col("_name") == n).groupBy(*by).agg(
+        F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.lit(float(p)).alias("_p"),
+        F.percentile_approx("_x", [max(0.0, p - slack), min(1.0, p + slack)], accuracy).alias("_q")) for n, (_, p) in wanted.items()])
+    place = F.greatest(F.ceil(F.col("_p") * F.col("_n")), F.lit(1)).alias("_place")
+    limits = near.select(*by, place, "_min", "_max", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    counted = beside(values.drop("_p"), limits.select(*by, "_lo", "_hi")).groupBy(*by).agg(
+        F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count_if(F.col("_x").between(F.col("_lo"), F.col("_hi"))).alias("_inside"))
+    known = beside(limits, counted)
+    inside = (F.col("_place") > F.col("_below")) & (F.col("_place") <= F.col("_below") + F.col("_inside"))
+    picked = known.select(*by, "_place", F.when(inside, F.col("_lo")).otherwise(F.col("_min")).alias("_lo"), F.when(inside, F.col("_hi")).otherwise(F.col("_max")).alias("_hi"),
+                          F.when(inside, F.col("_below")).otherwise(F.lit(0)).alias("_below"))
+    left = beside(values.drop("_p"), picked).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    distinct = left.groupBy(*by, "_place", "_below", "_x").agg(F.count("*").alias("_c"))
+    # A running sum streams through sorted rows, which can spill.
+    reached = F.col("_below") + F.sum("_c").over(W.partitionBy(*by).orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
+    found = distinct.withColumn("_reached", reached).filter(F.col("_reached") >= F.col("_place"))
+    groups = [c for c in by if c != "_name"]
+    return found.groupBy(*groups).agg(*[F.min(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in wanted])
 
 
 def level_distribution(lines: DataFrame) -> DataFrame:

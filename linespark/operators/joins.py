@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import truncate_text
-from .sections import in_blocks, line_block
+from .sections import over_ranges
 
 
 def pid_in_package(lines: DataFrame, pids: DataFrame, package: str) -> DataFrame:
@@ -46,9 +46,7 @@ def lines_around(lines: DataFrame, center: int, before: int = 25, after: int = 2
 def with_annotations(lines: DataFrame, annotations: DataFrame) -> DataFrame:
     """One row per line and bookmark or reference covering it; a missing end means one line."""
     ends = annotations.withColumn("end_line", F.coalesce("end_line", "start_line"))
-    ranges = in_blocks(ends, "start_line", "end_line")
-    return line_block(lines).join(ranges, ["source_id", "_b"]).filter(
-        F.col("line_num").between(F.col("start_line"), F.col("end_line"))).drop("_b")
+    return over_ranges(lines, ends)
 
 
 def matched_by(lines: DataFrame, matches: dict[str, DataFrame]) -> DataFrame:

@@ -1,17 +1,19 @@
 """Sections: building them, attaching them to lines, gating by them.
 
-Lines are never shuffled as a whole for a section lookup: section ranges are cut into
-fixed-size line blocks, which turns the range join into an equi-join on
-``(source_id, block)``. Spark broadcasts the ranges when they are small by its own size
-check and otherwise joins block by block, so a source holding a third of all lines is
-spread over all its blocks.
+Lines are never shuffled as a whole for a section lookup. Ranges that do not overlap are cut
+into fixed-size line blocks, which turns the range join into an equi-join on
+``(source_id, block)``; no block is in more of them than it has lines. Ranges that may nest are cut
+into dyadic nodes, at most two of each length ``2^level`` blocks, and a line asks for the
+node it lies in on every level that some range uses: a range over a whole source is a few rows,
+not one for each block. Spark broadcasts the ranges when they are small by its own size
+check and otherwise joins node by node.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .ordered import rank_lines, scan
+from .ordered import BLOCK_LINES, rank_lines, scan, settle
 
 RANGE_BLOCK = 1 << 14
 
@@ -22,17 +24,61 @@ def in_blocks(ranges: DataFrame, start: str, end: str, block: int = RANGE_BLOCK)
         "_b", F.explode(F.sequence(F.expr(f"{start} div {block}L"), F.expr(f"{end} div {block}L"))))
 
 
+def dyadic(ranges: DataFrame, start: str, end: str, block: int = RANGE_BLOCK) -> DataFrame:
+    """One row per dyadic node of a range, as ``_lvl`` and ``_node``: the fewest aligned runs of ``2^_lvl`` blocks that make up the blocks it touches."""
+    shift = lambda c, by: F.call_function("shiftright", c, by)
+    lo, stop = F.expr(f"`{start}` div {int(block)}L"), F.expr(f"`{end}` div {int(block)}L + 1")
+
+    def nodes(level: Column) -> Column:
+        # Of the nodes of a level inside the range, those whose parent is not: an odd first one, an even last one.
+        unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        first, past = shift(lo + unit - 1, level), shift(stop, level)
+        node = lambda n: F.struct(level.alias("_lvl"), n.alias("_node"))
+        return F.array(F.when((first < past) & (first % 2 == 1), node(first)), F.when((first < past) & (past % 2 == 1), node(past - 1)))
+    levels = F.sequence(F.lit(0), F.floor(F.log2(stop - lo)).cast("int") + 1)
+    found = F.filter(F.flatten(F.transform(levels, nodes)), lambda n: n.isNotNull())
+    return ranges.filter(F.col(start) <= F.col(end)).select("*", F.inline(found))
+
+
+def over_ranges(points: DataFrame, ranges: DataFrame, start: str = "start_line", end: str = "end_line", position: str = "line_num",
+                block: int = RANGE_BLOCK) -> DataFrame:
+    """One row per point and range of its source that holds it, with the columns of both."""
+    cut = dyadic(ranges, start, end, block)
+    used = cut.agg(F.collect_set("_lvl").alias("levels")).scalar()  # at most 63 numbers
+    at = points.withColumn("_levels", used).withColumn("_b", F.expr(f"`{position}` div {int(block)}L"))
+    keys = F.transform("_levels", lambda l: F.struct(l.alias("_lvl"), F.call_function("shiftright", F.col("_b"), l).alias("_node")))
+    asked = at.select(*points.columns, F.inline(keys))
+    return asked.join(cut, ["source_id", "_lvl", "_node"]).filter(F.col(position).between(F.col(start), F.col(end))).drop("_lvl", "_node")
+
+
+def matched_pairs(marks: DataFrame, keys: list[str], opens: Column, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Pairs of opening and closing marks of each key: a closer takes the latest opener that is still open, and does nothing when there is none.
+
+    Parallel bracket matching by block scans: the sum of steps (+1, -1) and its lowest value so far give the number of open marks, never
+    below zero; a closer's opener is the mark just before it on the same depth. Sums, minima and latest marks compose, so
+    no task holds a key's marks. Gives the keys, ``start_line`` and ``end_line``.
+    """
+    step = F.when(opens, F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
+    run = scan(marks.select(*keys, "line_num", opens.alias("_opens"), step.alias("_step")), keys=keys, before={"_run": F.col("_step")}, block_lines=block_lines)
+    low = scan(run.withColumn("_up_to", F.col("_run") + F.col("_step")), keys=keys, peak={"_dip": -F.col("_up_to")}, block_lines=block_lines)
+    lowest = F.least(-F.coalesce("_dip", F.lit(0)), F.lit(0))  # of the marks before
+    depth = F.when(F.col("_opens"), F.col("_up_to") - F.least(lowest, F.col("_up_to"))).otherwise(F.col("_run") - lowest)
+    levels = low.withColumn("_depth", depth).filter("_depth > 0")
+    seen = scan(levels.select(*keys, "_depth", "line_num", "_opens"), keys=(*keys, "_depth"), prev={"_before": F.struct("_opens", "line_num")}, block_lines=block_lines)
+    return seen.filter("NOT _opens AND _before._opens").select(*keys, F.col("_before.line_num").alias("start_line"), F.col("line_num").alias("end_line"))
+
+
 def line_block(df: DataFrame, block: int = RANGE_BLOCK) -> DataFrame:
     return df.withColumn("_b", F.expr(f"line_num div {block}L"))
 
 
-def build_sections(lines: DataFrame) -> DataFrame:
+def build_sections(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Section table from parsed capture lines (``raw`` text; see ``parse_bugreport``).
 
     A ``------ NAME (source) ------`` header is paired with the duration footer naming it; with
     repeated headers of one name a footer closes the nearest open one. Headers without a
     footer give no section. Service dumps inside ``DUMPSYS*`` sections become children that
-    end before the next child or with their parent.
+    end before the next child or with their parent. Runs three small jobs and keeps their tables in the checkpoint folder.
     """
     raw = F.col("raw")
     marks = lines.filter(raw.startswith("------") | raw.startswith("DUMP OF SERVICE "))
@@ -47,28 +93,16 @@ def build_sections(lines: DataFrame) -> DataFrame:
     marks = marks.select("source_id", "line_num", F.inline(F.array(F.struct(kind.alias("kind"), name.alias("name")))))
     marks = marks.filter((F.col("name") != "") & (F.col("name") != "dumpstate"))
 
-    # Bracket matching per name: ``open`` is the number of open headers, never below zero, so a
-    # stray footer changes nothing. A footer closes the latest header opened at its depth.
-    same = W.partitionBy("source_id", "name").orderBy("line_num")
-    pairs = marks.filter("kind != 'D'").withColumn("step", F.when(F.col("kind") == "H", 1).otherwise(-1))
-    pairs = pairs.withColumn("run", F.sum("step").over(same))
-    pairs = pairs.withColumn("open", F.col("run") - F.least(F.min("run").over(same), F.lit(0)))
-    pairs = pairs.withColumn("depth", F.when(F.col("kind") == "H", F.col("open"))
-                             .otherwise(F.coalesce(F.lag("open").over(same), F.lit(0)))).filter("depth > 0")
-    level = W.partitionBy("source_id", "name", "depth").orderBy("line_num")
-    tops = pairs.withColumns({"_pk": F.lag("kind").over(level), "_pl": F.lag("line_num").over(level)})
-    tops = tops.filter("kind = 'F' AND _pk = 'H'").select(
-        "source_id", "name", F.col("_pl").alias("start_line"), F.col("line_num").alias("end_line"))
+    # Marks and sections are few beside the lines; stored, the lines are read once and each scan starts from a table.
+    marks = settle(marks)
+    tops = settle(matched_pairs(marks.filter("kind != 'D'"), ["source_id", "name"], F.col("kind") == "H", block_lines))
 
     dumps = marks.filter("kind = 'D'").select("source_id", F.col("name").alias("child"), F.col("line_num").alias("at"))
     parents = tops.filter(F.col("name").startswith("DUMPSYS"))
-    kids = dumps.withColumn("_b", F.expr(f"at div {RANGE_BLOCK}L")).join(
-        in_blocks(parents.drop("name"), "start_line", "end_line"), ["source_id", "_b"]).filter(
-        (F.col("at") > F.col("start_line")) & (F.col("at") <= F.col("end_line")))
-    after = W.partitionBy("source_id", "start_line", "end_line").orderBy("at")
-    kids = kids.withColumn("_next", F.lead("at").over(after)).select(
+    kids = over_ranges(dumps, parents.drop("name"), position="at").filter(F.col("at") > F.col("start_line"))
+    kids = settle(scan(kids, keys=("source_id", "start_line", "end_line"), order=("at",), next={"_next": F.col("at")}, block_lines=block_lines).select(
         "source_id", F.col("child").alias("name"), F.col("at").alias("start_line"),
-        F.coalesce(F.col("_next") - 1, F.col("end_line")).alias("end_line"), F.col("start_line").alias("_parent"))
+        F.coalesce(F.col("_next") - 1, F.col("end_line")).alias("end_line"), F.col("start_line").alias("_parent")))
     both = tops.withColumn("_parent", F.lit(None).cast("bigint")).unionByName(kids).withColumn("_end", -F.col("end_line"))
     numbered = rank_lines(both, "section_idx", order=("start_line", "_end")).withColumn("section_idx", F.col("section_idx").cast("int"))
     # Top-level starts are unique per source, so the parent index is a lookup on the start line.
@@ -95,11 +129,9 @@ def with_section(lines: DataFrame, sections: DataFrame) -> DataFrame:
     return l.join(r, cond, "left").select(*[F.col(f"l.{c}") for c in lines.columns], F.col("r.section").alias("section"))
 
 
-def containing_sections(lines: DataFrame, sections: DataFrame) -> DataFrame:
+def containing_sections(lines: DataFrame, sections: DataFrame, block: int = RANGE_BLOCK) -> DataFrame:
     """One row per line and section whose range holds it, with ``depth`` 0 for the outermost."""
-    ranges = in_blocks(sections.select("source_id", "section_idx", "name", "start_line", "end_line"), "start_line", "end_line")
-    out = line_block(lines).join(ranges, ["source_id", "_b"]).filter(
-        F.col("line_num").between(F.col("start_line"), F.col("end_line"))).drop("_b")
+    out = over_ranges(lines, sections.select("source_id", "section_idx", "name", "start_line", "end_line"), block=block)
     w = W.partitionBy("source_id", "line_num").orderBy("start_line", F.desc("end_line"), "section_idx")
     return out.withColumn("depth", F.row_number().over(w) - 1)
 

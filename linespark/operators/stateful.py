@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import NS_PER_MS, as_col
-from .ordered import BLOCK_LINES, halo, look_back, rank_lines, scan
+from .ordered import BLOCK_LINES, halo, look_back, scan
 
 DEFAULT_KEY = "_default"
 
@@ -14,10 +14,14 @@ def burst_detect(df: DataFrame, key: Column | str, window_ms: int = 2000, thresh
                  line: str = "previous", block_lines: int = BLOCK_LINES) -> DataFrame:
     """Rising edges of a per-key sliding count.
 
-    An event is hot when the event ``threshold - 1`` places earlier of the same key is
-    at most ``window_ms`` older; a burst row is written where heat starts. For times that
-    do not go backwards inside a key this equals counting a sliding window
-    (check with ``out_of_order``). The count at a rising edge is the threshold itself.
+    The window is a queue: an event first drops events from its front while they are more than
+    ``window_ms`` older, then joins it, and is hot when the queue has ``threshold`` events; a burst
+    row is written where heat starts, where the count is the threshold itself. Times may go
+    backwards. What is left in front is then the first event whose *running maximum* of
+    times reaches the event's running maximum less the window: an event drops all that
+    an earlier event with a later time had dropped, and no event before a new maximum can hold
+    the front for it. So an event is hot when the running maximum has grown by at most
+    the window over the last ``threshold`` events, and maxima compose over blocks.
     ``line="previous"`` reports the preceding matched line of the source, of any key;
     ``"current"`` the line that completed the burst.
     """
@@ -31,11 +35,12 @@ def burst_detect(df: DataFrame, key: Column | str, window_ms: int = 2000, thresh
     else:
         keyed = keyed.withColumn("_shown", F.col("line_num"))
     by = ("source_id", "burst_key")
-    ranked = rank_lines(keyed, "_rank", by, block_lines=block_lines)
+    ranked = scan(keyed, keys=by, before={"_rank": F.lit(1).cast("bigint")}, peak={"_peak": F.col("ts_ns")}, block_lines=block_lines)
+    ranked = ranked.withColumn("_peak", F.greatest("_peak", "ts_ns"))
     near = halo(ranked, position="_rank", before=threshold, block_lines=block_lines)
     w = W.partitionBy(*by, "_block").orderBy("_rank")
-    hot = F.coalesce(F.col("ts_ns") - F.lag("ts_ns", threshold - 1).over(w) <= width, F.lit(False))
-    was = F.coalesce(F.lag("ts_ns", 1).over(w) - F.lag("ts_ns", threshold).over(w) <= width, F.lit(False))
+    hot = F.coalesce(F.col("_peak") - F.lag("_peak", threshold - 1).over(w) <= width, F.lit(False))
+    was = F.coalesce(F.lag("_peak", 1).over(w) - F.lag("_peak", threshold).over(w) <= width, F.lit(False))
     edges = near.withColumns({"_hot": hot, "_was": was}).filter("_own AND _hot AND NOT _was")
     return edges.select("source_id", "burst_key", F.lit(threshold).cast("bigint").alias("count_in_window"),
                         F.lit(window_ms).cast("bigint").alias("window_ms"),

@@ -43,8 +43,9 @@ def stream_burst(df: DataFrame, key: Column | str, window_ms: int = 2000, thresh
         recent, hot = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
         out = []
         for line, ts in _sorted(batches, ["line_num"])[["line_num", "ts_ns"]].itertuples(index=False):
-            recent = (recent + [ts])[-threshold:]
-            now = len(recent) == threshold and ts - recent[0] <= width
+            # Running maxima, as in the batch form, so times may go backwards.
+            recent = (recent + [max([ts, *recent[-1:]])])[-threshold:]
+            now = len(recent) == threshold and recent[-1] - recent[0] <= width
             if now and not hot:
                 out.append((k[0], k[1], threshold, window_ms, int(line), int(ts)))
             hot = now

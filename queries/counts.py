@@ -48,6 +48,14 @@ def stats_field(spark, sf):
     return A.stats_field(x, "c").withColumn("mean", F.round("mean", 6))
 
 
+@query("percentiles", """SELECT event_type, quantile_disc(value, 0.5) AS p50_value, quantile_disc(value, 0.95) AS p95_value, CAST(quantile_disc(event_id, 0.999) AS DOUBLE) AS p100_event_id, count(*) AS count
+FROM events GROUP BY 1""")
+def percentiles(spark, sf):
+    """Exact percentiles of columns whose values are nearly all distinct."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return A.aggregate(e, [("percentile", "value", 0.5), ("percentile", "value", 0.95), ("percentile", "event_id", 0.999), ("count",)], "event_type")
+
+
 @query("aggregate", with_lines("""
 SELECT tag, ts_ns - ts_ns % 86400000000000 AS bucket, count(*) AS count, CAST(min(cents) AS DOUBLE) AS min_cents, CAST(max(cents) AS DOUBLE) AS max_cents,
   round(avg(cents), 6) AS avg_cents, CAST(sum(cents) AS DOUBLE) AS sum_cents, CAST(quantile_disc(cents, 0.9) AS DOUBLE) AS p90_cents

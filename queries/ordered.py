@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linespark.functions import predicates as P
 from linespark.functions.extract import extract_fields, field
-from linespark.operators import charts, ordered, setops, stateful, tracker, traces
+from linespark.operators import charts, ordered, sections, setops, stateful, tracker, traces
 from linespark.operators.correlate import Source, correlate, correlation_matches
 from linespark.operators.tracker import Rule
 from linespark.plans.stability import fd_exhaustion
@@ -38,6 +38,51 @@ def burst_detect_current_line(spark, sf):
     return stateful.burst_detect(event_lines(spark, sf), "tag", 24 * HOUR_MS, 20, line="current", block_lines=BLOCK)
 
 
+SHAKEN = """s AS (SELECT source_id, tag || k % 4 AS key, line_num, ts_ns + ((line_num * 7919) % 13 - 6) * 3600000000000 AS t,
+  row_number() OVER (PARTITION BY source_id, tag || k % 4 ORDER BY line_num) AS i FROM lines),
+q AS (SELECT source_id, key, i, i AS front FROM s WHERE i = 1
+  UNION ALL SELECT n.source_id, n.key, n.i, min(o.i) FROM q JOIN s n ON n.source_id = q.source_id AND n.key = q.key AND n.i = q.i + 1
+  JOIN s o ON o.source_id = q.source_id AND o.key = q.key AND o.i >= q.front AND o.i <= n.i AND o.t >= n.t - {w} GROUP BY ALL),
+h AS (SELECT s.*, s.i - q.front + 1 AS cnt, coalesce(lag(s.i - q.front + 1) OVER (PARTITION BY s.source_id, s.key ORDER BY s.i), 0) AS was
+  FROM s JOIN q USING (source_id, key, i))"""
+
+
+@query("burst_detect_times_backwards", f"""WITH RECURSIVE {LINES}, {SHAKEN.format(w=12 * HOUR_MS * 10**6)}
+SELECT source_id, key AS burst_key, cnt AS count_in_window, line_num, t AS ts_ns FROM h WHERE cnt >= 4 AND was < 4""")
+def burst_detect_times_backwards(spark, sf):
+    """Times shaken by up to six hours; the SQL drops and counts the queue event by event."""
+    x = event_lines(spark, sf).withColumn("ts_ns", F.col("ts_ns") + ((F.col("line_num") * 7919) % 13 - 6) * F.lit(HOUR_MS * 10**6))
+    key = F.concat("tag", (F.col("tid") % 4).cast("string"))
+    return stateful.burst_detect(x, key, 12 * HOUR_MS, 4, line="current", block_lines=BLOCK).select("source_id", "burst_key", "count_in_window", "line_num", "ts_ns")
+
+
+@query("matched_pairs", with_lines(""", m AS (SELECT source_id, line_num, tag = 'click' AS opens FROM lines WHERE tag IN ('click', 'purchase')),
+r AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY source_id ORDER BY line_num) AS run FROM m),
+o AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY source_id ORDER BY line_num)) AS open FROM r),
+d AS (SELECT *, CASE WHEN opens THEN open ELSE coalesce(lag(open) OVER (PARTITION BY source_id ORDER BY line_num), 0) END AS depth FROM o),
+p AS (SELECT *, lag(line_num) OVER w AS start_line, lag(opens) OVER w AS after_open FROM d WHERE depth > 0 WINDOW w AS (PARTITION BY source_id, depth ORDER BY line_num))
+SELECT source_id, 'visit' AS name, start_line, line_num AS end_line FROM p WHERE NOT opens AND after_open"""))
+def matched_pairs(spark, sf):
+    """Every click opens and every purchase closes the latest open one: one name for all of a source."""
+    marks = event_lines(spark, sf).filter(F.col("tag").isin("click", "purchase")).withColumn("name", F.lit("visit"))
+    return sections.matched_pairs(marks, ["source_id", "name"], F.col("tag") == "click", BLOCK)
+
+
+@query("sections_over_whole_sources", with_lines(""", last AS (SELECT source_id, max(line_num) AS last FROM lines GROUP BY 1),
+z AS (SELECT source_id, line_num AS start_line, last + line_num % 3 * 1000000 AS end_line FROM lines JOIN last USING (source_id) WHERE line_num % 211 = 0
+  UNION ALL SELECT source_id, 0, 1000000000000 FROM last)
+SELECT z.source_id, z.start_line, z.end_line, count(*) AS n, max(line_num) AS last_line FROM lines l JOIN z ON z.source_id = l.source_id AND l.line_num BETWEEN z.start_line AND z.end_line
+GROUP BY ALL"""))
+def sections_over_whole_sources(spark, sf):
+    """Nested ranges that all reach the end of their source or far beyond."""
+    x = event_lines(spark, sf)
+    last = x.groupBy("source_id").agg(F.max("line_num").alias("_last"))
+    some = x.filter("line_num % 211 = 0").join(last, "source_id").select("source_id", F.col("line_num").alias("start_line"), (F.col("_last") + F.col("line_num") % 3 * 1000000).alias("end_line"))
+    whole = last.select("source_id", F.lit(0).cast("bigint").alias("start_line"), F.lit(10**12).alias("end_line"))
+    held = sections.over_ranges(x.select("source_id", "line_num"), some.unionByName(whole), block=64)
+    return held.groupBy("source_id", "start_line", "end_line").agg(F.count("*").alias("n"), F.max("line_num").alias("last_line"))
+
+
 def tracker_rules():
     return [
         Rule("failed", P.tag_prefix("error") & P.message_regex(r"k=[1-4]"), {"status": "bad", "who": field(r"user=(\d+)")}),
