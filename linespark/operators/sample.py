@@ -42,12 +42,14 @@ def page(df: DataFrame, offset: int, count: int, block_lines: int = BLOCK_LINES,
         (F.col("position") >= offset) & (F.col("position") < offset + count)).select(*df.columns, "position")
 
 
-def sample_uniform(lines: DataFrame, n: int, contiguous: bool = True) -> DataFrame:
-    """``n`` evenly spaced lines per source: positions ``i * total div n``.
+def sample_uniform(lines: DataFrame, n: int, contiguous: bool = True, where: Column | None = None) -> DataFrame:
+    """``n`` evenly spaced lines per source: positions ``i * total div n``; with a filter, evenly spaced among all its matches.
 
     With contiguous line numbers the position is the line number and no row is shuffled for
-    ranking; otherwise set ``contiguous=False``.
+    ranking; otherwise set ``contiguous=False``. Matches of a filter are always ranked.
     """
+    if where is not None:
+        lines, contiguous = lines.filter(where), False
     base = lines.withColumn("_pos", F.col("line_num")) if contiguous else rank_lines(lines, "_pos")
     totals = lines.groupBy("source_id").agg(F.count("*").alias("_total"))
     take = F.least(F.lit(n).cast("bigint"), F.col("_total"))

@@ -209,6 +209,13 @@ def sample_uniform(spark, sf):
     return sample.sample_uniform(event_lines(spark, sf), 40, contiguous=False).select("source_id", "line_num")
 
 
+@query("sample_uniform_matches", with_lines("""
+, r AS (SELECT source_id, line_num, row_number() OVER (PARTITION BY source_id ORDER BY line_num) - 1 AS p, count(*) OVER (PARTITION BY source_id) AS total FROM lines WHERE tag = 'error')
+SELECT source_id, line_num FROM r WHERE p IN (SELECT i * total // 25 FROM range(25) t(i))"""))
+def sample_uniform_matches(spark, sf):
+    return sample.sample_uniform(event_lines(spark, sf), 25, where=F.col("tag") == "error").select("source_id", "line_num")
+
+
 @query("sample_recent", with_lines("""
 SELECT source_id, line_num FROM lines WHERE tag = 'error' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY line_num DESC) <= 15"""))
 def sample_recent(spark, sf):

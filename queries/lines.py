@@ -311,3 +311,33 @@ def scalar_functions(spark, sf):
                     X.after_last_slash(F.concat(F.lit("a/b/"), "pid")).alias("last_part"),
                     X.hms_ms(F.lit(1), F.lit(2), k, F.lit(5)).alias("clock_ms"), X.timestamp_text("ts_ns").alias("clock"),
                     X.text_ts_ns(iso, 2024).alias("parsed_ns"))
+
+
+@query("duration_text", with_lines("""
+, d AS (SELECT source_id, line_num, line_num * line_num // 7 * 100 AS ms FROM lines)
+SELECT source_id, line_num, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN (ms // 1000) || '.' || (ms % 1000 // 100) || 's'
+  WHEN ms < 3600000 THEN (ms // 60000) || 'm ' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || 's'
+  ELSE (ms // 3600000) || 'h ' || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || 'm' END AS shown FROM d"""))
+def duration_text(spark, sf):
+    ms = F.expr("line_num * line_num div 7 * 100")
+    return event_lines(spark, sf).select("source_id", "line_num", X.duration_text(ms * 1_000_000).alias("shown"))
+
+
+@query("map_lines", with_lines("SELECT source_id, line_num, length(message) - length(replace(message, '=', '')) AS n FROM lines WHERE tag = 'error'"))
+def map_lines(spark, sf):
+    def count(frames):
+        for f in frames:
+            yield f[["source_id", "line_num"]].assign(n=f["message"].str.count("="))
+    return project.map_lines(event_lines(spark, sf).filter("tag = 'error'"), count, "source_id string, line_num bigint, n bigint")
+
+
+@query("fold_lines", with_lines("""
+, g AS (SELECT *, lag(cents, 1, 0) OVER (PARTITION BY source_id, pid ORDER BY line_num) AS before FROM lines)
+SELECT source_id, pid, CAST(sum(abs(cents - before)) AS BIGINT) AS moved FROM g GROUP BY 1, 2"""))
+def fold_lines(spark, sf):
+    """How far the amounts of each user move from line to line."""
+    x = extract_fields(event_lines(spark, sf), {"cents": (r"cents=(\d+)", "int")}).select("source_id", "pid", "line_num", "cents")
+
+    def moved(f):
+        return f.iloc[:1][["source_id", "pid"]].assign(moved=int(f["cents"].diff().fillna(f["cents"].iloc[0]).abs().sum()))
+    return project.fold_lines(x, ["source_id", "pid"], moved, "source_id string, pid int, moved bigint")

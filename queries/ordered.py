@@ -202,7 +202,43 @@ def correlation_matches_q(spark, sf):
         "source_id", "trigger_line", "line_num")
 
 
-@query("correlate_several_causes")
+def _both_kinds(first: str, later: str) -> str:
+    """Trigger: error or purchase; cause: purchase or signup; a purchase line is both, and ``first`` is handled first."""
+    return f""", x AS (SELECT source_id, line_num, ts_ns, 0 AS o, '{first}' AS kind FROM lines WHERE tag IN {('error', 'purchase') if first == 't' else ('purchase', 'signup')}
+  UNION ALL SELECT source_id, line_num, ts_ns, 1, '{later}' FROM lines WHERE tag IN {('error', 'purchase') if later == 't' else ('purchase', 'signup')}),
+n AS (SELECT *, first_value(CASE WHEN kind = 't' THEN line_num END IGNORE NULLS) OVER w AS trigger_line, first_value(CASE WHEN kind = 't' THEN ts_ns END IGNORE NULLS) OVER w AS t
+  FROM x WINDOW w AS (PARTITION BY source_id ORDER BY line_num, o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT source_id, trigger_line, line_num FROM n WHERE kind = 'c' AND trigger_line - line_num <= 30 AND t - ts_ns <= 7200000000000"""
+
+
+def _lines_that_are_both(spark, sf, trigger_first):
+    trigger, cause = Source("t", P.tag_prefix("error", "purchase")), Source("c", P.tag_prefix("purchase", "signup"))
+    return correlation_matches(event_lines(spark, sf), trigger, [cause], 30, 2 * HOUR_MS, trigger_first, block_lines=BLOCK).select("source_id", "trigger_line", "line_num")
+
+
+@query("correlate_both_trigger_first", with_lines(_both_kinds("t", "c")))
+def correlate_both_trigger_first(spark, sf):
+    return _lines_that_are_both(spark, sf, True)
+
+
+@query("correlate_both_cause_first", with_lines(_both_kinds("c", "t")))
+def correlate_both_cause_first(spark, sf):
+    return _lines_that_are_both(spark, sf, False)
+
+
+@query("correlate_several_causes", f"""WITH RECURSIVE {LINES}, x AS (SELECT source_id, line_num, ts_ns, pid, CASE WHEN tag = 'error' THEN 'err' WHEN tag = 'signup' THEN 'join' ELSE 'buy' END AS kind
+  FROM lines WHERE tag IN ('error', 'signup') OR (tag = 'purchase' AND cents > 20000)),
+p AS (SELECT *, last_value(CASE WHEN kind = 'buy' THEN line_num END IGNORE NULLS) OVER w AS b, last_value(CASE WHEN kind = 'buy' THEN ts_ns END IGNORE NULLS) OVER w AS bt,
+  last_value(CASE WHEN kind = 'join' THEN line_num END IGNORE NULLS) OVER w AS j, last_value(CASE WHEN kind = 'join' THEN ts_ns END IGNORE NULLS) OVER w AS jt
+  FROM x WINDOW w AS (PARTITION BY source_id ORDER BY line_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+able AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY line_num) AS i FROM p WHERE kind = 'err' AND line_num - least(b, j) <= 60 AND b IS NOT NULL AND j IS NOT NULL AND ts_ns - least(bt, jt) <= {12 * HOUR_MS * 10**6}),
+r AS (SELECT DISTINCT source_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS last, CAST(-1 AS BIGINT) AS before, false AS fired FROM able
+  UNION ALL SELECT a.source_id, a.i, CASE WHEN least(a.b, a.j) > r.last THEN a.line_num ELSE r.last END, r.last, least(a.b, a.j) > r.last FROM r JOIN able a ON a.source_id = r.source_id AND a.i = r.i + 1),
+t AS (SELECT a.*, r.before FROM r JOIN able a USING (source_id, i) WHERE r.fired),
+m AS (SELECT t.source_id, t.line_num AS trigger_line, t.pid AS err, c.kind, c.line_num, c.pid FROM t JOIN x c ON c.source_id = t.source_id AND c.kind <> 'err' AND c.line_num > t.before
+  AND c.line_num < t.line_num AND t.line_num - c.line_num <= 60 AND t.ts_ns - c.ts_ns <= {12 * HOUR_MS * 10**6})
+SELECT source_id, trigger_line, count(*) AS matches, count(*) FILTER (WHERE kind = 'buy') AS n_buy, count(*) FILTER (WHERE kind = 'join') AS n_join,
+  any_value(err) || ': ' || arg_max(pid, line_num) FILTER (WHERE kind = 'buy') || ', ' || arg_max(pid, line_num) FILTER (WHERE kind = 'join') AS message FROM m GROUP BY 1, 2""")
 def correlate_several(spark, sf):
     trigger, cause = corr_sources()
     join = Source("join", P.tag_prefix("signup"), {"user": field(r"user=(\d+)")})
