@@ -115,7 +115,7 @@ parts AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(res
   regexp_replace(regexp_extract(rest, '^[^/]*(/.*)$', 1), '/+$', '') AS path FROM places),
 p AS (SELECT page_id, host, host || path AS place, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS fetched FROM parts),
 listed AS (SELECT 'list' || (page_id % 3) AS list_id, page_id, DATE '2024-01-01' + CAST(page_id * 11 % 300 AS INTEGER) AS day,
-  lower(CASE page_id % 4 WHEN 0 THEN regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) WHEN 1 THEN host ELSE place END) AS pattern FROM p WHERE page_id % 7 = 0),
+  CASE page_id % 4 WHEN 0 THEN regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) WHEN 1 THEN host ELSE place END AS pattern FROM p WHERE page_id % 7 = 0),
 entries AS (SELECT list_id, pattern, day, 'add' AS action FROM listed WHERE pattern <> '' UNION ALL
   SELECT list_id, pattern, day + 45, 'remove' FROM listed WHERE pattern <> '' AND page_id % 2 = 0),
 hits AS (SELECT p.page_id, e.list_id, e.pattern, max(struct_pack(day := e.day, action := e.action)) AS newest

@@ -261,3 +261,19 @@ def test_write_shards(spark, tmp_path):
     sharding.write_shards(spark.createDataFrame([(i, "t") for i in range(50)], "doc_id bigint, text string"), str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50 and {r["shard"] for r in back.select("shard").distinct().collect()} <= set(range(4))
+
+
+# -- URL lists -----------------------------------------------------------------------------------------------------
+
+def test_url_lists_sql_with_capitals(spark, tmp_path):
+    import duckdb
+
+    from tests.compare import compare
+    paths = ["A/Story", "a/story", "A/Story/2", "", "News", "news/x", None]
+    rows = [(i, None if p is None else f"{'HTTP' if i % 5 else 'http'}://{'WWW' if i % 3 else 'www'}.Site{i % 4}.org:80/{p}{'?q=A' if i % 2 else ''}") for i, p in ((i, paths[i * 5 % 7]) for i in range(140))]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    out = queries.QUERIES["op3_url_lists"](spark, str(tmp_path))
+    assert compare(out, con, queries.SQL["op3_url_lists"]) is None
+    assert any("/A/" in (r["pattern"] or "") for r in out.collect())
