@@ -12,6 +12,7 @@ from ..operators.ordered import settle
 from ..operators.pii import assign_tokens, detect_pii, mask_text
 from ..operators.project import emit
 from ..schemas import PII_MAP
+from .fenced import FencedSink
 
 
 def stream_emit(df: DataFrame, where: Column, **exprs: Column) -> DataFrame:
@@ -45,6 +46,15 @@ def watch_batch(batch: DataFrame, watches: dict[str, Column]) -> DataFrame:
     return stream_watch(batch, watches).withColumnRenamed("total", "new")
 
 
+def stream_new_matches(df: DataFrame, watches: dict[str, Column], path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """New matches of each micro-batch as rows ``batch_id, watch, new``; a re-run batch overwrites its own folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        watch_batch(batch, watches).select(F.lit(batch_id).cast("bigint").alias("batch_id"), "watch", "new").write.mode("overwrite").parquet(
+            f"{path}/part-{batch_id}")
+    w = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
 def stream_metadata(df: DataFrame) -> DataFrame:
     """Lines, bytes, first and last time per source so far."""
     return df.groupBy("source_id").agg(
@@ -64,24 +74,45 @@ def stream_count_by_time(df: DataFrame, interval: str, delay: str = "10 minutes"
     return counts.select((F.unix_micros("window.start") * 1000).alias("bucket"), *([by] if by else []), "n")
 
 
+def map_spans(batches: int) -> list[tuple[int, int]]:
+    """Spans [first, end) of the token-map folders that together cover the first ``batches`` micro-batches.
+
+    The folder that batch ``n`` writes covers the last ``lowbit(n + 1)`` batches up to it, so any prefix is read from as
+    many folders as its number has one bits, and a value is written again log n times at most.
+    """
+    out = []
+    while batches:
+        first = batches & (batches - 1)
+        out.append((first, batches))
+        batches = first
+    return out
+
+
+def read_token_map(spark: SparkSession, map_path: str, batches: int) -> DataFrame:
+    """Tokens given in the first ``batches`` micro-batches of ``stream_mask``."""
+    spans = map_spans(batches)
+    if not spans:
+        return spark.createDataFrame([], PII_MAP)
+    return spark.read.schema(PII_MAP).parquet(*[f"{map_path}/batches-{a}-{b}" for a, b in spans])
+
+
 def mask_batch(batch: DataFrame, batch_id: int, map_path: str, text: str = "message", **options) -> DataFrame:
     """Masked lines of one micro-batch, with tokens stable across batches.
 
-    New values of batch ``n`` are written to ``map_path/batch=n``; the seed is every earlier batch, so a repeated
-    batch gives the same tokens. The returned lines read the map as written.
+    The seed is the map of all earlier batches. New values go, together with those of the folders that this one stands for
+    (``map_spans``), to one new folder; earlier folders are never changed, so a repeated batch reads the same seed, gives the same
+    tokens and overwrites its own folder only. The returned lines read the map as written.
     """
     spark = batch.sparkSession
     spans = settle(detect_pii(batch, text, **options))
-    if batch_id == 0:
-        seed = spark.createDataFrame([], PII_MAP)
-    else:
-        seed = (spark.read.schema(PII_MAP).option("recursiveFileLookup", "false").parquet(
-            *[f"{map_path}/batch={i}" for i in range(batch_id)]))
-    tokens = assign_tokens(spans, seed)
-    tokens.join(seed.select("raw"), "raw", "left_anti").select(*PII_MAP.fieldNames()).write.mode("overwrite").parquet(
-        f"{map_path}/batch={batch_id}")
-    known = spark.read.schema(PII_MAP).parquet(*[f"{map_path}/batch={i}" for i in range(batch_id + 1)])
-    return mask_text(batch, spans, known, text)
+    seed = read_token_map(spark, map_path, batch_id)
+    new = assign_tokens(spans, seed).join(seed.select("raw"), "raw", "left_anti").select(*PII_MAP.fieldNames())
+    first, end = map_spans(batch_id + 1)[0]
+    for a, b in map_spans(batch_id):
+        if a >= first:
+            new = new.unionByName(spark.read.schema(PII_MAP).parquet(f"{map_path}/batches-{a}-{b}"))
+    new.write.mode("overwrite").parquet(f"{map_path}/batches-{first}-{end}")
+    return mask_text(batch, spans, read_token_map(spark, map_path, batch_id + 1), text)
 
 
 def stream_mask(df: DataFrame, map_path: str, out_path: str, checkpoint: str, text: str = "message", available_now: bool = False,
@@ -100,10 +131,16 @@ def rule_name(name: str, rules) -> str:
 
 def start_stream(df: DataFrame, path: str, checkpoint_root: str, name: str, rules=(), mode: str = "append",
                  interval: str | None = None) -> StreamingQuery:
-    """Start a stream into parquet. State is handed over by the checkpoint of this name and rule set only."""
+    """Start a stream into a fenced Parquet sink; read it with ``fenced.read_committed``.
+
+    State is handed over by the checkpoint of this name and rule set only. A run of other rules, or an older run that is still
+    alive, is fenced off from the moment this one starts.
+    """
     query = rule_name(name, rules)
-    w = (df.writeStream.queryName(query).outputMode(mode).format("parquet")
-         .option("path", path).option("checkpointLocation", f"{checkpoint_root}/{query}"))
+    checkpoint = f"{checkpoint_root}/{query}"
+    generation = f"{query}_{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
+    sink = FencedSink.claim(df.sparkSession, path, generation, df.schema, mode)
+    w = df.writeStream.queryName(query).outputMode(mode).foreachBatch(sink.write).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)
     return w.start()
 
