@@ -12,6 +12,7 @@ from linespark.operators import aggregate as A
 from linespark.operators import tracker
 from linespark.operators.ordered import ensure_checkpoint_dir
 from linespark.streaming import live, stateful
+from linespark.streaming.fenced import read_committed
 
 from .adapters import LINES, doc_lines, event_lines, lines_of, table, with_event_parts, with_lines
 from .ordered import BURST, CORR, DEFAULTS, HOUR_MS, TRACK, corr_sources, tracker_rules
@@ -99,3 +100,72 @@ def stream_mask(spark, sf):
     live.stream_mask(stream_of_events(spark, sf), f"{state}-map", out, state, available_now=True, categories=(),
                      custom={"PII": r"(?<=user=)\d+"}).awaitTermination()
     return spark.read.parquet(out).select("source_id", "line_num", F.regexp_replace("message", r"<PII-\d+>", "<PII>").alias("message"))
+
+
+LATE_DELAY = "9 days"
+
+
+def fed_events(spark, sf) -> str:
+    """The events in four folders by day of month, written one after the other; every tenth comes one folder late."""
+    e = table(spark, sf, "events")
+    part = F.least(F.lit(3), F.expr("(day(ts) - 1) div 8") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
+    base = places(spark)[0]
+    for i in range(4):
+        e.filter(part == i).write.parquet(f"{base}/p{i}")
+    return base
+
+
+def late_events(spark, sf):
+    """Those folders as a stream, a file at a time."""
+    schema = table(spark, sf, "events").schema
+    return lines_of(with_event_parts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(
+        fed_events(spark, sf))))
+
+
+def passed(matched: str, ts: str = "ts_ns") -> str:
+    """Rows that the last watermark has passed: the latest matched time less the delay, in whole milliseconds."""
+    return f"{ts} < (SELECT max(ts_ns) // 1000000 * 1000000 - {9 * 24 * HOUR_MS * 10**6} FROM {matched})"
+
+
+@query("stream_burst_late", f"""WITH {LINES}, {BURST.format(w=24 * HOUR_MS * 10**6, t=20)}
+SELECT source_id, tag AS burst_key, cnt AS count_in_window, line_num, ts_ns FROM h WHERE hot AND NOT was AND {passed('lines')}""")
+def stream_burst_late(spark, sf):
+    """Rows that come a batch late give the batch result, as far as the watermark has passed."""
+    out = stateful.stream_burst(late_events(spark, sf), "tag", 24 * HOUR_MS, 20, delay=LATE_DELAY)
+    return live.run_available(out, *places(spark)).select("source_id", "burst_key", "count_in_window", "line_num", "ts_ns")
+
+
+@query("stream_track_late", f"""WITH {LINES}, {TRACK} SELECT source_id, line_num, ts_ns, transition, field, from_value, to_value FROM tr
+WHERE {passed('(SELECT ts_ns FROM r WHERE rule IS NOT NULL)')}""")
+def stream_track_late(spark, sf):
+    out = live.run_available(stateful.stream_track(late_events(spark, sf), tracker_rules(), DEFAULTS, "shop", delay=LATE_DELAY), *places(spark))
+    return tracker.flat_changes(out).select("source_id", "line_num", "ts_ns", "transition", "field", "from_value", "to_value")
+
+
+@query("stream_correlate_late", f"""WITH {LINES}, {CORR}
+SELECT source_id, trigger_line, count(*) AS matches FROM m JOIN x ON x.source_id = m.source_id AND x.line_num = m.trigger_line AND x.trig
+WHERE {passed('x', 'x.ts_ns')} GROUP BY ALL""".replace("SELECT source_id, trigger_line, count", "SELECT m.source_id, trigger_line, count"))
+def stream_correlate_late(spark, sf):
+    trigger, cause = corr_sources()
+    out = stateful.stream_correlate(late_events(spark, sf), trigger, [cause], 40, 3 * HOUR_MS, delay=LATE_DELAY)
+    return live.run_available(out, *places(spark)).select("source_id", "trigger_line", "matches")
+
+
+@query("stream_new_matches", with_lines("""
+SELECT 'bad' AS watch, count(*) AS total FROM lines WHERE level_ord >= 4 UNION ALL SELECT 'nine', count(*) FROM lines WHERE contains(raw, 'user=9')"""))
+def stream_new_matches(spark, sf):
+    """New matches of every micro-batch, added up."""
+    out, state = places(spark)
+    live.stream_new_matches(late_events(spark, sf), {"bad": P.level_min("E"), "nine": P.criteria(text="user=9")}, out, state,
+                            available_now=True).awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(out).groupBy("watch").agg(F.sum("new").alias("total"))
+
+
+@query("stream_restart", with_lines("SELECT source_id, line_num, tag FROM lines WHERE tag = 'purchase'"))
+def stream_restart(spark, sf):
+    """Two starts into one sink under other rules, the second one twice: readers see the newest rules' rows, once."""
+    out, state = places(spark)
+    for tag in ("error", "purchase", "purchase"):
+        rows = live.stream_filter(stream_of_events(spark, sf), F.col("tag") == tag).select("source_id", "line_num", "tag")
+        live.start_stream(rows, out, state, "watch", (tag,)).awaitTermination()
+    return read_committed(spark, out)
