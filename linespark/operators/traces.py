@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.extract import field
-from .ordered import BLOCK_LINES, scan
+from .ordered import BLOCK_LINES
 
 # Line shapes of fatal and plain traces, and package prefixes that are not application code.
 FATAL_THREAD = r"FATAL EXCEPTION:\s+(.+)"
@@ -30,79 +30,106 @@ class Traces:
     nonfatal: DataFrame
 
 
-def group_traces(df: DataFrame, block_lines: int = BLOCK_LINES) -> Traces:
-    """Group matched lines into traces.
-
-    A fatal trace runs from its header over lines of the fatal tag and process-name lines to the first
-    other line; a stderr trace from an exception line over lines of the stderr tag. Whether a line is
-    inside a trace depends only on the latest opening or breaking line before it, so each pass
-    is one block scan. A trace that nothing closes is reported in ``fatal`` but emits no row.
-    """
+def _staged(df: DataFrame) -> DataFrame:
+    """Extracted fields of each line, what it does to a fatal trace (``_mark``) and, if no fatal trace takes it, to a stderr trace (``_mark2``)."""
     x = df.select("source_id", "line_num", "ts_ns", "tag",
                   field(FATAL_THREAD).alias("thread"), field(PROCESS_NAME).alias("app"),
                   field(EXCEPTION_CLASS).alias("exc"), field(CAUSED_BY).alias("cause"),
                   field(FRAME_PACKAGE).alias("frame"))
     opens = F.col("thread").isNotNull()
-    absorbs = ~opens & (F.col("app").isNotNull() | (F.col("tag") == FATAL_TAG))
-    breaks = ~opens & ~absorbs
-    at = F.struct(F.col("line_num").alias("line"), F.col("ts_ns").alias("ts"))
-    mark = F.when(opens, F.struct(F.lit(True).alias("open"), F.col("line_num").alias("line"))) \
-        .when(breaks, F.struct(F.lit(False).alias("open"), F.col("line_num").alias("line")))
-    seen = scan(x, prev={"_in": mark}, next={"_close": F.when(opens | breaks, at)}, block_lines=block_lines)
-    inside = absorbs & F.coalesce(F.col("_in.open"), F.lit(False))
-    seen = seen.withColumn("_trace", F.when(opens, F.col("line_num")).when(inside, F.col("_in.line")))
-
-    lines = seen.filter("_trace IS NOT NULL")
-    body = F.col("thread").isNull() & F.col("app").isNull() & (F.col("tag") == FATAL_TAG)
-    at_line = lambda c: F.when(c, F.col("line_num"))
-    traces = lines.groupBy("source_id", "_trace").agg(
-        F.max("thread").alias("crash_thread"),
-        F.max_by(F.when(F.col("thread").isNull(), F.col("app")),
-                 at_line(F.col("thread").isNull() & F.col("app").isNotNull())).alias("app"),
-        F.min_by("exc", at_line(body & F.col("exc").isNotNull())).alias("exception"),
-        F.max_by("cause", at_line(body & F.col("cause").isNotNull())).alias("root"),
-        F.max_by("_close", at_line(opens)).alias("_close")).filter("app IS NOT NULL")
-    exc = F.coalesce("exception", F.lit(""))
-    differs = F.col("root").isNotNull() & (F.col("root") != exc)
-    detail = F.concat(exc, F.when(differs, F.concat(F.lit(" (root: "), F.col("root"), F.lit(")"))).otherwise(F.lit("")),
-                      F.lit(" on "), F.col("crash_thread"))
-    fatal = traces.filter(F.col("_close").isNotNull() | F.col("exception").isNotNull()).groupBy("source_id", "app").agg(
-        F.max_by(detail, "_trace").alias("detail"))
-    cols = lambda src, e, root, thread, start, is_fatal: [
-        "source_id", F.col("_close.line").alias("line_num"), F.col("_close.ts").alias("ts_ns"), src.alias("source"),
-        e.alias("exception"), root.alias("root_cause"), thread.alias("crash_thread"), start.alias("start_line"),
-        F.lit(is_fatal).alias("fatal")]
-    fatal_rows = traces.filter("_close IS NOT NULL").select(*cols(
-        F.col("app"), exc, F.coalesce("root", exc), F.col("crash_thread"), F.col("_trace"), True))
-
-    # Second pass over the lines no fatal trace took: stderr traces and single exceptions.
-    rest = seen.filter("_trace IS NULL").drop("_in", "_close", "_trace")
-    stderr = F.col("tag") == STDERR_TAG
+    stderr = F.coalesce(F.col("tag") == STDERR_TAG, F.lit(False))
     head = stderr & F.col("exc").isNotNull() & F.col("cause").isNull()
-    mark2 = F.when(head, F.struct(F.lit(True).alias("open"), F.col("line_num").alias("line"))) \
-        .when(~stderr, F.struct(F.lit(False).alias("open"), F.col("line_num").alias("line")))
-    seen2 = scan(rest, prev={"_in": mark2}, next={"_close": F.when(head | ~stderr, at)}, block_lines=block_lines)
-    seen2 = seen2.withColumn("_trace", F.when(head, F.col("line_num")).when(
-        stderr & F.coalesce(F.col("_in.open"), F.lit(False)), F.col("_in.line")))
+    mark = lambda opening: F.struct(opening.alias("open"), F.col("line_num").alias("line"), F.col("ts_ns").alias("ts"))
+    absorbs = ~opens & (F.col("app").isNotNull() | F.coalesce(F.col("tag") == FATAL_TAG, F.lit(False)))
+    return x.withColumns({"_absorbs": absorbs, "_stderr": stderr, "_head": head, "_mark": F.when(~absorbs, mark(opens)),
+                          "_mark2": F.when(~opens & (head | ~stderr), mark(head))})
+
+
+def _traced(df: DataFrame, block_lines: int) -> DataFrame:
+    """Each line with the trace it belongs to (``_kind``, ``_start``) and, for a trace's first line, its end (``_close``).
+
+    Whether a line is inside a trace depends only on the latest mark before it, but a line that a fatal trace takes does
+    nothing to a stderr trace. Inside a block this is open only for the absorbable lines before the block's first fatal
+    mark, so a block is summed up with those lines (``_early``) and without them, and the state carried into the block says
+    which it is. Rows are shuffled once.
+    """
+    x = _staged(df)
+    rest = [c for c in x.columns if c != "source_id"]
+    packed = (x.withColumn("_block", F.expr(f"line_num div {int(block_lines)}L")).filter("source_id IS NOT NULL AND _block IS NOT NULL")
+              .select("source_id", "_block", F.array(F.struct(*rest)).alias("_row")).repartition("source_id", "_block"))
+    inside = W.partitionBy("source_id", "_block").orderBy("line_num").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("source_id", "_block").orderBy(F.desc("line_num")).rowsBetween(W.unboundedPreceding, -1)
+    latest = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    line = lambda c: F.when(c, F.col("line_num"))
+    marked, marked2 = F.col("_mark").isNotNull(), F.col("_mark2").isNotNull()
+
+    rows = packed.select("source_id", "_block", F.inline("_row")).withColumn("_in", latest("_mark", inside))
+    early = F.col("_absorbs") & F.col("_in").isNull()
+    sure = ~early & ~(F.col("_absorbs") & F.col("_in.open"))
+    blocks = rows.groupBy("source_id", "_block").agg(
+        F.max_by("_mark", line(marked)).alias("_last"), F.min_by("_mark", line(marked)).alias("_first"),
+        F.max_by("_mark2", line(marked2 & sure)).alias("_last2"), F.min_by("_mark2", line(marked2 & sure)).alias("_first2"),
+        F.max_by("_mark2", line(marked2 & early)).alias("_early_last2"), F.min_by("_mark2", line(marked2 & early)).alias("_early_first2"))
+    earlier = W.partitionBy("source_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy("source_id").orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_in_block", latest("_last", earlier))
+    free = ~F.coalesce(F.col("_in_block.open"), F.lit(False))
+    carry = blocks.withColumns({"_last2": F.coalesce("_last2", F.when(free, F.col("_early_last2"))),
+                                "_first2": F.coalesce(F.when(free, F.col("_early_first2")), "_first2")}).select(
+        "source_id", "_block", "_in_block", latest("_last2", earlier).alias("_in2_block"),
+        latest("_first", later).alias("_next_block"), latest("_first2", later).alias("_next2_block"))
+
+    seen = packed.join(carry, ["source_id", "_block"]).select(
+        "source_id", "_block", "_in_block", "_in2_block", "_next_block", "_next2_block", F.inline("_row"))
+    seen = seen.withColumns({"_in": F.coalesce(latest("_mark", inside), "_in_block"), "_next": F.coalesce(latest("_mark", after), "_next_block")})
+    opens = F.col("thread").isNotNull()
+    taken = opens | (F.col("_absorbs") & F.coalesce(F.col("_in.open"), F.lit(False)))
+    seen = seen.withColumns({"_taken": taken, "_mark2": F.when(~taken, F.col("_mark2"))})
+    seen = seen.withColumns({"_in2": F.coalesce(latest("_mark2", inside), "_in2_block"), "_next2": F.coalesce(latest("_mark2", after), "_next2_block")})
+    in_stderr = F.col("_head") | (F.col("_stderr") & F.coalesce(F.col("_in2.open"), F.lit(False)))
+    single = ~F.col("_stderr") & F.col("exc").isNotNull() & F.col("cause").isNull() & F.col("frame").isNull()
+    kind = F.when(F.col("_taken"), "fatal").when(in_stderr, "stderr").when(single, "single")
+    first = opens | F.col("_head") | (F.col("_kind") == "single")
+    at = F.struct(F.lit(False).alias("open"), F.col("line_num").alias("line"), F.col("ts_ns").alias("ts"))
+    return seen.withColumn("_kind", kind).filter("_kind IS NOT NULL").withColumns({
+        "_start": F.when(opens | (~F.col("_taken") & first), F.col("line_num")).when(F.col("_taken"), F.col("_in.line")).otherwise(F.col("_in2.line")),
+        "_close": F.when(opens, F.col("_next")).when(F.col("_kind") == "single", at).when(~F.col("_taken") & F.col("_head"), F.col("_next2"))})
+
+
+def group_traces(df: DataFrame, block_lines: int = BLOCK_LINES) -> Traces:
+    """Group matched lines into traces.
+
+    A fatal trace runs from its header over lines of the fatal tag and process-name lines to the first
+    other line; a stderr trace from an exception line over lines of the stderr tag that no fatal trace took. A trace that
+    nothing closes is reported in ``fatal`` but emits no row. All four results come from one scan of the lines and
+    one aggregate by trace.
+    """
+    fatal_line, stderr_line = F.col("_kind") == "fatal", F.col("_kind") == "stderr"
+    starts = F.col("line_num") == F.col("_start")
+    body = fatal_line & F.col("thread").isNull() & F.col("app").isNull() & (F.col("tag") == FATAL_TAG)
     own_code = ~F.col("frame").rlike("^(?:" + "|".join(p.replace(".", r"\.") for p in FRAMEWORK) + ")")
-    frame = ~head & F.col("cause").isNull() & F.col("frame").isNotNull() & own_code
-    blocks = seen2.filter("_trace IS NOT NULL").groupBy("source_id", "_trace").agg(
-        F.max_by("exc", at_line(head)).alias("exception"),
-        F.max_by("cause", at_line(~head & F.col("cause").isNotNull())).alias("root"),
-        F.min_by("frame", at_line(frame)).alias("frame"), F.max_by("_close", at_line(head)).alias("_close"))
-    none = F.lit("")
-    stderr_rows = blocks.filter("_close IS NOT NULL").select(*cols(
-        F.coalesce("frame", F.lit(STDERR_TAG)), F.col("exception"), F.coalesce("root", "exception"), none,
-        F.col("_trace"), False))
-    single = rest.filter(~stderr & F.col("exc").isNotNull() & F.col("cause").isNull() & F.col("frame").isNull())
-    single_rows = single.withColumn("_close", at).select(*cols(
-        F.col("tag"), F.col("exc"), F.col("exc"), none, F.col("line_num"), False))
-    emissions = fatal_rows.unionByName(stderr_rows).unionByName(single_rows)
-
-    kinds = x.select("source_id", F.when(opens, "fatal").alias("kind")).filter("kind IS NOT NULL").unionByName(
-        rest.filter(head).select("source_id", F.lit("nonfatal").alias("kind"))).unionByName(
-        single.select("source_id", F.lit("nonfatal").alias("kind")))
-    counts = kinds.groupBy("source_id").agg(F.count_if(F.col("kind") == "fatal").alias("fatal_count"),
-                                            F.count_if(F.col("kind") == "nonfatal").alias("nonfatal_count"))
+    line = lambda c: F.when(c, F.col("line_num"))
+    exc = line(F.col("exc").isNotNull() & (body | (~fatal_line & starts)))
+    traces = _traced(df, block_lines).groupBy("source_id", "_start").agg(
+        F.max("_kind").alias("_kind"), F.max("thread").alias("crash_thread"),
+        F.max_by("app", line(fatal_line & ~starts & F.col("app").isNotNull())).alias("app"),
+        F.min_by("exc", exc).alias("exception"),
+        F.max_by("cause", line(F.col("cause").isNotNull() & (body | (stderr_line & ~starts)))).alias("root"),
+        F.min_by("frame", line(stderr_line & ~starts & F.col("cause").isNull() & F.col("frame").isNotNull() & own_code)).alias("frame"),
+        F.max_by("tag", line(starts)).alias("tag"), F.max_by("_close", line(starts)).alias("_close"))
+    is_fatal = F.col("_kind") == "fatal"
+    exception = F.coalesce("exception", F.lit(""))
+    source = F.when(is_fatal, F.col("app")).when(F.col("_kind") == "single", F.col("tag")).otherwise(F.coalesce("frame", F.lit(STDERR_TAG)))
+    emissions = traces.filter(F.col("_close").isNotNull() & (~is_fatal | F.col("app").isNotNull())).select(
+        "source_id", F.col("_close.line").alias("line_num"), F.col("_close.ts").alias("ts_ns"), source.alias("source"),
+        exception.alias("exception"), F.coalesce("root", exception).alias("root_cause"),
+        F.coalesce(F.when(is_fatal, F.col("crash_thread")), F.lit("")).alias("crash_thread"), F.col("_start").alias("start_line"), is_fatal.alias("fatal"))
+
+    differs = F.col("root").isNotNull() & (F.col("root") != exception)
+    detail = F.concat(exception, F.when(differs, F.concat(F.lit(" (root: "), F.col("root"), F.lit(")"))).otherwise(F.lit("")),
+                      F.lit(" on "), F.col("crash_thread"))
+    known = traces.filter(is_fatal & F.col("app").isNotNull() & (F.col("_close").isNotNull() | F.col("exception").isNotNull()))
+    fatal = known.groupBy("source_id", "app").agg(F.max_by(detail, "_start").alias("detail"))
+    counts = traces.groupBy("source_id").agg(F.count_if(is_fatal).alias("fatal_count"), F.count_if(~is_fatal).alias("nonfatal_count"))
     nonfatal = emissions.filter("NOT fatal").groupBy("source_id", "source", "exception").agg(F.count("*").alias("n"))
     return Traces(emissions, fatal, counts, nonfatal)

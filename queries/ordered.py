@@ -365,10 +365,11 @@ def trace_lines(spark, sf):
     return x.withColumns({"message": text, "tag": tag})
 
 
-@query("group_traces_fatal", f"""WITH {LINES}, z AS (SELECT source_id, line_num, CASE WHEN line_num % 10 < 6 THEN 'AndroidRuntime'
+TRACES = f"""z AS (SELECT source_id, line_num, CASE WHEN line_num % 10 < 6 THEN 'AndroidRuntime'
     WHEN line_num % 10 < 9 THEN 'System.err' ELSE 'Other' END AS tag2, {TRACE_TEXT} AS m FROM lines),
 x AS (SELECT *, nullif(regexp_extract(m, 'FATAL EXCEPTION: (.+)', 1), '') AS thread, nullif(regexp_extract(m, 'Process: ([^ ,]+)', 1), '') AS app,
-    nullif(regexp_extract(m, '(java[.a-zA-Z0-9]*(Exception|Error))', 1), '') AS exc, nullif(regexp_extract(m, 'Caused by: (java[.a-zA-Z0-9]*Error)', 1), '') AS cause FROM z),
+    nullif(regexp_extract(m, '(java[.a-zA-Z0-9]*(Exception|Error))', 1), '') AS exc, nullif(regexp_extract(m, 'Caused by: (java[.a-zA-Z0-9]*Error)', 1), '') AS cause,
+    nullif(regexp_extract(m, '^at ([a-z0-9.]+)[.]Main', 1), '') AS frame FROM z),
 k AS (SELECT *, CASE WHEN thread IS NOT NULL THEN 'open' WHEN app IS NULL AND tag2 != 'AndroidRuntime' THEN 'break' END AS mark FROM x),
 s AS (SELECT *, last_value(mark IGNORE NULLS) OVER w AS pm, last_value(CASE WHEN mark IS NOT NULL THEN line_num END IGNORE NULLS) OVER w AS pl FROM k
   WINDOW w AS (PARTITION BY source_id ORDER BY line_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -377,7 +378,23 @@ n AS (SELECT a.source_id, a.line_num AS tr, min(b.line_num) AS close FROM k a JO
   AND a.source_id = b.source_id AND b.line_num > a.line_num GROUP BY 1, 2),
 a AS (SELECT source_id, tr, max(thread) AS crash_thread, arg_max(app, line_num) FILTER (app IS NOT NULL) AS app,
   arg_min(exc, line_num) FILTER (exc IS NOT NULL AND app IS NULL AND thread IS NULL) AS exc,
-  arg_max(cause, line_num) FILTER (cause IS NOT NULL AND app IS NULL AND thread IS NULL) AS cause FROM t WHERE tr IS NOT NULL GROUP BY 1, 2)
+  arg_max(cause, line_num) FILTER (cause IS NOT NULL AND app IS NULL AND thread IS NULL) AS cause FROM t WHERE tr IS NOT NULL GROUP BY 1, 2)"""
+STDERR_TRACES = """r AS (SELECT *, tag2 = 'System.err' AS err, tag2 = 'System.err' AND exc IS NOT NULL AND cause IS NULL AS head FROM t WHERE tr IS NULL),
+s2 AS (SELECT *, last_value(CASE WHEN head OR NOT err THEN head END IGNORE NULLS) OVER w AS open2,
+    last_value(CASE WHEN head OR NOT err THEN line_num END IGNORE NULLS) OVER w AS line2,
+    min(CASE WHEN head OR NOT err THEN line_num END) OVER (PARTITION BY source_id ORDER BY line_num ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS close2
+  FROM r WINDOW w AS (PARTITION BY source_id ORDER BY line_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t2 AS (SELECT *, CASE WHEN head THEN line_num WHEN err AND open2 THEN line2 END AS tr2 FROM s2),
+a2 AS (SELECT source_id, tr2, max(exc) FILTER (head) AS exc, arg_max(cause, line_num) FILTER (cause IS NOT NULL AND NOT head) AS cause,
+  arg_min(frame, line_num) FILTER (frame IS NOT NULL AND NOT head AND cause IS NULL) AS frame, max(close2) FILTER (head) AS close
+  FROM t2 WHERE tr2 IS NOT NULL GROUP BY 1, 2),
+em AS (SELECT a.source_id, n.close AS line_num, app AS source, coalesce(exc, '') AS exception, coalesce(cause, exc, '') AS root_cause, crash_thread,
+    a.tr AS start_line, true AS fatal FROM a JOIN n ON a.source_id = n.source_id AND a.tr = n.tr WHERE app IS NOT NULL
+  UNION ALL SELECT source_id, close, coalesce(frame, 'System.err'), exc, coalesce(cause, exc), '', tr2, false FROM a2 WHERE close IS NOT NULL
+  UNION ALL SELECT source_id, line_num, tag2, exc, exc, '', line_num, false FROM r WHERE NOT err AND exc IS NOT NULL AND cause IS NULL AND frame IS NULL)"""
+
+
+@query("group_traces_fatal", f"""WITH {LINES}, {TRACES}
 SELECT a.source_id, n.close AS line_num, app AS source, coalesce(exc, '') AS exception, coalesce(cause, exc, '') AS root_cause, crash_thread,
   a.tr AS start_line FROM a JOIN n ON a.source_id = n.source_id AND a.tr = n.tr WHERE app IS NOT NULL""")
 def group_traces_fatal(spark, sf):
@@ -385,12 +402,17 @@ def group_traces_fatal(spark, sf):
     return t.emissions.filter("fatal").select("source_id", "line_num", "source", "exception", "root_cause", "crash_thread", "start_line")
 
 
-@query("group_traces")
+@query("group_traces", f"""WITH {LINES}, {TRACES}, {STDERR_TRACES}
+SELECT em.*, ts_ns FROM em JOIN lines USING (source_id, line_num)""")
 def group_traces(spark, sf):
     return traces.group_traces(trace_lines(spark, sf), BLOCK).emissions
 
 
-@query("group_traces_summary")
+@query("group_traces_summary", f"""WITH {LINES}, {TRACES}, {STDERR_TRACES}
+SELECT a.source_id, app AS name, arg_max(coalesce(exc, '') || CASE WHEN cause != coalesce(exc, '') THEN ' (root: ' || cause || ')' ELSE '' END
+    || ' on ' || crash_thread, a.tr) AS detail, CAST(1 AS BIGINT) AS n
+  FROM a LEFT JOIN n ON a.source_id = n.source_id AND a.tr = n.tr WHERE app IS NOT NULL AND (n.close IS NOT NULL OR exc IS NOT NULL) GROUP BY 1, 2
+UNION ALL SELECT source_id, source || ': ' || exception, '', count(*) FROM em WHERE NOT fatal GROUP BY source_id, source, exception""")
 def group_traces_summary(spark, sf):
     t = traces.group_traces(trace_lines(spark, sf), BLOCK)
     return t.fatal.select("source_id", F.col("app").alias("name"), "detail", F.lit(1).cast("bigint").alias("n")).unionByName(
