@@ -166,11 +166,11 @@ def write_lines(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Emissions, transitions, correlations, charts or a PII map; maps and structs become JSON text in CSV."""
+    """Emissions, transitions, correlations, charts or a PII map; maps and structs become JSON text in CSV, quotes doubled."""
     if fmt == "csv":
         nested = [f.name for f in df.schema if f.dataType.typeName() in ("map", "struct", "array")]
         df = df.withColumns({n: F.to_json(n) for n in nested})
-        df.write.mode(mode).option("header", True).csv(path)
+        df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
         df.write.mode(mode).format(fmt).save(path)
 

@@ -119,10 +119,13 @@ def time_of_day(spark, sf):
     return event_lines(spark, sf).filter(P.time_of_day("00:30", "02:00")).select("source_id", "line_num")
 
 
-@query("source_type_is", with_lines("SELECT source_id, line_num FROM lines"))
+@query("source_type_is", with_lines("""
+SELECT source_id, line_num, source_id = '0' AS kernel FROM lines WHERE source_id != '1'"""))
 def source_type_is(spark, sf):
-    x = event_lines(spark, sf)
-    return x.filter(P.source_type_is("LOGCAT") & ~P.source_type_is("bugreport")).select("source_id", "line_num")
+    """Sources of three kinds."""
+    kind = F.when(F.col("source_id") == "0", "Kernel").when(F.col("source_id") == "1", "Bugreport").otherwise("Logcat")
+    x = event_lines(spark, sf).withColumn("source_type", kind)
+    return x.filter(P.source_type_is("LOGCAT") | P.source_type_is("kernel")).select("source_id", "line_num", P.source_type_is("KERNEL").alias("kernel"))
 
 
 @query("criteria_and", with_lines("""

@@ -49,10 +49,13 @@ def mask_text(spark, sf):
     return masked.withColumn("message", F.regexp_replace("message", r"<(EMAIL|IPv4)-\d+>", "<$1>"))
 
 
-@query("mask_and_reveal", f"WITH {DOC_LINES} SELECT source_id, line_num, message FROM doc_lines")
+@query("mask_and_reveal", f"""WITH {DOC_LINES} SELECT source_id, line_num, message,
+  len(list_filter(regexp_extract_all(message, '{EMAIL_RE}'), lambda x: regexp_matches(x, '@[a-z]'))) > 0 OR regexp_matches(message, '{IPV4_RE}') AS hidden FROM doc_lines""")
 def mask_and_reveal(spark, sf):
-    masked, tokens = pii.mask_lines(doc_lines(spark, sf).select("source_id", "line_num", "message"))
-    return pii.unmask(masked, tokens)
+    """Lines masked and revealed again; ``hidden`` says whether the mask had changed the line."""
+    masked, tokens = pii.mask_lines(doc_lines(spark, sf).select("source_id", "line_num", "message"), categories=TWO)
+    back = pii.unmask(masked.withColumn("veiled", F.col("message")), tokens)
+    return back.select("source_id", "line_num", "message", (F.col("veiled") != F.col("message")).alias("hidden"))
 
 
 @query("mask_for", f"""WITH {DOC_LINES}
