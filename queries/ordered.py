@@ -419,7 +419,19 @@ def group_traces_summary(spark, sf):
         t.nonfatal.select("source_id", F.concat_ws(": ", "source", "exception").alias("name"), F.lit("").alias("detail"), "n"))
 
 
-@query("lttb")
+@query("lttb", f"""WITH RECURSIVE {LINES},
+p AS (SELECT source_id, line_num AS x, CAST(cents AS DOUBLE) AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY source_id) AS total
+  FROM lines WHERE cents IS NOT NULL WINDOW w AS (PARTITION BY source_id ORDER BY line_num)),
+g AS (SELECT *, (total - 2) / 98.0::DOUBLE AS size FROM p WHERE total > 100),
+d AS (SELECT source_id, x, y, i, b FROM g, range(98) r(b) WHERE i >= floor(b * size + 1) AND i < floor((b + 1) * size + 1) AND i < total - 1
+  UNION ALL SELECT source_id, x, y, i, CASE WHEN i = 0 THEN -1 ELSE 98 END FROM g WHERE i IN (0, total - 1)),
+c AS (SELECT source_id, b, avg(x) AS ax, avg(y) AS ay FROM d GROUP BY ALL),
+walk AS (SELECT source_id, b, x, y FROM d WHERE b = -1
+  UNION ALL SELECT source_id, b, best.x, best.y FROM (
+    SELECT d.source_id, d.b, max({{'area': abs((w.x - c.ax) * (d.y - w.y) - (w.x - d.x) * (c.ay - w.y)), 'i': -d.i, 'x': d.x, 'y': d.y}}) AS best
+    FROM walk w JOIN d ON d.source_id = w.source_id AND d.b = w.b + 1 AND d.b < 98 JOIN c ON c.source_id = d.source_id AND c.b = d.b + 1 GROUP BY 1, 2)),
+ends AS (SELECT source_id, x, y FROM walk UNION ALL SELECT source_id, x, y FROM d WHERE b = 98 UNION ALL SELECT source_id, x, y FROM p WHERE total <= 100)
+SELECT ends.*, min_y, max_y FROM ends JOIN (SELECT source_id, min(y) AS min_y, max(y) AS max_y FROM p GROUP BY 1) USING (source_id)""")
 def lttb(spark, sf):
     x = extract_fields(event_lines(spark, sf), {"y": (r"cents=(\d+)", "int")})
     return charts.lttb(x, "line_num", "y", 100, block_lines=8 * BLOCK)

@@ -170,7 +170,7 @@ def test_global_rank_within_hot_group(spark):
         assert [got[(g, v)] for v in vals] == list(range(len(vals)))
 
 
-@pytest.mark.parametrize("seed,n,total", [(1, 10, 200), (2, 25, 333), (3, 7, 8), (4, 50, 40)])
+@pytest.mark.parametrize("seed,n,total", [(1, 10, 200), (2, 25, 333), (3, 7, 8), (4, 50, 40), (5, 6, 3000), (6, 12, 5000)])
 def test_lttb_equals_fold(spark, seed, n, total):
     rng = random.Random(seed)
     pts = [(i * 2, float(rng.randint(0, 30) if seed % 2 else rng.gauss(0, 5))) for i in range(total)]
