@@ -9,6 +9,7 @@ see :func:`_fired_several`.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Callable
@@ -19,6 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalars import NS_PER_MS, render_template
 from .ordered import BLOCK_LINES, scan
 
+#: Blocks composed into one in a round, and the rounds: a source of 10^6 blocks leaves 1,000 tables to chain.
+FAN = 1 << 10
+ROUNDS = 1
+TABLE = "source_id string, _block long, _first long, _from long, _to long"
+
 
 @dataclass(frozen=True)
 class Source:
@@ -88,6 +94,74 @@ def correlation_matches(lines: DataFrame, trigger: Source, sources: list[Source]
                        "cause", "line_num", "ts_ns", "fields", "raw")
 
 
+def _walk(at: list[int], oldest: list[int], last: int) -> tuple[list[int], int]:
+    """Triggers at ``at`` that fire after a firing at ``last``, and the last firing then."""
+    out = []
+    for a, o in zip(at, oldest):
+        if o > last:
+            out.append(a)
+            last = a
+    return out, last
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block as a step function: a last firing from ``_from`` on, below the next ``_from``, leads to ``_to``."""
+    pdf = pdf.sort_values("_at")
+    a, m = pdf["_at"].tolist(), pdf["_m"].tolist()
+    # Entry points: the last firing lies below all carried-in records, or at/after some of them.
+    edges = [-1] + sorted({o for o in m if o < a[0]})
+    return pd.DataFrame({"source_id": pdf["source_id"].iloc[0], "_block": pdf["_block"].iloc[0], "_first": a[0],
+                         "_from": edges, "_to": [_walk(a, m, e)[1] for e in edges]})
+
+
+def _steps(pdf: pd.DataFrame) -> list[tuple[int, list[int], list[int]]]:
+    """The tables of a group of blocks, in order."""
+    return [(b, g["_from"].tolist(), g["_to"].tolist())
+            for b, g in pdf.sort_values(["_block", "_from"]).groupby("_block", sort=True)]
+
+
+def _after(froms: list[int], tos: list[int], last: int) -> int:
+    """The last firing after a block; where none of its triggers fires it is the one before."""
+    return max(last, tos[bisect_right(froms, last) - 1])
+
+
+def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One table for a run of blocks.
+
+    Only entry points before the run's first trigger can tell incoming firings apart. They are latest
+    records of a cause at that trigger, so there is still at most one per cause.
+    """
+    steps, first = _steps(pdf), int(pdf["_first"].min())
+    edges = sorted({-1} | {e for _, froms, _ in steps for e in froms if e < first})
+    tos = [reduce(lambda last, s: _after(s[1], s[2], last), steps, e) for e in edges]
+    return pd.DataFrame({"source_id": pdf["source_id"].iloc[0], "_block": pdf["_group"].iloc[0], "_first": first,
+                         "_from": edges, "_to": tos})
+
+
+def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The last firing before each block of a run, given the one before the run."""
+    last, rows = int(pdf["_last"].iloc[0]), []
+    for block, froms, tos in _steps(pdf):
+        rows.append((pdf["source_id"].iloc[0], block, last))
+        last = _after(froms, tos, last)
+    return pd.DataFrame(rows, columns=["source_id", "_block", "_last"])
+
+
+def _entered(tables: DataFrame, rounds: int, fan: int) -> DataFrame:
+    """The last firing before each block: up a tree of composed tables, then down again.
+
+    A round composes runs of ``fan`` blocks into one, so that a task holds at most ``fan`` tables; what is
+    left after ``rounds`` is chained per source, one table for ``fan ** rounds`` blocks.
+    """
+    entry = "source_id string, _block long, _last long"
+    if rounds == 0:
+        return tables.withColumn("_last", F.lit(-1).cast("bigint")).groupBy("source_id").applyInPandas(_chained, entry)
+    runs = tables.withColumn("_group", F.expr(f"_block div {int(fan)}L"))
+    above = runs.groupBy("source_id", "_group").applyInPandas(_composed, TABLE)
+    known = _entered(above, rounds - 1, fan).withColumnRenamed("_block", "_group")
+    return runs.join(known, ["source_id", "_group"]).groupBy("source_id", "_group").applyInPandas(_chained, entry)
+
+
 def _fired_several(recs: DataFrame, causes: list[int], t_ord: int, within_lines: int | None, within_ms: int | None,
                    block_lines: int) -> DataFrame:
     """Mark the triggers that fire when every cause must be present.
@@ -97,7 +171,7 @@ def _fired_several(recs: DataFrame, causes: list[int], t_ord: int, within_lines:
     triggers of a source form a chain. Inside a block, the last firing before the block
     matters only by how it compares with the records carried into the block, and there is
     one of those per cause. Each block is therefore summed up as a table of at most
-    ``len(causes) + 1`` entries; the tables are chained over blocks, and a second pass marks
+    ``len(causes) + 1`` entries. Tables compose (:func:`_entered`), and a second pass marks
     the triggers of every block knowing its last firing.
     """
     pos = F.struct("line_num", "_ord", "ts_ns")
@@ -117,39 +191,12 @@ def _fired_several(recs: DataFrame, causes: list[int], t_ord: int, within_lines:
     able = trig.filter(F.coalesce(ok, F.lit(False))).select(
         "source_id", F.expr(f"line_num div {int(block_lines)}L").alias("_block"), at("").alias("_at"), oldest.alias("_m"))
 
-    def walk(at_, m, last):
-        out = []
-        for a, o in zip(at_, m):
-            if o > last:
-                out.append(a)
-                last = a
-        return out, last
-
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        a, m = pdf["_at"].tolist(), pdf["_m"].tolist()
-        # Entry points: the last firing lies below all carried-in records, or at/after some of them.
-        edges = [-1] + sorted({o for o in m if o < a[0]})
-        return pd.DataFrame({"source_id": pdf["source_id"].iloc[0], "_block": pdf["_block"].iloc[0],
-                             "_from": edges, "_to": [walk(a, m, e)[1] for e in edges]})
-
-    tables = able.groupBy("source_id", "_block").applyInPandas(
-        summed, "source_id string, _block long, _from long, _to long")
-
-    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = -1, []
-        for block, g in pdf.sort_values(["_block", "_from"]).groupby("_block", sort=True):
-            rows.append((pdf["source_id"].iloc[0], block, last))
-            step = g[g["_from"] <= last]
-            out = step["_to"].iloc[-1] if len(step) else g["_to"].iloc[0]
-            last = max(last, int(out))
-        return pd.DataFrame(rows, columns=["source_id", "_block", "_last"])
-
-    entries = tables.groupBy("source_id").applyInPandas(chained, "source_id string, _block long, _last long")
+    tables = able.groupBy("source_id", "_block").applyInPandas(_summed, TABLE)
+    entries = _entered(tables, ROUNDS, FAN)
 
     def marked(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
-        hit, _ = walk(pdf["_at"].tolist(), pdf["_m"].tolist(), int(pdf["_last"].iloc[0]))
+        hit, _ = _walk(pdf["_at"].tolist(), pdf["_m"].tolist(), int(pdf["_last"].iloc[0]))
         return pd.DataFrame({"source_id": pdf["source_id"].iloc[0], "line_num": [h // n for h in hit],
                              "_fired": True})
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linespark.operators import charts, ordered, stateful, tracker
+from linespark.operators import charts, correlate as corr, ordered, stateful, tracker
 from linespark.operators.correlate import Source, correlate, correlation_matches
 from linespark.operators.traces import group_traces
 from tests import folds
@@ -131,6 +131,37 @@ def test_correlation_long_chain(spark):
     assert sorted((r.source_id, r.trigger_line, r.cause, r.line_num) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("rounds,fan", [(0, 2), (1, 3), (3, 2), (6, 2)])
+def test_block_tables_compose(spark, rounds, fan):
+    """Last firing before each block, over trees of several depths, against one walk a source; tables stay as small as the causes are few."""
+    rng = random.Random(rounds)
+    rows, want = [], set()
+    for src, size in (("hot", 900), ("b", 40), ("one", 1)):
+        seen, last, here = [0, 0, 0], -1, None
+        for i in range(size):
+            at = 10 + 7 * i + rng.randrange(5)
+            for c in range(3):
+                if rng.random() < (0.2, 0.5, 0.02)[c]:
+                    seen[c] = at - rng.randrange(1, 5)
+            if at // 64 != here:
+                here = at // 64
+                want.add((src, here, last))
+            rows.append((src, here, at, min(seen)))
+            if min(seen) > last:
+                last = at
+    able = spark.createDataFrame(rows, "source_id string, _block long, _at long, _m long")
+    tables = able.groupBy("source_id", "_block").applyInPandas(corr._summed, corr.TABLE)
+    assert {tuple(r) for r in corr._entered(tables, rounds, fan).collect()} == want
+    above = tables.withColumn("_group", F.expr("_block div 8")).groupBy("source_id", "_group").applyInPandas(corr._composed, corr.TABLE)
+    assert above.groupBy("source_id", "_block").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_correlation_tree_equals_fold(spark, monkeypatch):
+    monkeypatch.setattr(corr, "FAN", 2)
+    monkeypatch.setattr(corr, "ROUNDS", 3)
+    test_correlation_long_chain(spark)
+
+
 @pytest.mark.parametrize("rows,lines,ms,events", [
     ([(1, "NON_TRIGGER"), (2, "TRIGGER"), (3, "TRIGGER")], None, None, 1),
     ([(1, "NON_TRIGGER"), (2, "TRIGGER"), (3, "TRIGGER"), (4, "NON_TRIGGER"), (5, "TRIGGER")], None, None, 2),
