@@ -172,16 +172,23 @@ def state_intervals(transitions: DataFrame, field: str, block_lines: int = BLOCK
                       (F.col("_next.ts_ns") - F.col("ts_ns")).alias("duration_ns"))
 
 
-def mask_transitions(transitions: DataFrame, pii_map: DataFrame) -> DataFrame:
-    """Replace from/to values that equal a known raw PII value by its token.
+def mask_transitions(transitions: DataFrame, pii_map: DataFrame, salts: int = 16) -> DataFrame:
+    """Replace from/to values that equal a known raw PII value by its token; NULL and unknown values stay.
 
-    The values are exploded and joined on equality, then put back; NULL and unknown values stay.
+    Both sides of a change go through one join. States such as "true" or an empty text may be most of all
+    values, so each value is dealt over ``salts`` join keys and the map is repeated as often; NULLs, which no entry
+    can match, are dealt by line.
     """
     ident = ["source_id", "tracker", "line_num", "ts_ns", "transition"]
-    flat = transitions.select(*ident, F.explode("changes").alias("_f", "_c"))
-    tokens = pii_map.select(F.col("raw").alias("_raw"), F.col("token").alias("_token"))
-    for side in ("from", "to"):
-        flat = (flat.join(tokens, F.col(f"_c.{side}") == F.col("_raw"), "left")
-                .withColumn(f"_{side}", F.coalesce("_token", F.col(f"_c.{side}"))).drop("_raw", "_token"))
-    pair = F.struct(F.col("_f").alias("key"), F.struct(F.col("_from").alias("from"), F.col("_to").alias("to")).alias("value"))
-    return flat.groupBy(*ident).agg(F.map_from_entries(F.collect_list(pair)).alias("changes"))
+    change = transitions.select(*ident, F.explode("changes").alias("_f", "_c"))
+    sides = change.select(*ident, "_f", F.inline(F.array(F.struct(F.lit(True).alias("_old"), F.col("_c.from").alias("_v")),
+                                                         F.struct(F.lit(False).alias("_old"), F.col("_c.to").alias("_v")))))
+    place = F.xxhash64("source_id", "line_num", "_f")
+    dealt = sides.withColumns({"_salt": F.pmod(place, F.lit(salts)).cast("int"), "_key": F.coalesce("_v", place.cast("string"))})
+    tokens = pii_map.select(F.col("raw").alias("_key"), F.col("token").alias("_token"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    value = F.when(F.col("_v").isNotNull(), F.coalesce("_token", "_v"))
+    whole = dealt.join(tokens, ["_key", "_salt"], "left").groupBy(*ident).agg(
+        F.collect_list(F.struct("_old", F.col("_f").alias("key"), value.alias("value"))).alias("_sides"))
+    side = lambda old: F.map_from_entries(F.transform(F.filter("_sides", lambda x: x["_old"] == F.lit(old)), lambda x: F.struct(x["key"], x["value"])))
+    pair = F.map_zip_with(side(True), side(False), lambda _, old, new: F.struct(old.alias("from"), new.alias("to")))
+    return whole.select(*ident, pair.alias("changes"))

@@ -474,12 +474,14 @@ def job_summary_text(spark, sf):
     return j.summary_text(j.run(tell(spark, sf, CRASH, "Error")))
 
 
+PACK = [CRASH[0], ("ActivityManager", "Killing {u}:com.app{k}/u0 #{k} idle adj=9 rss={c}kb"), ("Comp", "java.lang.Kind{k}Exception: gone"), ("Comp", "nothing")]
+
+
 @query("pack_summary", with_lines("""
-SELECT 'crash-storm-detector' AS job, count(*) FILTER (k % 3 = 0) AS n FROM lines UNION ALL SELECT 'process-kill-storm', 0 FROM lines GROUP BY 1
-UNION ALL SELECT 'exception-stack-tracker', 0 FROM lines GROUP BY 1"""))
+SELECT ['crash-storm-detector', 'process-kill-storm', 'exception-stack-tracker'][k % 4 + 1] AS job, count(*) AS n FROM lines WHERE k % 4 < 3 GROUP BY 1"""))
 def pack_summary(spark, sf):
-    """Result rows of the stability pack's reporters over crash lines."""
-    out = run_pack("stability-monitor", tell(spark, sf, CRASH, "Error"))
+    """Result rows of the stability pack's reporters over crashes, kills, exceptions and other lines."""
+    out = run_pack("stability-monitor", tell(spark, sf, PACK, "Error"))
     parts = [out[j]["emissions"].agg(F.count("*").alias("n")).select(F.lit(j).alias("job"), "n")
              for j in ("crash-storm-detector", "process-kill-storm", "exception-stack-tracker")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

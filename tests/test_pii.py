@@ -75,6 +75,17 @@ def test_mask_transitions(spark):
     assert got == {"ip": ("", "<IPv4-1>"), "on": (None, "true")}
 
 
+def test_mask_transitions_with_hot_values(spark):
+    """Most changes hold one raw value or NULL; no change is lost or doubled, and a text like the key of a NULL is left alone."""
+    rows = [("s", "t", i, i, "r", {"a": ("10.0.0.1" if i % 3 else None, None if i % 5 else "10.0.0.2"), "b": ("x", "10.0.0.1")}) for i in range(300)]
+    tr = spark.createDataFrame(rows, "source_id string, tracker string, line_num long, ts_ns long, transition string, changes map<string,struct<from:string,to:string>>")
+    key = tr.select(F.xxhash64("source_id", "line_num", F.lit("a")).cast("string")).first()[0]
+    m = spark.createDataFrame([("10.0.0.1", "IPv4", 1, "<IPv4-1>"), (key, "PHONE", 2, "<PHONE-2>")], PII_MAP)
+    got = {(r.line_num, r.field): (r.from_value, r.to_value) for r in flat_changes(mask_transitions(tr, m, salts=3)).collect()}
+    hide = {"10.0.0.1": "<IPv4-1>"}
+    assert got == {(n, f): (hide.get(old, old), hide.get(new, new)) for _, _, n, _, _, c in rows for f, (old, new) in c.items()}
+
+
 HELD = {**{c: [x] for c, x in OTHERS.items()}, "EMAIL": EMAIL, "IPv4": IP, "AID": ID, "IPv6": ["fe80::1", "1:2:3:4:5:6:7:8", "at a::1"],
         "MAC": ["AA:BB:CC:DD:EE:FF", "aa-bb-cc-dd-ee-ff"], "SESSION": ["JSESSIONID=" + "ab12" * 6, "SESSION_ID: " + "ab12" * 6, "PhpSessId=" + "z9" * 12],
         "SERIAL": ["Serial: R52X10EJCFA", "sn ABC123XYZ", "sErIaL=ABC123XYZ"], "TOKEN": ["bEARER " + "a1" * 20], "GAID": ["Advertising_ID: 38400000-8cf0-11bd-b23e-10b96e40000d"],
