@@ -86,8 +86,8 @@ def read_zipped_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """``source_id, line_num, raw`` as an append-only stream from a folder; parse it like a batch.
 
-    ``line_num`` is a place in the file in bytes: unique and rising inside a file, with gaps. Counting lines would need
-    the splits before, which a stream does not have.
+    ``line_num`` is a place in the file in bytes: unique and rising inside a file, with gaps. Counting lines needs
+    the splits before, which a row of a stream does not know; ``streaming.live.stream_numbered`` counts them batch by batch.
     """
     reader = spark.readStream.option("lineSep", "\n")
     if max_files:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import interval_ns
-from ..operators.ordered import settle
+from ..operators.ordered import rank_lines, settle
 from ..operators.pii import assign_tokens, detect_pii, mask_text
 from ..operators.project import emit
 from ..schemas import PII_MAP
@@ -124,6 +124,48 @@ def stream_mask(df: DataFrame, map_path: str, out_path: str, checkpoint: str, te
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+#: Lines of so many bytes of a file are put in order by one task.
+BLOCK_BYTES = 1 << 27
+COUNTED = "source_id string, n long"
+PLACED = "file string, source_id string, n long, first long"
+
+
+def number_batch(batch: DataFrame, batch_id: int, counts_path: str, source: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Lines of one micro-batch of ``sources.text.stream_lines`` with numbers contiguous from 0 per source, as ``read_lines`` gives them.
+
+    A source is a file, or what ``source`` makes of the file's path in ``source_id``: a folder that a capture writes one file after another
+    into is one source whose numbers go on from batch to batch. Files of a batch are numbered in order of their paths.
+
+    A file comes whole in one batch, so a line's number is the lines of its source in earlier batches, those of the source's earlier
+    files in this batch, and its rank in its file by byte place (a block scan). Batch ``n`` reads the line counts that batch ``n - 1`` left and
+    writes its own, one row a source; a repeated batch reads and writes the same.
+    """
+    spark = batch.sparkSession
+    lines = batch.withColumnRenamed("source_id", "file")
+    owner = F.col("source_id") if source is None else source
+    files = batch.groupBy("source_id").agg(F.count("*").alias("n")).select(F.col("source_id").alias("file"), owner.alias("source_id"), "n")
+    before = spark.read.schema(COUNTED).parquet(f"{counts_path}/after-{batch_id - 1}") if batch_id else spark.createDataFrame([], COUNTED)
+    earlier = W.partitionBy("source_id").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    first = F.coalesce("_seen", F.lit(0)) + F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    files.join(before.withColumnRenamed("n", "_seen"), "source_id", "left").select("file", "source_id", "n", first.alias("first")).write.mode(
+        "overwrite").parquet(f"{counts_path}/files-{batch_id}")
+    # Read back, so that Spark knows its size when it chooses the join below: a small table does not move the lines.
+    placed = spark.read.schema(PLACED).parquet(f"{counts_path}/files-{batch_id}")
+    before.unionByName(placed.select("source_id", "n")).groupBy("source_id").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(
+        f"{counts_path}/after-{batch_id}")
+    ranked = rank_lines(lines, "_rank", keys=("file",), order=("line_num",), block_lines=block_bytes)
+    return ranked.join(placed, "file").select("source_id", (F.col("first") + F.col("_rank")).alias("line_num"), "raw")
+
+
+def stream_numbered(df: DataFrame, out_path: str, counts_path: str, checkpoint: str, source: Column | None = None, available_now: bool = False,
+                    block_bytes: int = BLOCK_BYTES) -> StreamingQuery:
+    """Number a stream of text lines to Parquet, one folder a batch; re-run batches overwrite their own folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        number_batch(batch, batch_id, counts_path, source, block_bytes).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+    w = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
 def rule_name(name: str, rules) -> str:
     """Query name that changes with the rule set, so that state of old rules is never taken up again."""
     return f"{name}_{hashlib.sha256(repr(rules).encode()).hexdigest()[:12]}"

@@ -16,7 +16,7 @@ from linespark.functions.extract import field
 from linespark.operators import pii, tracker
 from linespark.operators.ordered import ensure_checkpoint_dir
 from linespark.sources import text
-from linespark.streaming.live import run_available
+from linespark.streaming.live import run_available, stream_numbered
 
 from .adapters import event_lines, table, with_lines
 from .ordered import BLOCK, DEFAULTS, TRACK, LINES, tracker_rules
@@ -104,6 +104,17 @@ def stream_lines(spark, sf):
         "before", F.lag("raw").over(W.partitionBy("file").orderBy("line_num"))).drop("line_num")
 
 
+@query("stream_numbered", with_lines(f"""
+SELECT line_num // {PER_TEXT} AS file, row_number() OVER (PARTITION BY line_num // {PER_TEXT} ORDER BY line_num) - 1 AS line_num, raw FROM lines"""))
+def stream_numbered_q(spark, sf):
+    """Texts read as a stream, a few files a batch, with the numbers that a batch reader gives."""
+    base = shared_folder(spark)
+    write_files(event_rows(spark, sf), f"{base}/in", "txt", str.encode)
+    got = text.stream_lines(spark, f"{base}/in", max_files=8)
+    stream_numbered(got, f"{base}/out", f"{base}/counts", f"{base}/state", available_now=True).awaitTermination()
+    return spark.read.schema("source_id string, line_num long, raw string").parquet(f"{base}/out").select(file_number(), "line_num", "raw")
+
+
 @query("source_key", with_lines(f"""
 SELECT file, size AS length, true AS one_key, count(*) OVER () AS files FROM (
   SELECT line_num // {PER_TEXT} AS file, sum(strlen(raw) + 1)::BIGINT AS size FROM lines GROUP BY 1)"""))

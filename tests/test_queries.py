@@ -11,7 +11,8 @@ SMALL = "/root/testdata/sf0.001"
 CHECKED = ["flagship", "with_section", "in_sections", "burst_detect", "track_state", "state_at", "correlate", "pair_events", "page", "insights",
            "build_sections", "detect_pii", "assign_tokens", "tracker_wifi_state", "sim_identity", "dns_servers", "group_traces",
            "group_traces_summary", "pii_offsets", "track_then_mask", "mask_and_reveal", "source_type_is", "read_zipped_lines", "read_utf16_lines",
-           "stream_lines", "source_key", "read_annotations", "write_result", "stream_restart", "stream_track_late", "lttb"]
+           "stream_lines", "stream_numbered", "pack_summary", "mask_transitions", "correlate_several_causes", "source_key", "read_annotations",
+           "write_result", "stream_restart", "stream_track_late", "lttb"]
 
 
 def test_registry():

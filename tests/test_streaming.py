@@ -12,7 +12,7 @@ from linespark.operators import stateful as batch
 from linespark.operators import tracker
 from linespark.operators.correlate import correlation_matches
 from linespark.sources.parse import parse_logcat
-from linespark.sources.text import stream_lines
+from linespark.sources.text import read_lines, stream_lines
 from linespark.streaming import live, stateful
 from linespark.streaming.fenced import Fenced, FencedSink, read_committed
 from linespark.streaming.live import run_available
@@ -94,6 +94,35 @@ def test_streamed_text_lines_parse_in_order(spark, tmp_path):
     assert rows[0]["line_num"] == 0 and len({r["line_num"] for r in rows}) == 500
 
 
+def test_streamed_lines_are_numbered_as_in_a_batch(spark, tmp_path):
+    """Files of a folder arrive one by one: as sources of their own, and as one source; a batch done again changes nothing."""
+    import os
+    bodies = {"a.txt": "\ufeff" + "".join(f"a{i}\r\n" for i in range(700)), "b.txt": "", "c.txt": "\n\nc", "d.txt": "".join(f"d {i}\n" for i in range(40))}
+    (tmp_path / "dev").mkdir()
+    for n, (name, body) in enumerate(bodies.items()):
+        (tmp_path / "dev" / name).write_bytes(body.encode())
+        os.utime(tmp_path / "dev" / name, (1_700_000_000 + n, 1_700_000_000 + n))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    shape = "source_id string, line_num long, raw string"
+    try:
+        want = {tuple(r) for r in read_lines(spark, str(tmp_path / "dev")).collect()}
+        got = {}
+        for kind, owner in (("file", None), ("folder", F.regexp_replace("source_id", "/[^/]*$", ""))):
+            at = tmp_path / kind
+            live.stream_numbered(stream_lines(spark, str(tmp_path / "dev"), max_files=1), str(at / "out"), str(at / "counts"), str(at / "state"), owner, True,
+                                 block_bytes=256).awaitTermination()
+            got[kind] = spark.read.schema(shape).parquet(str(at / "out")).drop("batch").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {tuple(r) for r in got["file"]} == want and len(got["file"]) == len(want) == 743
+    whole = [line for body in bodies.values() for line in body.lstrip("\ufeff").replace("\r\n", "\n").splitlines()]
+    assert [(r.line_num, r.raw) for r in sorted(got["folder"], key=lambda r: r.line_num)] == list(enumerate(whole))
+    again = spark.createDataFrame([(str(tmp_path / "dev" / "d.txt"), p, f"d {i}") for i, p in enumerate(range(0, 400, 10))], shape)
+    first = live.number_batch(again, 3, str(tmp_path / "folder" / "counts"), F.lit(got["folder"][0].source_id)).collect()
+    assert {tuple(r) for r in first} <= {tuple(r) for r in got["folder"]} and len(first) == 40
+
+
 def write_fed(spark, rows, files, tmp_path):
     """The rows as a stream, one micro-batch for each file number in ``files``."""
     lines = folds.lines(spark, rows)
