@@ -364,6 +364,7 @@ def test_nearest_recall(spark):
     rows = queries.op7(spark, sf).collect()
     table = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     hit = total = 0
+    vectors = dict(table)
     by_query = defaultdict(dict)
     for r in rows:
         by_query[r["query_id"]][r["rank"]] = r
@@ -371,6 +372,13 @@ def test_nearest_recall(spark):
         if q % 20 == 0:
             true = sorted(((-float(v @ x), i) for i, x in table if i != q))[:20]
             assert sorted(by_query[q]) == list(range(1, 21))
+            found = [by_query[q][k] for k in range(1, 21)]
+            assert [r["score"] for r in found] == pytest.approx([float(v @ vectors[r["vec_id"]]) for r in found], rel=1e-12, abs=1e-12)
+            assert [r["vec_id"] for r in found] == [i for _, i in sorted((-r["score"], r["vec_id"]) for r in found)] and q not in {r["vec_id"] for r in found}
+            # What was found of the true nearest stands in their order.
+            nearest = [i for _, i in true]
+            places = [nearest.index(r["vec_id"]) for r in found if r["vec_id"] in nearest]
+            assert places == sorted(places)
             hit += len({i for _, i in true} & {r["vec_id"] for r in by_query[q].values()})
             total += 20
     assert hit >= 0.9 * total
