@@ -3,7 +3,7 @@
 Lines are never shuffled as a whole for a section lookup. Ranges that do not overlap are cut
 into fixed-size line blocks, which turns the range join into an equi-join on
 ``(source_id, block)``; no block is in more of them than it has lines. Ranges that may nest are cut
-into dyadic nodes, at most two of each length ``2^level`` blocks, and a line asks for the
+into dyadic nodes, at most two of each length ``2^level`` blocks, and a block of lines asks for the
 node it lies in on every level that some range uses: a range over a whole source is a few rows,
 not one for each block. Spark broadcasts the ranges when they are small by its own size
 check and otherwise joins node by node.
@@ -42,13 +42,52 @@ def dyadic(ranges: DataFrame, start: str, end: str, block: int = RANGE_BLOCK) ->
 
 def over_ranges(points: DataFrame, ranges: DataFrame, start: str = "start_line", end: str = "end_line", position: str = "line_num",
                 block: int = RANGE_BLOCK) -> DataFrame:
-    """One row per point and range of its source that holds it, with the columns of both."""
+    """One row per point and range of its source that holds it, with the columns of both.
+
+    The blocks that hold points ask the nodes, so a block and not each of its points is repeated for every level; the points then meet
+    the ranges of their block.
+    """
     cut = dyadic(ranges, start, end, block)
-    used = cut.agg(F.collect_set("_lvl").alias("levels")).scalar()  # at most 63 numbers
-    at = points.withColumn("_levels", used).withColumn("_b", F.expr(f"`{position}` div {int(block)}L"))
-    keys = F.transform("_levels", lambda l: F.struct(l.alias("_lvl"), F.call_function("shiftright", F.col("_b"), l).alias("_node")))
-    asked = at.select(*points.columns, F.inline(keys))
-    return asked.join(cut, ["source_id", "_lvl", "_node"]).filter(F.col(position).between(F.col(start), F.col(end))).drop("_lvl", "_node")
+    at = points.withColumn("_b", F.expr(f"`{position}` div {int(block)}L"))
+    asked = _asked(at.select("source_id", "_b").distinct(), cut)
+    held = asked.join(cut, ["source_id", "_lvl", "_node"]).drop("_lvl", "_node")
+    return at.join(held, ["source_id", "_b"]).filter(F.col(position).between(F.col(start), F.col(end))).drop("_b")
+
+
+def _asked(blocks: DataFrame, cut: DataFrame) -> DataFrame:
+    """Rows with ``_b`` once for every level in use, with the node (``_lvl``, ``_node``) that holds them there.
+
+    The levels, at most 63 rows, are joined and not exploded from an array: Spark takes an explode to give as many bytes as it
+    reads, and would broadcast the repeated rows of a small file.
+    """
+    levels = F.broadcast(cut.select("_lvl").distinct())
+    return blocks.crossJoin(levels).withColumn("_node", F.call_function("shiftright", F.col("_b"), F.col("_lvl")))
+
+
+def summarize_ranges(points: DataFrame, ranges: DataFrame, sums: dict[str, Column] | None = None, peaks: dict[str, Column] | None = None,
+                     start: str = "start_line", end: str = "end_line", position: str = "line_num", block: int = RANGE_BLOCK) -> DataFrame:
+    """``source_id``, start and end of every different range that holds a point, with sums and largest values over the points it holds.
+
+    What grouping ``over_ranges`` gives, without a row for each point and range: points are summed up per block and block sums per
+    dyadic node; a range adds up the nodes of the blocks it holds whole and meets only the points of its first and last block.
+    """
+    sums, peaks = sums or {}, peaks or {}
+    name = {**{n: F.sum for n in sums}, **{n: F.max for n in peaks}}
+    again = [f(n).alias(n) for n, f in name.items()]
+    size, keys = int(block), ["source_id", "_from", "_to"]
+    at = points.select("source_id", F.col(position).alias("_at"), F.expr(f"`{position}` div {size}L").alias("_b"),
+                       *[c.alias(n) for n, c in {**sums, **peaks}.items()])
+    asked = ranges.select("source_id", F.col(start).alias("_from"), F.col(end).alias("_to")).distinct().filter("_from <= _to")
+    first, last = F.expr(f"_from div {size}L"), F.expr(f"_to div {size}L")
+
+    whole = asked.withColumns({"_lo": (first + 1) * size, "_hi": last * size - 1})
+    cut = dyadic(whole, "_lo", "_hi", block).drop("_lo", "_hi")
+    blocks = at.groupBy("source_id", "_b").agg(*again)
+    nodes = _asked(blocks, cut).groupBy("source_id", "_lvl", "_node").agg(*again)
+    inner = cut.join(nodes, ["source_id", "_lvl", "_node"]).select(*keys, *name)
+    edges = asked.withColumn("_b", F.explode(F.array_distinct(F.array(first, last))))
+    outer = edges.join(at, ["source_id", "_b"]).filter("_at BETWEEN _from AND _to").select(*keys, *name)
+    return inner.unionByName(outer).groupBy(*keys).agg(*again).withColumnsRenamed({"_from": start, "_to": end})
 
 
 def matched_pairs(marks: DataFrame, keys: list[str], opens: Column, block_lines: int = BLOCK_LINES) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linespark.operators import charts, correlate as corr, ordered, stateful, tracker
+from linespark.operators import charts, correlate as corr, ordered, sections, stateful, tracker
 from linespark.operators.correlate import Source, correlate, correlation_matches
 from linespark.operators.traces import group_traces
 from tests import folds
@@ -228,3 +228,21 @@ def test_traces_equal_fold(spark, seed):
     want, table = folds.traces(told)
     assert sorted(got) == sorted(want)
     assert {r.app: r.detail for r in t.fatal.collect()} == table
+
+
+def test_summarized_ranges(spark, tmp_path):
+    rng = random.Random(7)
+    points = [(str(n % 3), n) for n in rng.sample(range(2000), 900)]
+    ranges = [(str(rng.randrange(4)), a, a + rng.choice([0, 3, 40, 900, 10**12])) for a in rng.sample(range(2100), 120)] + [("1", 5, 4)]
+    spark.createDataFrame(points, "source_id string, line_num long").write.parquet(str(tmp_path / "points"))
+    p = spark.read.parquet(str(tmp_path / "points"))
+    r = spark.createDataFrame(ranges, "source_id string, start_line long, end_line long")
+    held = {(s, a, b): [n for t, n in points if t == s and a <= n <= b] for s, a, b in ranges}
+    got = sections.summarize_ranges(p, r, {"n": F.lit(1)}, {"last": F.col("line_num")}, block=16).collect()
+    assert {(x.source_id, x.start_line, x.end_line): (x.n, x["last"]) for x in got} == {k: (len(v), max(v)) for k, v in held.items() if v}
+    rows = sections.over_ranges(p, r, block=16)
+    assert sorted(map(tuple, rows.select("source_id", "start_line", "end_line", "line_num").collect())) == sorted(
+        (*k, n) for k, v in held.items() for n in v)
+    # A small file's points, repeated for each level, are many rows: no plan may broadcast them on the size of the file.
+    plan = rows._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert not [x for x in plan if "BroadcastHashJoin" in x and "_lvl" in x]
