@@ -323,7 +323,7 @@ SELECT source_id, line_num, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000
   ELSE (ms // 3600000) || 'h ' || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || 'm' END AS shown FROM d"""))
 def duration_text(spark, sf):
     ms = F.expr("line_num * line_num div 7 * 100")
-    return event_lines(spark, sf).select("source_id", "line_num", X.duration_text(ms * 1_000_000).alias("shown"))
+    return event_lines(spark, sf).select("source_id", "line_num", X.duration_text(ms, "ms").alias("shown"))
 
 
 @query("map_lines", with_lines("SELECT source_id, line_num, length(message) - length(replace(message, '=', '')) AS n FROM lines WHERE tag = 'error'"))

@@ -113,6 +113,11 @@ def test_display(spark):
     assert [r[0] for r in df.select(X.duration_text("ns")).collect()] == ["850ms", "12.3s", "4m 05s", "2h 07m"]
 
 
+def test_long_durations(spark):
+    df = spark.createDataFrame([(850,), (245_000,), (514_285_542_857_200,)], "ms long")
+    assert [r[0] for r in df.select(X.duration_text("ms", "ms")).collect()] == ["850ms", "4m 05s", "142857095h 14m"]
+
+
 def test_highlight_quotes(spark):
     df = folds.lines(spark, [("s", 0, 0, "", "a.b A.B aXb"), ("s", 1, 0, "", "none")])
     got = project.highlight_spans(df, "a.b").orderBy("line_num").collect()
