@@ -105,21 +105,27 @@ def stream_mask(spark, sf):
 LATE_DELAY = "9 days"
 
 
-def fed_events(spark, sf) -> str:
-    """The events in four folders by day of month, written one after the other; every tenth comes one folder late."""
+def late_parts(spark, sf):
+    """The events in four parts by day of month; every tenth event comes one part late."""
     e = table(spark, sf, "events")
     part = F.least(F.lit(3), F.expr("(day(ts) - 1) div 8") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
-    base = places(spark)[0]
-    for i in range(4):
-        e.filter(part == i).write.parquet(f"{base}/p{i}")
-    return base
+    return [e.filter(part == i) for i in range(4)]
 
 
-def late_events(spark, sf):
-    """Those folders as a stream, a file at a time."""
+def late_events(spark, sf, base):
+    """The parts as a stream of the folders below ``base``."""
     schema = table(spark, sf, "events").schema
-    return lines_of(with_event_parts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(
-        fed_events(spark, sf))))
+    return lines_of(with_event_parts(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(base)))
+
+
+def run_late(spark, sf, run):
+    """Write the parts one after the other and let ``run(stream, sink, checkpoint)`` take up each when it is there: a part is one micro-batch,
+    however many files it has, so no row is more than a part late."""
+    (base, _), (out, state) = places(spark), places(spark)
+    for i, part in enumerate(late_parts(spark, sf)):
+        part.write.parquet(f"{base}/p{i}")
+        result = run(late_events(spark, sf, base), out, state)
+    return result
 
 
 def passed(matched: str, ts: str = "ts_ns") -> str:
@@ -131,14 +137,14 @@ def passed(matched: str, ts: str = "ts_ns") -> str:
 SELECT source_id, tag AS burst_key, cnt AS count_in_window, line_num, ts_ns FROM h WHERE hot AND NOT was AND {passed('lines')}""")
 def stream_burst_late(spark, sf):
     """Rows that come a batch late give the batch result, as far as the watermark has passed."""
-    out = stateful.stream_burst(late_events(spark, sf), "tag", 24 * HOUR_MS, 20, delay=LATE_DELAY)
-    return live.run_available(out, *places(spark)).select("source_id", "burst_key", "count_in_window", "line_num", "ts_ns")
+    out = run_late(spark, sf, lambda x, *at: live.run_available(stateful.stream_burst(x, "tag", 24 * HOUR_MS, 20, delay=LATE_DELAY), *at))
+    return out.select("source_id", "burst_key", "count_in_window", "line_num", "ts_ns")
 
 
 @query("stream_track_late", f"""WITH {LINES}, {TRACK} SELECT source_id, line_num, ts_ns, transition, field, from_value, to_value FROM tr
 WHERE {passed('(SELECT ts_ns FROM r WHERE rule IS NOT NULL)')}""")
 def stream_track_late(spark, sf):
-    out = live.run_available(stateful.stream_track(late_events(spark, sf), tracker_rules(), DEFAULTS, "shop", delay=LATE_DELAY), *places(spark))
+    out = run_late(spark, sf, lambda x, *at: live.run_available(stateful.stream_track(x, tracker_rules(), DEFAULTS, "shop", delay=LATE_DELAY), *at))
     return tracker.flat_changes(out).select("source_id", "line_num", "ts_ns", "transition", "field", "from_value", "to_value")
 
 
@@ -147,17 +153,19 @@ SELECT source_id, trigger_line, count(*) AS matches FROM m JOIN x ON x.source_id
 WHERE {passed('x', 'x.ts_ns')} GROUP BY ALL""".replace("SELECT source_id, trigger_line, count", "SELECT m.source_id, trigger_line, count"))
 def stream_correlate_late(spark, sf):
     trigger, cause = corr_sources()
-    out = stateful.stream_correlate(late_events(spark, sf), trigger, [cause], 40, 3 * HOUR_MS, delay=LATE_DELAY)
-    return live.run_available(out, *places(spark)).select("source_id", "trigger_line", "matches")
+    out = run_late(spark, sf, lambda x, *at: live.run_available(
+        stateful.stream_correlate(x, trigger, [cause], 40, 3 * HOUR_MS, delay=LATE_DELAY), *at))
+    return out.select("source_id", "trigger_line", "matches")
 
 
 @query("stream_new_matches", with_lines("""
 SELECT 'bad' AS watch, count(*) AS total FROM lines WHERE level_ord >= 4 UNION ALL SELECT 'nine', count(*) FROM lines WHERE contains(raw, 'user=9')"""))
 def stream_new_matches(spark, sf):
     """New matches of every micro-batch, added up."""
-    out, state = places(spark)
-    live.stream_new_matches(late_events(spark, sf), {"bad": P.level_min("E"), "nine": P.criteria(text="user=9")}, out, state,
-                            available_now=True).awaitTermination()
+    def run(x, out, state):
+        live.stream_new_matches(x, {"bad": P.level_min("E"), "nine": P.criteria(text="user=9")}, out, state, available_now=True).awaitTermination()
+        return out
+    out = run_late(spark, sf, run)
     return spark.read.option("recursiveFileLookup", "true").parquet(out).groupBy("watch").agg(F.sum("new").alias("total"))
 
 

@@ -279,3 +279,12 @@ def test_overlapping_runs(spark, tmp_path, fed):
     got = sorted((r.source_id, r.line_num) for r in read_committed(spark, out).collect())
     want = sorted((r.source_id, r.line_num) for r in lines.filter("tag = 'y'").collect()) + [("a", 9998)]
     assert got == sorted(want)
+
+
+def test_late_parts_of_several_files(spark, tmp_path):
+    """A part that was written as several files is still one step of the stream, so none of its rows is too late."""
+    from queries import QUERIES
+    small = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{small}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    want, got = (sorted(map(str, QUERIES["stream_track_late"](spark, sf).collect())) for sf in (small, str(tmp_path)))
+    assert got == want and len(got) > 50
