@@ -93,6 +93,7 @@ class _WordIds(dict):
         self.model = self.tokenizer.model
         from tokenizers.pre_tokenizers import ByteLevel
         level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.marks = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x180)}
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -109,7 +110,16 @@ class _WordIds(dict):
     def encode(self, text: bytes) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        return b"".join([self[w] for w in text.split()])
+        return b"".join([self[w] for w in self.folded(text).split()])
+
+    def folded(self, text: bytes) -> bytes:
+        """The text with A-Z lower-cased, so that forms of a word share an entry, where that gives the same ids.
+
+        It may not when the text holds an added token in some case, or U+0300 to U+033F (lead byte CC): composition comes before
+        lower-casing, and h, j, t, w and y have composed forms that their capitals lack.
+        """
+        low = text.lower()
+        return text if b"\xcc" in text or any(m in low for m in self.marks) else low
 
 
 def _word_ids(path: str) -> _WordIds:
