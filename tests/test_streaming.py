@@ -288,3 +288,22 @@ def test_late_parts_of_several_files(spark, tmp_path):
     spark.read.parquet(f"{small}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     want, got = (sorted(map(str, QUERIES["stream_track_late"](spark, sf).collect())) for sf in (small, str(tmp_path)))
     assert got == want and len(got) > 50
+
+
+def test_waiting_rows_are_kept_in_runs():
+    class Kept(list):
+        get, appendList = (lambda self: iter(list(self))), list.extend
+
+    class Clock:
+        now = 0
+        registerTimer = lambda self, ms: None
+        getCurrentWatermarkInMs = lambda self: self.now
+    p, clock, seen = stateful.BurstState(1000, 3, None, True), Clock(), []
+    p.waiting, p.handle, p.apply = Kept(), clock, lambda key, rows: seen.extend(rows) or []
+    rows = [(n, n * 10**6) for n in range(3000)]
+    p.release(("s", "k"), clock, rows[1::2])
+    p.release(("s", "k"), clock, rows[::2])
+    assert len(p.waiting) == 4 and not seen
+    clock.now = 2000
+    p.release(("s", "k"), clock, [])
+    assert seen == rows[:2000] and len(p.waiting) == 1 and list(zip(*p.waiting[0])) == rows[2000:]
