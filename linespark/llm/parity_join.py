@@ -20,6 +20,9 @@ of a document and are never stored. Only rows of a key that another document has
 against the first, then against the one before it if their clusters differ, never against all.  Links found make clusters,
 and only documents of different clusters in the same group are still open.  A large group that still is compares the whole sketches of its open
 pairs block by block and lets only those pass that the distance bound allows.
+
+*Stored sketches* have about as many bits as their sets have shingles: strangers of any length then differ in twice the bits that the bound
+allows, so that sets, 64 times as large as their sketches, are fetched for little else than links.
 """
 
 from __future__ import annotations
@@ -40,7 +43,8 @@ GROWTH = 1.5
 SMALL_GROUP = 16
 BLOCK = 2048
 KEYS_AT_ONCE = 500_000
-BITS = 1024
+#: Bits of a stored sketch, at least and at most; sets of more shingles than the most are screened less sharply.
+BITS, MOST_BITS = 1024, 1 << 16
 #: Up to this size of its smallest sets the parts of a band are chosen by the exact chance that one cut has too few, which is to be below ``RARE``.
 SHORT, RARE = 128, 1e-4
 _U = np.uint64
@@ -137,8 +141,38 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
-    """``BITS`` bits, each flipped by every shingle that falls on it: their Hamming distance is at most the number of differing shingles."""
-    return np.packbits(np.bincount(shingles % _U(BITS), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """Bits in a number of the next power of two to the set's size, each flipped by every shingle that falls on it: the Hamming distance of
+    two such sketches of one width is at most the number of differing shingles."""
+    bits = min(MOST_BITS, max(BITS, 1 << (len(shingles) - 1).bit_length())) if len(shingles) else BITS
+    return np.packbits(np.bincount(shingles % _U(bits), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _by_width(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width in 64-bit words: the places of the sketches that have it, and their words, a row each."""
+    widths = np.array([len(x) // 8 for x in sketches], np.int64)
+    out = {}
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        out[w] = at, np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), w)
+    return out
+
+
+def _fold(sketches: np.ndarray, width: int) -> np.ndarray:
+    """The sketches that the same sets have in ``width`` words."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _far(u: list[bytes], v: list[bytes]) -> np.ndarray:
+    """Hamming distance of each pair of sketches, the wider one folded."""
+    far = np.zeros(len(u), np.int64)
+    for w, (at, x) in _by_width(u).items():
+        for z, (own, y) in _by_width([v[i] for i in at]).items():
+            narrow = min(w, z)
+            far[at[own]] = np.bitwise_count(_fold(x[own], narrow) ^ _fold(y, narrow)).sum(1, dtype=np.int64)
+    return far
 
 
 def _may_link(far: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -147,7 +181,7 @@ def _may_link(far: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, digest, sketch``: size, digest and ``BITS``-bit parity sketch of the set; no digest without words."""
+    """``doc_id, n_shingles, digest, sketch``: size, digest and parity sketch of the set; no digest without words."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ns, digests, small = [], [], []
         for text in each_text(b.column(1)):
@@ -195,8 +229,8 @@ def verify(docs: DataFrame, found: DataFrame, pairs: DataFrame, words: int = WOR
     """
     def possible(b: pa.RecordBatch) -> pa.RecordBatch:
         x, y = b.column(2).to_numpy(), b.column(3).to_numpy()
-        u, v = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(len(x), -1) for i in (4, 5))
-        return b.select([0, 1]).filter(pa.array(_may_link(np.bitwise_count(u ^ v).sum(1, dtype=np.int64), x, y, percent)))
+        far = _far(b.column(4).to_pylist(), b.column(5).to_pylist())
+        return b.select([0, 1]).filter(pa.array(_may_link(far, x, y, percent)))
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in each_text(b.column(1))], pa.binary())], ["doc_id", "s"])
@@ -278,13 +312,17 @@ def _block_pairs(found: DataFrame, rows: DataFrame, percent: int, block: int = B
     """
     def near(t):
         ids, cluster, size = (t.column(c).to_numpy() for c in ("id", "cluster", "size"))
-        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        out_a, out_b = [], []
-        for i in range(len(ids)):
-            other = np.flatnonzero((ids > ids[i]) & (cluster != cluster[i]))
-            far = np.bitwise_count(bits[other] ^ bits[i]).sum(1, dtype=np.int64)
-            other = other[_may_link(far, size[other], size[i], percent)]
-            out_a.append(np.full(len(other), ids[i])), out_b.append(ids[other])
+        # Two widths in a group, seldom three: its sets are of one band or a little smaller.
+        widths = _by_width(t.column("sketch").to_pylist())
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for w, (own, x) in widths.items():
+            for z, (at, y) in widths.items():
+                u, v = _fold(x, min(w, z)), _fold(y, min(w, z))
+                for i, sketch in zip(own, u):
+                    other = np.flatnonzero((ids[at] > ids[i]) & (cluster[at] != cluster[i]))
+                    far = np.bitwise_count(v[other] ^ sketch).sum(1, dtype=np.int64)
+                    other = at[other[_may_link(far, size[at[other]], size[i], percent)]]
+                    out_a.append(np.full(len(other), ids[i])), out_b.append(ids[other])
         return pa.table({"a": np.concatenate(out_a).astype(np.int64), "b": np.concatenate(out_b).astype(np.int64)})
 
     held = found.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch")
