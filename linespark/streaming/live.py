@@ -138,12 +138,14 @@ def number_batch(batch: DataFrame, batch_id: int, counts_path: str, source: Colu
 
     A file comes whole in one batch, so a line's number is the lines of its source in earlier batches, those of the source's earlier
     files in this batch, and its rank in its file by byte place (a block scan). Batch ``n`` reads the line counts that batch ``n - 1`` left and
-    writes its own, one row a source; a repeated batch reads and writes the same.
+    writes its own, one row a source; a repeated batch reads and writes the same. Where a file is a source there is nothing to carry: the rank
+    is the number, and a batch neither counts first nor reads or writes counts.
     """
     spark = batch.sparkSession
+    if source is None:
+        return rank_lines(batch, "_rank", block_lines=block_bytes).select("source_id", F.col("_rank").alias("line_num"), "raw")
     lines = batch.withColumnRenamed("source_id", "file")
-    owner = F.col("source_id") if source is None else source
-    files = batch.groupBy("source_id").agg(F.count("*").alias("n")).select(F.col("source_id").alias("file"), owner.alias("source_id"), "n")
+    files = batch.groupBy("source_id").agg(F.count("*").alias("n")).select(F.col("source_id").alias("file"), source.alias("source_id"), "n")
     before = spark.read.schema(COUNTED).parquet(f"{counts_path}/after-{batch_id - 1}") if batch_id else spark.createDataFrame([], COUNTED)
     earlier = W.partitionBy("source_id").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     first = F.coalesce("_seen", F.lit(0)) + F.coalesce(F.sum("n").over(earlier), F.lit(0))

@@ -123,6 +123,18 @@ def test_streamed_lines_are_numbered_as_in_a_batch(spark, tmp_path):
     assert {tuple(r) for r in first} <= {tuple(r) for r in got["folder"]} and len(first) == 40
 
 
+def test_files_that_are_sources_need_no_counts(spark, tmp_path):
+    """Where a file is a source, a batch is numbered by itself: nothing grows from batch to batch."""
+    (tmp_path / "in").mkdir()
+    for name, n in (("a", 300), ("b", 1), ("c", 40)):
+        (tmp_path / "in" / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(n)))
+    live.stream_numbered(stream_lines(spark, str(tmp_path / "in"), max_files=1), str(tmp_path / "out"), str(tmp_path / "counts"), str(tmp_path / "state"),
+                         available_now=True, block_bytes=128).awaitTermination()
+    got = spark.read.schema("source_id string, line_num long, raw string").parquet(str(tmp_path / "out")).drop("batch")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in read_lines(spark, str(tmp_path / "in")).collect()} and got.count() == 341
+    assert not (tmp_path / "counts").exists()
+
+
 def write_fed(spark, rows, files, tmp_path):
     """The rows as a stream, one micro-batch for each file number in ``files``."""
     lines = folds.lines(spark, rows)
